@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .line_dedup import dedup_lines
+from .sharding import shard
+from .simhash import hex16, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,3 +37,17 @@ SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
 """
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of 64-bit SimHash fingerprints within 2 bits. SQL has no XXH64; tests compare with brute force."""
+    out = near_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of nearly equal bytes by sampled splitters; tests check the law on the result."""
+    out = shard(documents(spark, sf_dir))
+    return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
