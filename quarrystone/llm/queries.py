@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .line_dedup import dedup_lines
+from .mixing import mix
+from .quality import judge
 from .sharding import shard
 from .simhash import hex16, near_dedup
 
@@ -51,3 +53,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of nearly equal bytes by sampled splitters; tests check the law on the result."""
     out = shard(documents(spark, sf_dir))
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to target weights of 5, 2, 1 by source; tests check targets, rates and rounding."""
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production threshold table."""
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
