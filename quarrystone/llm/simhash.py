@@ -3,12 +3,12 @@
 1. A 64-bit SimHash per document over word shingles (Arrow batches, XXH64).
    Equal fingerprints collapse to one before anything is compared.
 2. Segment-popcount embedding: a fingerprint becomes the vector of the bit
-   counts of its 16 four-bit segments. The Manhattan distance of two vectors is
+   counts of its 32 two-bit segments. The Manhattan distance of two vectors is
    a lower bound of the Hamming distance of their fingerprints.
 3. Grid range-join: on an integer grid two vectors within distance 2 share a
    lattice point within distance 1 of each. Every fingerprint is put at its own
-   cell and its 32 neighbours; only fingerprints that meet another one at some
-   point go on. Random fingerprints meet with odds of about 3e-7 a pair.
+   cell and its neighbours; only fingerprints that meet another one at some
+   point go on. Random fingerprints meet with odds of about 2e-11 a pair.
 4. Exact verification, again without pairs: two fingerprints differ in 2 bits
    or fewer exactly if one flip or none of each leads to a common value. Those
    that share a value are linked to the least of them, so a group of thousands of
@@ -16,7 +16,7 @@
 5. Connected components of these links by alternating large and small stars,
    each round written to the shared folder.
 
-Shuffles hold fingerprints only, 33 rows for each distinct one; text never
+Shuffles hold fingerprints only, about 49 rows for each distinct one; text never
 moves. Nothing is broadcast or collected.
 
 Defined cases: null, empty or blank text has fingerprint zero; texts with fewer
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-SEGMENT_BITS = 4
+SEGMENTS = 32
 
 
 def simhash(text: bytes | None, shingle: int = 3) -> int:
@@ -73,20 +73,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def popcount_cell(fp: Column) -> Column:
-    """The bit counts of the 16 segments, four bits for each."""
+    """The bit counts (0 to 2) of the two-bit segments, two bits for each."""
     cell = F.lit(0).cast("long")
-    for k in range(64 // SEGMENT_BITS):
-        ones = F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * k).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).cast("long")
-        cell = cell.bitwiseOR(F.shiftleft(ones, SEGMENT_BITS * k))
+    for k in range(SEGMENTS):
+        ones = F.bit_count(F.shiftrightunsigned(fp, 2 * k).bitwiseAND(F.lit(3))).cast("long")
+        cell = cell.bitwiseOR(F.shiftleft(ones, 2 * k))
     return cell
 
 
 def lattice_points(cell: Column) -> Column:
-    """A cell and the cells next to it; null where a count would leave 0 to 4."""
+    """A cell and the cells next to it, one count up or down; null where that would leave 0 to 2."""
     near = []
-    for k in range(64 // SEGMENT_BITS):
-        count, one = F.shiftrightunsigned(cell, SEGMENT_BITS * k).bitwiseAND(F.lit(15)), F.lit(1 << SEGMENT_BITS * k)
-        near += [F.when(count < SEGMENT_BITS, cell + one), F.when(count > 0, cell - one)]
+    for k in range(SEGMENTS):
+        count = F.shiftrightunsigned(cell, 2 * k).bitwiseAND(F.lit(3))
+        # In a two-bit field 0 and 1 differ in the low bit, 1 and 2 in both.
+        near += [F.when(count < 2, cell.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), 2 * k)))]
+        near += [F.when(count > 0, cell.bitwiseXOR(F.shiftleft(F.lit(3).cast("long"), 2 * k)))]
     return F.array(cell, *near)
 
 
@@ -98,10 +100,10 @@ def _shared(points: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) with u > v: star links whose components are those of all pairs of fingerprints within 2 bits."""
     points = distinct.select("fp", F.explode(lattice_points(F.col("cell"))).alias("p")).where("p IS NOT NULL")
-    near = scratch.keep(points.join(_shared(points).select("p"), "p", "left_semi").select("fp").distinct(), "candidates")
+    near = scratch.keep(points.join(_shared(points).select("p").hint("merge"), "p", "left_semi").select("fp").distinct(), "candidates")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
     values = near.select("fp", F.explode(flips).alias("p"))
-    return values.join(_shared(values), "p").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+    return values.join(_shared(values).hint("merge"), "p").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
