@@ -37,9 +37,12 @@ class Scratch:
         files.mkdirs(path)
         files.deleteOnExit(path)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it again: a cut in the lineage that survives lost executors, with real sizes for the planner."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def keep(self, df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
+        """Writes df as Parquet and reads it again: a cut in the lineage that survives lost executors, with real sizes for the planner.
+
+        Hashes do not compress, and codecs hold buffers outside the heap for every open file; tables of text or tokens name a codec.
+        """
+        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.path}/{name}")
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

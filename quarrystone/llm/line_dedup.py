@@ -73,15 +73,14 @@ class LineRuns:
         self.levels[level] = []
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.settled.append(self._write(merged.where(F.col("n_docs") >= self.min_docs)))
+        self.settled.append(merged.where(F.col("n_docs") >= self.min_docs))
         self.levels[level + 1].append(merged.where(F.col("n_docs") < self.min_docs))
 
     def frequent(self) -> DataFrame:
         """All keys found in at least min_docs documents."""
         runs = [run for level in self.levels for run in level]
         if runs:
-            merged = self._unsettled(self._merged(runs)).where(F.col("n_docs") >= self.min_docs)
-            self.settled.append(self._write(merged))
+            self.settled.append(self._write(self._unsettled(self._merged(runs)).where(F.col("n_docs") >= self.min_docs)))
             self.levels = [[]]
         return reduce(DataFrame.unionByName, [run.select("h1", "h2") for run in self.settled])
 
@@ -94,7 +93,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     keys = F.array_distinct(F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), key_hash))
     found = base.select("id", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("h")).select("id", "batch", "h.h1", "h.h2")
     scratch_path = f"{scratch.path}/lines"
-    found.write.partitionBy("batch").parquet(scratch_path)
+    found.write.partitionBy("batch").option("compression", "uncompressed").parquet(scratch_path)
     found = docs.sparkSession.read.schema(found.schema).parquet(scratch_path)
     runs = LineRuns(scratch, min_docs, fanout)
     for batch in range(batches):
