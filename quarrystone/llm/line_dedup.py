@@ -22,6 +22,7 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -85,10 +86,14 @@ class LineRuns:
         return reduce(DataFrame.unionByName, [run.select("h1", "h2") for run in self.settled])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_dropped, kept_text) for each row of docs. Lines are split at \\n; those whose key is in min_docs documents or more go."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n_lines, n_dropped, kept_text) for each row of docs, with the columns of carry as the struct ``carried``.
+
+    Lines are split at \\n; those whose key is in min_docs documents or more go.
+    """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    also = ["carried"] if carry else []
     lines = F.split("text", "\n")
     keys = F.array_distinct(F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), key_hash))
     found = base.select("id", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("h")).select("id", "batch", "h.h1", "h.h2")
@@ -107,7 +112,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), key_hash(line_key(x)))))
     return (
         base.join(dropped.hint("merge"), F.col("id").eqNullSafe(F.col("drop_id")), "left")
-        .select("id", "drop", lines.alias("lines"))
-        .select("id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
-        .select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+        .select("id", *also, "drop", lines.alias("lines"))
+        .select("id", *also, F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+        .select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"), *also)
     )

@@ -137,20 +137,20 @@ def _one_more_step(out: DataFrame, scratch: Scratch, cap: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, tilt: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tolerance: float = 1e-9, bins: int = 1024, rounds: int = 4) -> DataFrame:
-    """(id, source, size, source_size, target, rate, copies, taken) for each row of docs."""
+    """(id, source, size, source_size, target, rate, copies, taken, text_hash) for each row of docs; text_hash is xxhash64 of the text."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("h")), "sizes")
+    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")), "sizes")
     sizes = scratch.keep(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     state = _solve(sizes, scratch.keep(water_fill(sources, weights, share, cap), "targets"), scratch, tilt, cap, tolerance)
     x = F.pow(F.col("size") / F.col("mean"), F.lit(tilt))
     rate = F.when(F.col("size") > 0, F.least(F.exp(F.col("lam") * x), F.lit(float(cap)))).otherwise(0.0)
-    odds: Column = (F.pmod(F.xxhash64("id", "h", F.lit("mix")), F.lit(1 << 48)) + 1) / F.lit(float(1 << 48))
-    rated = rows.withColumnRenamed("source", "of").join(state.select("source", "source_size", "target", "mean", "lam"), F.col("of").eqNullSafe(F.col("source"))).select("id", "source", "size", "source_size", "target", rate.alias("rate"), odds.alias("u"))
+    odds: Column = (F.pmod(F.xxhash64("id", "text_hash", F.lit("mix")), F.lit(1 << 48)) + 1) / F.lit(float(1 << 48))
+    rated = rows.withColumnRenamed("source", "of").join(state.select("source", "source_size", "target", "mean", "lam"), F.col("of").eqNullSafe(F.col("source"))).select("id", "text_hash", "source", "size", "source_size", "target", rate.alias("rate"), odds.alias("u"))
     rated = rated.withColumn("floor", F.floor(F.col("rate") + 1e-9)).withColumn("frac", F.greatest(F.col("rate") - F.col("floor"), F.lit(0.0)))
     rated = scratch.keep(rated.withColumn("order_key", F.when(F.col("frac") > 0, F.least(F.col("u") / F.col("frac"), F.lit(63.0)))), "rates")
     theta = scratch.keep(_thresholds(rated, state, scratch, bins, rounds), "thetas").withColumnRenamed("source", "of")
     copies = F.col("floor") + F.when((F.col("frac") > 0) & (F.col("order_key") < F.col("theta")), 1).otherwise(0)
     out = rated.join(theta, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies.cast("int")).drop("of")
     out = _one_more_step(scratch.keep(out, "copies"), scratch, cap)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "text_hash")

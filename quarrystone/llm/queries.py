@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chats import collapse
 from .common import documents
+from .language_id import held_out, identify
 from .line_dedup import dedup_lines
 from .mixing import mix
-from .quality import judge
+from .neighbours import search
+from .packing import pack
+from .quality import RULES, STOP_WORDS, judge
 from .sharding import shard
 from .simhash import hex16, near_dedup
+from .urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,3 +70,72 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The production threshold table."""
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model learned outside the held-out fold."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the rules and the boosted trees."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge_urls(pages).select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+
+
+@query
+def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE_SQL["op7_chats"] = """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS place,
+           count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations),
+p AS (SELECT conv_id, place, n_turns, string_agg(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n'), chr(2))
+      OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS prefix FROM t),
+own AS (SELECT min(conv_id) AS conv_id, n_turns, prefix FROM p WHERE place = n_turns GROUP BY n_turns, prefix),
+kept AS (SELECT conv_id, n_turns FROM own WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n_turns AND p.place = own.n_turns AND p.prefix = own.prefix))
+SELECT kept.conv_id, kept.n_turns,
+       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<' || chr(92) || '|') || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+FROM kept JOIN t ON t.conv_id = kept.conv_id GROUP BY kept.conv_id, kept.n_turns
+"""
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens along the curve; tests restore every document from its pieces."""
+    return pack(documents(spark, sf_dir))
+
+
+@query
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100; tests measure recall against brute force."""
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+_SPACE = "[ \\t\\n\\x0b\\f\\r]"
+_PASSES = " AND ".join([f"{r.measure} >= {r.least}" for r in RULES if r.least is not None] + [f"{r.measure} <= {r.most}" for r in RULES if r.most is not None])
+ORACLE_SQL["op9_quality"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS ls FROM d),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2])) AS x FROM w),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+      len(list_filter(ws, lambda x: list_contains({STOP_WORDS!r}, translate(regexp_replace(x, '\\W+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS n_stop,
+      len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters,
+      len(list_filter(ls, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]'))) AS n_bullets, len(list_filter(ls, lambda x: regexp_matches(rtrim(x, ' '), '(\\.\\.\\.|…)$'))) AS n_ellipses
+      FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+m AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio,
+      coalesce(n_stop / nullif(n_words, 0), 0) AS stop_word_ratio, coalesce(n_capitals / nullif(n_letters, 0), 0) AS capital_ratio,
+      coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_ratio,
+      coalesce(n_bullets / nullif(n_lines, 0), 0) AS bullet_line_ratio, coalesce(n_ellipses / nullif(n_lines, 0), 0) AS ellipsis_line_ratio,
+      (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {_PASSES}) AS kept FROM m
+"""
