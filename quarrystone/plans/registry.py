@@ -1,10 +1,14 @@
-"""Every query of the core library with its DuckDB oracle."""
+"""Every query of the core library with its DuckDB oracle, collected from the modules of this package."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarrystone.plans import evidence, projections, records, retrieval, statistics, text, windows
+from quarrystone.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (text, projections, retrieval, records, evidence, windows, statistics):
+    for name, (run, sql) in module.queries.items():
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
