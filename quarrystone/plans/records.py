@@ -1,3 +1,247 @@
-from .base import Queries
+"""Record, screening, sampling and lookup queries; the star schema stands in for literature records."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrystone.operators import evidence as E
+from quarrystone.operators import records as R
+from quarrystone.operators import sampling as S
+
+from .base import Queries, declare, table
 
 queries: Queries = {}
+query = declare(queries)
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as records: parts as papers, ship modes of three kinds as publication types, some abstracts missing."""
+    types = F.when(F.col("l_returnflag") == "R", F.array(F.lit("Review"), F.lit("Journal"))).when(F.col("l_returnflag") == "A", F.array(F.lit("Journal")))
+    abstract = F.when(F.col("l_linenumber") % 4 != 0, F.when(F.col("l_linenumber") % 4 == 1, "").otherwise("text"))
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("paper"), order.alias("pos"), abstract.alias("abstract"), types.alias("types"))
+
+
+@query("f1_searchable", "SELECT paper, pos FROM (SELECT l_partkey AS paper, l_orderkey * 10 + l_linenumber AS pos, l_returnflag, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_linenumber % 4 <> 0) WHERE n = 1 AND l_returnflag <> 'R'")
+def searchable(spark: SparkSession, sf: str) -> DataFrame:
+    return R.searchable(_records(spark, sf), "paper", "abstract", "types", ["Review"], "pos").select("paper", "pos")
+
+
+@query("f2_dropna", "SELECT count(*) AS n FROM lineitem WHERE l_linenumber % 4 <> 0")
+def dropna(spark: SparkSession, sf: str) -> DataFrame:
+    return _records(spark, sf).dropna(subset=["paper", "abstract"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+_RUNS = "SELECT doc_id, run, CASE WHEN (doc_id * 7 + run * 3) % 5 < 2 THEN 'Included' ELSE 'Excluded' END AS verdict FROM documents, range(3) t(run)"
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*[F.lit(r).cast("long") for r in range(3)])).alias("run"))
+    return runs.withColumn("verdict", F.when((F.col("doc_id") * 7 + F.col("run") * 3) % 5 < 2, "Included").otherwise("Excluded"))
+
+
+@query("a1_f3_votes", f"SELECT doc_id, count(*) FILTER (WHERE verdict = 'Included') AS included_num, count(*) AS runs FROM ({_RUNS}) GROUP BY doc_id HAVING included_num >= 2")
+def votes(spark: SparkSession, sf: str) -> DataFrame:
+    return R.included_by_votes(_runs(spark, sf), ["doc_id"], "verdict", 2, 3)
+
+
+@query("a2_first_row", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+def first_row(spark: SparkSession, sf: str) -> DataFrame:
+    return R.first_rows(table(spark, sf, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber"]).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("a6_screening_summary", f"SELECT verdict, count(*) AS n, min(doc_id) AS first, round(avg(run), 6) AS mean_run FROM ({_RUNS}) GROUP BY verdict")
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.round(F.avg("run"), 6).alias("mean_run"))
+
+
+@query("a7_routing_counts", "SELECT count(*) FILTER (WHERE toxic = 1) AS yes, count(*) FILTER (WHERE toxic = 0) AS no FROM labels")
+def routing(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").agg(F.count_if(F.col("toxic") == 1).alias("yes"), F.count_if(F.col("toxic") == 0).alias("no"))
+
+
+@query("f4_truthy", "SELECT doc_id FROM documents WHERE lang IS NOT NULL AND length(lang) > 0 AND length(text) > 100")
+def truthy(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("lang IS NOT NULL AND length(lang) > 0 AND length(text) > 100").select("doc_id")
+
+
+@query("f5_not_found", "SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 <> 0")
+def not_found(spark: SparkSession, sf: str) -> DataFrame:
+    values = F.when(F.col("s_nationkey") % 3 == 0, F.array(F.lit("x"), F.lit("Not found"))).otherwise(F.array(F.lit("x")))
+    return table(spark, sf, "supplier").where(~F.array_contains(values, "Not found")).select("s_suppkey")
+
+
+@query("f8_skip_before_model", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'Excluded' ELSE 'to judge' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
+def skip(spark: SparkSession, sf: str) -> DataFrame:
+    judge, rest = R.split_skipped(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+    return judge.select("doc_id", F.lit("to judge").alias("verdict")).unionByName(rest.select("doc_id", F.lit("Excluded").alias("verdict")))
+
+
+@query("f9_rejects", "SELECT count(*) FILTER (WHERE length(trim(text)) > 50) AS good, count(*) FILTER (WHERE length(trim(text)) <= 50) AS rejected FROM documents")
+def rejects(spark: SparkSession, sf: str) -> DataFrame:
+    good = F.length(F.trim("text")) > 50
+    return table(spark, sf, "documents").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("rejected"))
+
+
+@query("f12_violations", "SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 200 THEN 'long enough' END, CASE WHEN lang <> 'en' THEN 'english' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents WHERE length(text) < 200 OR lang <> 'en'")
+def violations(spark: SparkSession, sf: str) -> DataFrame:
+    rules = {"long enough": F.length("text") >= 200, "english": F.col("lang") == "en"}
+    return R.violations(table(spark, sf, "documents"), rules).select("doc_id", F.array_join("violations", ",").alias("broken"))
+
+
+@query("f12_one_changed", "SELECT p_partkey FROM part WHERE p_size % 3 = 1")
+def one_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in which exactly one of three fields differs from its original."""
+    fields = {"p_name": F.when(F.col("p_size") % 3 >= 1, "x").otherwise(F.col("p_name")), "p_brand": F.when(F.col("p_size") % 3 == 2, "y").otherwise(F.col("p_brand")), "p_type": F.col("p_type")}
+    changed = sum((F.when(c.eqNullSafe(F.col(n)), 0).otherwise(1) for n, c in fields.items()), F.lit(0))
+    return table(spark, sf, "part").where(changed == 1).select("p_partkey")
+
+
+@query("f12_u4_key_sets", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'b' ELSE '' END AS missing FROM nation")
+def key_sets(spark: SparkSession, sf: str) -> DataFrame:
+    want, have = F.array(F.lit("a"), F.lit("b")), F.when(F.col("n_regionkey") == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a")))
+    return table(spark, sf, "nation").select("n_nationkey", F.array_join(F.array_except(want, have), ",").alias("missing"))
+
+
+@query("j1_payload_override", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN n_name END, c_mktsegment) AS field FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def payload_override(spark: SparkSession, sf: str) -> DataFrame:
+    joined = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return joined.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")), "c_mktsegment").alias("field"))
+
+
+@query("j2_full_outer", "SELECT coalesce(a.doc_id, b.vec_id) AS id, coalesce(a.n_chars, 0) AS chars, coalesce(b.label, -1) AS label FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) a FULL JOIN embeddings b ON a.doc_id = b.vec_id")
+def full_outer(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "n_chars")
+    b = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
+    return a.join(b, "id", "full").select("id", F.coalesce("n_chars", F.lit(0)).alias("chars"), F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+@query("j3_override_last", "SELECT o_orderkey, coalesce(l, o_orderpriority) AS o_orderpriority FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_shipdate::DATE::VARCHAR, l_extendedprice) AS l FROM lineitem WHERE l_quantity > 30 GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
+def override_last(spark: SparkSession, sf: str) -> DataFrame:
+    known = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").cast("string").alias("o_orderpriority"), "l_extendedprice")
+    return R.override(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), known, "o_orderkey", ["o_orderpriority"], "l_extendedprice")
+
+
+@query("j4_related_papers", "SELECT l_orderkey AS outcome, l_partkey AS paper_uid, p_name AS title FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 2000) JOIN part ON p_partkey = l_partkey")
+def related(spark: SparkSession, sf: str) -> DataFrame:
+    outcomes = table(spark, sf, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("outcome")).agg(F.collect_set("l_partkey").alias("related_paper_list"))
+    papers = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_uid"), F.col("p_name").alias("title"))
+    return E.papers_of_outcomes(outcomes, papers).select("outcome", "paper_uid", "title")
+
+
+@query("j6_lookup", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'fulfilled' END AS meaning FROM orders WHERE o_orderstatus IN ('O', 'F')")
+def constant_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return E.lookup(table(spark, sf, "orders"), {"O": "open", "F": "fulfilled"}, "o_orderstatus", "meaning").select("o_orderkey", "meaning")
+
+
+@query("j7_one_to_many", "SELECT n_nationkey, unnest(CASE WHEN n_regionkey = 0 THEN [1, 2] ELSE [3] END)::BIGINT AS question FROM nation WHERE n_regionkey < 2")
+def one_to_many(spark: SparkSession, sf: str) -> DataFrame:
+    lists = F.when(F.col("n_regionkey") == 0, F.array(F.lit(1), F.lit(2))).when(F.col("n_regionkey") == 1, F.array(F.lit(3)))
+    return table(spark, sf, "nation").select("n_nationkey", F.explode(lists.cast("array<bigint>")).alias("question"))
+
+
+@query("j8_first_by_trimmed_text", "SELECT s_suppkey, (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey) AS entry FROM supplier")
+def trimmed(spark: SparkSession, sf: str) -> DataFrame:
+    entries = table(spark, sf, "customer").select(F.concat(F.lit(" "), F.col("c_nationkey").cast("string")).alias("question"), F.col("c_custkey").alias("entry"))
+    asked = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.col("s_nationkey").cast("string"), F.lit("  ")).alias("asked"))
+    return asked.join(entries, F.trim("asked") == F.trim("question"), "left").groupBy("s_suppkey").agg(F.min("entry").alias("entry"))
+
+
+@query("j9_by_ordinal", "SELECT d.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id DESC) AS n FROM benchmark) b USING (n)")
+def by_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of two lists paired by explicit ordinals. documents is first cut to as many rows as the other list can pair."""
+    from pyspark.sql.window import Window
+
+    b = table(spark, sf, "benchmark").withColumn("n", F.row_number().over(Window.orderBy(F.desc("item_id"))))
+    d = table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(b.count()).withColumn("n", F.row_number().over(Window.orderBy("doc_id")))
+    return d.join(b, "n").select("doc_id", "item_id")
+
+
+@query("j10_manifest", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'existing' ELSE 'missing' END AS state FROM documents")
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    have, miss = R.split_skipped(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
+    return have.withColumn("state", F.lit("existing")).unionByName(miss.withColumn("state", F.lit("missing")))
+
+
+@query("j11_refresh_manifest", "SELECT source, count(*) AS existing FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")
+def refresh(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    both = d.where("doc_id % 2 = 0").select("source", "lang").unionByName(d.where("doc_id % 3 < 3").select("source", "lang"))
+    return both.dropDuplicates(["source", "lang"]).groupBy("source").agg(F.count(F.lit(1)).alias("existing"))
+
+
+@query("j12_unassessed", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def unassessed(spark: SparkSession, sf: str) -> DataFrame:
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("j13_not_included", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45)")
+def not_included(spark: SparkSession, sf: str) -> DataFrame:
+    used = table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf, "part").join(used, "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("j14_prioritised_match", "SELECT s_suppkey, coalesce(min(CASE WHEN s_suppkey = n_nationkey THEN n_name END), min(CASE WHEN s_nationkey = n_nationkey THEN n_name END)) AS match FROM supplier CROSS JOIN nation GROUP BY s_suppkey")
+def prioritised(spark: SparkSession, sf: str) -> DataFrame:
+    """Match by exact id, else by a weaker key: both as equi-joins, the least priority wins."""
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    exact = s.join(n, F.col("s_suppkey") == F.col("n_nationkey")).select("s_suppkey", F.lit(1).alias("priority"), "n_name")
+    weak = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.lit(2).alias("priority"), "n_name")
+    return exact.unionByName(weak).groupBy("s_suppkey").agg(F.min_by("n_name", "priority").alias("match"))
+
+
+@query("j15_hierarchy", "SELECT r_name, n_name, count(*) AS suppliers FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    joined = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("suppliers"))
+
+
+@query("k3_upsert", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, -1 FROM labels")
+def upsert(spark: SparkSession, sf: str) -> DataFrame:
+    new = table(spark, sf, "labels").select("doc_id", F.lit(-1).cast("long").alias("n_chars"))
+    return R.upsert(table(spark, sf, "documents").select("doc_id", "n_chars"), new, "doc_id")
+
+
+@query("k5_transfer", "SELECT doc_id, CASE WHEN quality = 1 THEN 'kept' ELSE 'copied' END AS origin FROM documents LEFT JOIN labels USING (doc_id)")
+def transfer(spark: SparkSession, sf: str) -> DataFrame:
+    target = table(spark, sf, "labels").select("doc_id", "quality", F.lit("kept").alias("origin"))
+    source = table(spark, sf, "documents").select("doc_id", F.lit("copied").alias("origin"))
+    return R.transfer(source, target, "doc_id", F.col("quality") == 1).select("doc_id", "origin")
+
+
+_FILES = "SELECT (event_id // 4) AS ts, event_id % 4 AS run, event_id FROM events WHERE event_id % 17 <> 3 AND event_id < 400"
+
+
+@query("s11_newest_complete", f"WITH f AS ({_FILES}) SELECT ts, run, event_id FROM f WHERE run < 4 AND ts = (SELECT max(ts) FROM (SELECT ts FROM f WHERE run < 4 GROUP BY ts HAVING count(DISTINCT run) = 4))")
+def newest(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "events").where("event_id % 17 <> 3 AND event_id < 400").select(F.expr("event_id div 4").alias("ts"), (F.col("event_id") % 4).alias("run"), "event_id")
+    return R.newest_complete(files, "ts", "run", 4)
+
+
+@query("u1_union_all", "SELECT 'd' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'p', page_id FROM pages")
+def union_all(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id")).unionByName(table(spark, sf, "pages").select(F.lit("p").alias("kind"), F.col("page_id").alias("id")))
+
+
+@query("u2_u3_sets", "SELECT s_suppkey, CASE WHEN s_nationkey IN (1, 2, 3) THEN true ELSE false END AS shares FROM supplier")
+def sets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select("s_suppkey", F.arrays_overlap(F.array("s_nationkey"), F.array(F.lit(1), F.lit(2), F.lit(3))).alias("shares"))
+
+
+@query("u5_split_counts", "SELECT 30 AS train, count(*) - 30 AS test FROM documents")
+def split(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = S.split(table(spark, sf, "documents"), "doc_id", 30)
+    return train.agg(F.count(F.lit(1)).alias("train")).crossJoin(test.agg(F.count(F.lit(1)).alias("test")))
+
+
+@query("u6_all_positives", "SELECT quality, CASE WHEN quality = 0 THEN (SELECT count(*) FROM labels WHERE quality = 0) ELSE greatest(80 - (SELECT count(*) FROM labels WHERE quality = 0), 0) END AS n FROM (SELECT DISTINCT quality FROM labels)")
+def positives(spark: SparkSession, sf: str) -> DataFrame:
+    """All of the rare class and others up to 80."""
+    return S.with_all_positives(table(spark, sf, "labels"), "doc_id", F.col("quality") == 0, 80).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u9_choice")
+def choice(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", S.choice("doc_id", ["P", "I", "C"]).alias("target"))
