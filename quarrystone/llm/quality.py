@@ -62,6 +62,16 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _any_word(words: Sequence[str]) -> str:
+    """A pattern for words that, without trailing punctuation, are one of these; grouped by first letter, which decides most of them."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    groups = "|".join(f"{first}(?:{'|'.join(sorted({*rest}, key=len, reverse=True))})" for first, rest in sorted(by.items()))
+    space = r"\x20\x09-\x0D"
+    return rf"(?<![^{space}])(?:{groups})(?=[^A-Za-z0-9_{space}]*(?:[{space}]|\z))"
+
+
 def _repeated_words(words: str, windows: str, buckets: int = 64) -> Column:
     """Words that stand in a window found twice or more, from columns words and windows (hashes, one a start)."""
     return F.expr(
@@ -90,7 +100,6 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = base.withColumn("twice", twice)
     base = base.withColumn("repeated", F.expr("if(size(twice) = 0, array(), transform(sequence(0, 63), b -> filter(twice, x -> pmod(x, 64) = b)))"))
     repeat = F.when(F.col("unrepeated"), F.lit(0).cast("long")).otherwise(_repeated_words("words", "windows"))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     n_words, n_lines = F.size("words").cast("long"), F.size("lines").cast("long")
     letters = F.length(F.regexp_replace("text", r"[^A-Za-z]", ""))
 
@@ -105,7 +114,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
         n_lines.alias("n_lines"),
-        F.size(F.filter("words", lambda w: F.array_contains(stop, lower_ascii(F.regexp_replace(w, r"\W+$", ""))))).alias("n_stop_words"),
+        F.regexp_count(lower_ascii(F.col("text")), F.lit(_any_word(STOP_WORDS))).cast("int").alias("n_stop_words"),
         (letters - F.length(F.regexp_replace("text", r"[^a-z]", ""))).alias("n_capitals"),
         letters.alias("n_letters"),
         F.size(F.filter("lines", lambda x: F.ltrim(x).rlike(r"^[-*•]"))).alias("n_bullets"),
