@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii
+from .common import SPACES, as_column, lower_ascii
 
 SYMBOLS = "#*$%&|<>"
 
@@ -75,12 +75,12 @@ def _any_word(words: Sequence[str]) -> str:
 def _repeated_words(words: str, windows: str, buckets: int = 64) -> Column:
     """Words that stand in a window found twice or more, from columns words and windows (hashes, one a start)."""
     return F.expr(
-        f"""if(size(repeated) = 0, 0L, aggregate(
+        f"""aggregate(
             sequence(0, size({words}) - 1),
             0L,
             (n, i) -> n + if(
                 exists(slice({windows}, greatest(i - 1, 1), least(i + 1, 3)), x -> array_contains(get(repeated, cast(pmod(x, {buckets}) as int)), x)),
-                1L, 0L)))"""
+                1L, 0L))"""
     )
 
 
@@ -96,9 +96,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = base.withColumn("unrepeated", F.size(F.array_distinct("windows")) == F.size("windows"))
     base = base.withColumn("sorted", F.when(~F.col("unrepeated"), F.sort_array("windows")))
     twice = F.expr("array_distinct(filter(sorted, (x, i) -> x = get(sorted, i - 1)))")
-    # Columns that lambdas read are named twice below: so the optimizer keeps them as columns and does not put their definition into the lambda.
-    base = base.withColumn("twice", twice)
-    base = base.withColumn("repeated", F.expr("if(size(twice) = 0, array(), transform(sequence(0, 63), b -> filter(twice, x -> pmod(x, 64) = b)))"))
+    base = base.withColumn("twice", as_column(twice))
+    base = base.withColumn("repeated", as_column(F.expr("transform(sequence(0, 63), b -> filter(twice, x -> pmod(x, 64) = b))")))
     repeat = F.when(F.col("unrepeated"), F.lit(0).cast("long")).otherwise(_repeated_words("words", "windows"))
     n_words, n_lines = F.size("words").cast("long"), F.size("lines").cast("long")
     letters = F.length(F.regexp_replace("text", r"[^A-Za-z]", ""))
@@ -112,7 +111,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"),
+        as_column(repeat).alias("n_repeat_words"),
         n_lines.alias("n_lines"),
         F.regexp_count(lower_ascii(F.col("text")), F.lit(_any_word(STOP_WORDS))).cast("int").alias("n_stop_words"),
         (letters - F.length(F.regexp_replace("text", r"[^a-z]", ""))).alias("n_capitals"),
