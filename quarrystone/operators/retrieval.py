@@ -125,9 +125,8 @@ def text_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?U){TERM}"), F.lit(0))
 
 
-def pair_similarity(a: Column, b: Column) -> Column:
-    """Cosine of the TF-IDF vectors fitted on just the two texts: a shared term weighs 1, another 1 + ln 1.5. Null where neither has a term."""
-    ta, tb = text_terms(a), text_terms(b)
+def pair_similarity(ta: Column, tb: Column) -> Column:
+    """Cosine of the TF-IDF vectors fitted on just two texts, given as columns of their terms: a shared term weighs 1, another 1 + ln 1.5. Null where neither has a term."""
     apart = 1 + F.log(F.lit(1.5))
 
     def times(terms: Column, x: Column) -> Column:
@@ -142,8 +141,11 @@ def pair_similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float = 0.9) -> DataFrame:
-    """Pairs of similarity strictly above least. They share a term, so candidates come from an equi-join on terms; no pair of strangers is formed."""
-    a = left.withColumn("_term", F.explode(F.array_distinct(text_terms(F.col(left_text)))))
-    b = right.withColumn("_term", F.explode(F.array_distinct(text_terms(F.col(right_text)))))
-    candidates = a.join(b, "_term").drop("_term").distinct()
-    return candidates.withColumn("similarity", F.round(pair_similarity(F.col(left_text), F.col(right_text)), 6)).where(F.col("similarity") > least)
+    """Pairs of similarity strictly above least. They share a term, so candidates come from an equi-join on terms; no pair of strangers is formed.
+
+    A pair is kept at its least shared term alone, so no distinct over whole rows is needed.
+    """
+    a = left.withColumn("_ta", text_terms(F.col(left_text))).withColumn("_term", F.explode(F.array_distinct("_ta")))
+    b = right.withColumn("_tb", text_terms(F.col(right_text))).withColumn("_term", F.explode(F.array_distinct("_tb")))
+    candidates = a.join(b, "_term").where(F.col("_term") == F.array_min(F.array_intersect("_ta", "_tb")))
+    return candidates.withColumn("similarity", F.round(pair_similarity(F.col("_ta"), F.col("_tb")), 6)).where(F.col("similarity") > least).drop("_ta", "_tb", "_term")

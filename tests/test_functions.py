@@ -108,7 +108,7 @@ def test_fusion_ties_go_to_the_lower_index_and_scores_stay_in_range(spark):
 
 def test_pair_similarity(spark):
     df = spark.createDataFrame([("aa bb", "aa bb"), ("aa bb", "aa cc"), ("a", "!"), ("aa", "bb")], "a string, b string")
-    got = [r[0] for r in df.select(retrieval.pair_similarity(F.col("a"), F.col("b"))).collect()]
+    got = [r[0] for r in df.select(*[retrieval.text_terms(F.col(c)).alias(c) for c in "ab"]).select(retrieval.pair_similarity(F.col("a"), F.col("b"))).collect()]
     apart = 1 + 0.4054651081
     assert got[0] == pytest.approx(1) and got[1] == pytest.approx(1 / (1 + apart**2)) and got[2] is None and got[3] == 0
 
