@@ -37,17 +37,33 @@ def term_weights(post: DataFrame, totals: DataFrame) -> DataFrame:
     return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+#: A table of query terms of at most so many rows is broadcast to the postings; a larger one is joined as the planner sees fit.
+BROADCAST_ROWS = 500_000
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question", tokens: Column | None = None, question_tokens: Column | None = None) -> DataFrame:
-    """(q, idx, score) of all documents that share a term with the query; query terms count as often as they occur."""
-    post = postings(docs, idx, text, tokens)
-    lengths = post.groupBy("idx").agg(F.sum("tf").alias("dl"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"))
-    mean_length = lengths.agg(F.sum("dl").alias("all_dl")).crossJoin(totals).select((F.col("all_dl") / F.col("n")).alias("avgdl"))
+    """(q, idx, score) of all documents that share a term with the query; query terms count as often as they occur.
+
+    Lengths come with the row, document frequencies from distinct terms by partial
+    aggregation, and only postings of query terms are shuffled.
+    """
+    terms = tokenize(F.col(text)) if tokens is None else tokens
+    # The length is computed below the explode: above it, it would be computed again for every word.
+    split = docs.select(F.col(idx).alias("idx"), terms.alias("_terms")).select("idx", F.size("_terms").alias("dl"), "_terms")
+    totals = split.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_dl"))
+    df = split.select(F.explode(F.array_distinct("_terms")).alias("term"))
+    weights = term_weights(df, totals.select("n"))
     asked = postings(queries, q, question, question_tokens).withColumnsRenamed({"idx": "q", "tf": "qtf"})
-    weights = term_weights(post, totals)
-    met = asked.join(weights, "term").join(post, "term").join(lengths, "idx").crossJoin(mean_length)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return met.groupBy("q", "idx").agg(F.round(F.sum(part), 6).alias("score"))
+    small = asked.count() <= BROADCAST_ROWS
+
+    def near(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if small else side
+
+    weighed = asked.join(weights.join(near(asked.select("term").distinct()), "term", "left_semi"), "term").crossJoin(totals).select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), (F.col("all_dl") / F.col("n")).alias("avgdl"))
+    words = split.select("idx", "dl", F.explode("_terms").alias("term"))
+    post = words.join(near(asked.select("term").distinct()), "term", "left_semi").groupBy("idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return post.join(near(weighed), "term").groupBy("q", "idx").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question", **tokens: Column) -> DataFrame:
