@@ -77,7 +77,9 @@ def _solve(sizes: DataFrame, targets: DataFrame, scratch: Scratch, tilt: float,
         F.lit(-60.0).alias("low"),
         F.coalesce(F.lit(1.0) / F.pow(F.col("least") / F.col("mean"), F.lit(tilt)), F.lit(1.0)).alias("high"),
     )
-    state = state.withColumn("low", F.col("low") * F.col("high")).withColumn("high", F.log(F.lit(float(cap))) * F.col("high")).withColumn("lam", F.lit(0.0)).withColumn("off", F.lit(1.0))
+    state = state.withColumn("low", F.col("low") * F.col("high")).withColumn("high", F.log(F.lit(float(cap))) * F.col("high")).withColumn("off", F.lit(1.0))
+    # A source whose target is its cap needs no search: at the upper end every document is at the cap.
+    state = state.withColumn("lam", F.when(F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12)), F.col("high")).otherwise(0.0))
     state = scratch.keep(state, "state-0")
     x = F.pow(F.col("size") / F.col("mean"), F.lit(tilt))
     rate = F.exp(F.col("lam") * x)
@@ -136,7 +138,7 @@ def _one_more_step(out: DataFrame, scratch: Scratch, cap: int) -> DataFrame:
     return stepped.withColumn("copies", F.col("copies") + F.when(F.col("frac") > 0, F.coalesce("way", F.lit(0))).otherwise(0))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, tilt: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tolerance: float = 1e-9, bins: int = 1024, rounds: int = 4) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, tilt: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tolerance: float = 1e-7, bins: int = 1024, rounds: int = 3) -> DataFrame:
     """(id, source, size, source_size, target, rate, copies, taken, text_hash) for each row of docs; text_hash is xxhash64 of the text."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")), "sizes")
