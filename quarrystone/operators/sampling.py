@@ -18,11 +18,11 @@ def split(rows: DataFrame, key: str, n: int, seed: int = 42) -> tuple[DataFrame,
 
 
 def with_all_positives(rows: DataFrame, key: str, positive: Column, n: int, seed: int = 42) -> DataFrame:
-    """All positive rows and as many others as make n; none are added if positives are more."""
-    many = rows.agg(F.count_if(positive).alias("_many"))  # one row
-    w = Window.partitionBy(positive).orderBy(draw(key, seed), key)
-    ranked = rows.withColumn("_n", F.row_number().over(w)).withColumn("_pos", positive).crossJoin(many)
-    return ranked.where(F.col("_pos") | (F.col("_n") <= F.lit(n) - F.col("_many"))).drop("_n", "_pos", "_many")
+    """All positive rows and as many others as make n; none are added if positives are more. The others are a top-k by hash, never a sort of a class in one task."""
+    known = F.coalesce(positive, F.lit(False))
+    chosen = rows.where(known)
+    others = rows.where(~known).orderBy(draw(key, seed), key).limit(max(n - chosen.count(), 0))
+    return chosen.unionByName(others)
 
 
 def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
