@@ -23,9 +23,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_column, lower_ascii
+from .common import SPACES, as_column
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 class Rule(NamedTuple):
@@ -58,18 +58,14 @@ RULES = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def _any_word(words: Sequence[str]) -> str:
-    """A pattern for words that, without trailing punctuation, are one of these; grouped by first letter, which decides most of them."""
+    """A pattern for words that, without trailing punctuation and whatever the case of A-Z, are one of these; grouped by first letter, which decides most of them."""
     by: dict[str, list[str]] = {}
     for w in words:
         by.setdefault(w[0], []).append(w[1:])
     groups = "|".join(f"{first}(?:{'|'.join(sorted({*rest}, key=len, reverse=True))})" for first, rest in sorted(by.items()))
     space = r"\x20\x09-\x0D"
-    return rf"(?<![^{space}])(?:{groups})(?=[^A-Za-z0-9_{space}]*(?:[{space}]|\z))"
+    return rf"(?i)(?<![^{space}])(?:{groups})(?=[^A-Za-z0-9_{space}]*(?:[{space}]|\z))"
 
 
 def _repeated_words(words: str, windows: str, buckets: int = 64) -> Column:
@@ -100,7 +96,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = base.withColumn("repeated", as_column(F.expr("transform(sequence(0, 63), b -> filter(twice, x -> pmod(x, 64) = b))")))
     repeat = F.when(F.col("unrepeated"), F.lit(0).cast("long")).otherwise(_repeated_words("words", "windows"))
     n_words, n_lines = F.size("words").cast("long"), F.size("lines").cast("long")
-    letters = F.length(F.regexp_replace("text", r"[^A-Za-z]", ""))
+    letters = F.length(F.regexp_replace("text", "[^A-Za-z]+", ""))
 
     def ratio(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(0.0)
@@ -108,13 +104,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = base.select(
         "id",
         n_words.alias("n_words"),
-        F.length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         as_column(repeat).alias("n_repeat_words"),
         n_lines.alias("n_lines"),
-        F.regexp_count(lower_ascii(F.col("text")), F.lit(_any_word(STOP_WORDS))).cast("int").alias("n_stop_words"),
-        (letters - F.length(F.regexp_replace("text", r"[^a-z]", ""))).alias("n_capitals"),
+        F.regexp_count("text", F.lit(_any_word(STOP_WORDS))).cast("int").alias("n_stop_words"),
+        F.regexp_count("text", F.lit("[A-Z]")).alias("n_capitals"),
         letters.alias("n_letters"),
         F.size(F.filter("lines", lambda x: F.ltrim(x).rlike(r"^[-*•]"))).alias("n_bullets"),
         F.size(F.filter("lines", lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))).alias("n_ellipses"),
