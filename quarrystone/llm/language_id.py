@@ -135,24 +135,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         m = shared.value
         buckets = len(m.matrix)
         for b in batches:
-            names: list[str] = []
-            scores: list[float] = []
-            for _, texts in _slices(b, at):
+            for start, texts in _slices(b, at):
                 doc, bucket = ngrams(texts, buckets)
-                many = np.bincount(doc, minlength=len(texts)) > 0
-                sums = np.empty((len(texts), len(m.labels)), np.int64)
+                known = (np.bincount(doc, minlength=len(texts)) > 0) & bool(m.labels)
+                sums = np.zeros((len(texts), max(len(m.labels), 1)), np.int64)
                 for k in range(len(m.labels)):  # int32 sums are exact in doubles
                     sums[:, k] = np.bincount(doc, weights=np.take(m.matrix[:, k], bucket), minlength=len(texts)) + m.prior[k]
-                if not m.labels:
-                    many[:] = False
-                    best = np.zeros(len(texts), int)
-                    score = np.zeros(len(texts))
-                else:
-                    best = sums.argmax(axis=1)
-                    score = 1 / np.exp((sums - sums.max(axis=1, keepdims=True)) / SCALE).sum(axis=1)
-                names += [m.labels[k] if ok else "und" for k, ok in zip(best.tolist(), many.tolist(), strict=True)]
-                scores += np.where(many, score, 0.0).tolist()
-            yield b.append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+                best = sums.argmax(axis=1)
+                score = 1 / np.exp((sums - sums.max(axis=1, keepdims=True)) / SCALE).sum(axis=1)
+                names = [m.labels[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
+                part = b.slice(start, len(texts))
+                yield part.append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(np.where(known, score, 0.0), pa.float64()))
 
     return docs.mapInArrow(run, schema)
 
