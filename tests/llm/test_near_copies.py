@@ -55,3 +55,12 @@ def test_documents_against_brute_force(docs, texts):
 def test_a_large_group_is_one_component(spark, size):
     docs = spark.createDataFrame([(k, changed([k % 200])) for k in range(size)], "doc_id long, text string")
     assert {r.component_id for r in near_copies(docs).collect()} == {0}
+
+
+def test_one_row_a_component_whatever_the_ids(spark):
+    other = " ".join(f"other{k}" for k in range(200))
+    rows = [(None, "alone one"), (None, "alone two"), (None, "alone two"), (1, "first text"), (1, "second text"), (1, "second text"), (None, TEXTS[0]), (5, TEXTS[1]), (3, other), (3, TEXTS[0]), (2, other)]
+    want = [(None, "alone one"), (None, "alone two"), (1, "first text"), (1, "second text"), (2, other), (3, TEXTS[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=key) == sorted(want, key=key)
