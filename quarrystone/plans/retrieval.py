@@ -143,12 +143,21 @@ def without_self(spark: SparkSession, sf: str) -> DataFrame:
     return rest.select("q", F.inline("hits"))
 
 
+@query("r10_whole_per_source_topk", f"WITH {_bm25(_TOKENS)}, s AS (SELECT scored.*, source FROM scored JOIN documents ON doc_id = idx WHERE score > 0) SELECT q, source, idx, score, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, idx) AS rank FROM s QUALIFY rank <= 2")
+def whole_per_source_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of each source for every benchmark item."""
+    return _per_source(spark, sf, _asked(spark, sf))
+
+
 @query("r10_per_source_topk", f"WITH {_bm25(_TOKENS)}, s AS (SELECT scored.*, source FROM scored JOIN documents ON doc_id = idx WHERE score > 0 AND q < 5) SELECT q, source, idx, score, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, idx) AS rank FROM s QUALIFY rank <= 2")
 def per_source_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The best of each source for each question: the window is partitioned by both."""
+    return _per_source(spark, sf, _asked(spark, sf).where("q < 5"))
+
+
+def _per_source(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
-    asked = _asked(spark, sf).where("q < 5")
     found = R.bm25_scores(_docs(spark, sf), asked).where("score > 0").join(table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "source"), "idx")
     rank = F.row_number().over(Window.partitionBy("q", "source").orderBy(F.desc("score"), "idx"))
     return found.withColumn("rank", rank).where("rank <= 2").select("q", "source", "idx", "score", "rank")

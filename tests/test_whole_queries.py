@@ -19,3 +19,9 @@ def test_every_row_is_in(spark, sf):
     assert count("j2_whole_full_outer") == ids.distinct().count()
     last = rows("events").agg({"event_id": "max"}).first()[0]
     assert max(r.event_id for r in QUERIES["s11_whole_newest_complete"](spark, sf).collect()) > last - 8
+
+
+def test_every_item_is_asked(spark, sf):
+    asked = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    found = {r.q for r in QUERIES["r10_whole_per_source_topk"](spark, sf).collect()}
+    assert found <= asked and max(found) >= 5
