@@ -40,9 +40,18 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
+@query("t3_whole_normalize_topic", f"SELECT doc_id, trim(regexp_replace({_CLEAN.replace('(text', '(topic')}, '^\\d+\\.\\s*', '')) AS topic FROM (SELECT doc_id, doc_id || '.  ' || text AS topic FROM documents)")
+def whole_topic(spark: SparkSession, sf: str) -> DataFrame:
+    return _topic(_docs(spark, sf))
+
+
 @query("t3_normalize_topic", f"SELECT doc_id, trim(regexp_replace({_CLEAN.replace('(text', '(topic')}, '^\\d+\\.\\s*', '')) AS topic FROM (SELECT doc_id, doc_id || '.  ' || substring(text, 1, 60) AS topic FROM documents)")
 def topic(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = _docs(spark, sf).select("doc_id", F.concat("doc_id", F.lit(".  "), F.substring("text", 1, 60)).alias("topic"))
+    return _topic(_docs(spark, sf).withColumn("text", F.substring("text", 1, 60)))
+
+
+def _topic(docs: DataFrame) -> DataFrame:
+    numbered = docs.select("doc_id", F.concat("doc_id", F.lit(".  "), "text").alias("topic"))
     return numbered.select("doc_id", X.normalize_topic(F.col("topic"), unescape=False).alias("topic"))
 
 
@@ -142,12 +151,21 @@ def line_totals(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.sum("lines").alias("lines"), F.sum(F.length("piece") - F.col("lines") + 1).alias("chars"))
 
 
+@query("t20_whole_format_docs", """SELECT source, string_agg('[' || rn || '] ' || text, chr(10) ORDER BY rn) AS context FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""")
+def whole_format_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _format(_docs(spark, sf))
+
+
 @query("t20_format_docs", """SELECT source, string_agg('[' || rn || '] ' || substring(text, 1, 20), chr(10) ORDER BY rn) AS context FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""")
 def format_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _format(_docs(spark, sf).withColumn("text", F.substring("text", 1, 20)))
+
+
+def _format(docs: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
-    ranked = _docs(spark, sf).withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 3")
-    return segments.numbered_context(ranked.withColumn("text", F.substring("text", 1, 20)), ["source"], "rn", "text").withColumnRenamed("text", "context")
+    ranked = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 3")
+    return segments.numbered_context(ranked, ["source"], "rn", "text").withColumnRenamed("text", "context")
 
 
 @query("t21_normalize", "SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS normal, regexp_matches(text, '[\\x{3400}-\\x{9FFF}]') AS cjk FROM documents WHERE lang = 'en'")

@@ -70,7 +70,7 @@ def route(spark: SparkSession, sf: str) -> DataFrame:
 def screen(spark: SparkSession, sf: str) -> DataFrame:
     """Three runs over the documents that a label does not rule out."""
     judged = table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 20).alias("title"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("title"))
     return W.screen(docs, "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("title")), VoteClient, judged_keys=judged)
 
 

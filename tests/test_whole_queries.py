@@ -25,3 +25,20 @@ def test_every_item_is_asked(spark, sf):
     asked = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     found = {r.q for r in QUERIES["r10_whole_per_source_topk"](spark, sf).collect()}
     assert found <= asked and max(found) >= 5
+
+
+def test_whole_texts_are_formatted(spark, sf):
+    first = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").first()
+    contexts = {r.source: r.context for r in QUERIES["t20_whole_format_docs"](spark, sf).collect()}
+    assert contexts[first.source].startswith(f"[1] {first.text}")
+    assert QUERIES["t3_whole_normalize_topic"](spark, sf).selectExpr("max(length(topic))").first()[0] > 70
+
+
+def test_screening_prompts_hold_whole_texts(spark, sf, monkeypatch):
+    from quarrystone.plans import workflow
+
+    seen = []
+    monkeypatch.setattr(workflow.W, "screen", lambda docs, *a, **k: seen.append(docs))
+    workflow.screen(spark, sf)
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    assert seen[0].join(texts, "doc_id").where("NOT title <=> text").count() == 0
