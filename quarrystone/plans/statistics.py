@@ -67,7 +67,7 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("u7_bootstrap_kappa")
 def bootstrap_kappa(spark: SparkSession, sf: str) -> DataFrame:
-    drawn = S.replicated(table(spark, sf, "labels"), ["doc_id"], 500)
+    drawn = S.replicated(table(spark, sf, "labels"), ["doc_id"], 2000)
     return S.interval(S.kappa(drawn, "quality", "toxic", by=["replicate"], copies="copies"), "kappa")
 
 

@@ -42,3 +42,12 @@ def test_screening_prompts_hold_whole_texts(spark, sf, monkeypatch):
     workflow.screen(spark, sf)
     texts = spark.read.parquet(f"{sf}/documents.parquet")
     assert seen[0].join(texts, "doc_id").where("NOT title <=> text").count() == 0
+
+
+def test_kappa_has_2000_replicates(spark, sf, monkeypatch):
+    from quarrystone.plans import statistics
+
+    counts, drawn = [], statistics.S.replicated
+    monkeypatch.setattr(statistics.S, "replicated", lambda rows, keys, n: counts.append(n) or drawn(rows, keys, n))
+    statistics.bootstrap_kappa(spark, sf)
+    assert counts == [2000]
