@@ -49,6 +49,15 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
 
+#: A table of keys with at most so many rows is sent to the rows of a text table; beyond it both sides are shuffled.
+BESIDE_ROWS = 1 << 20
+
+
+def beside(keys: DataFrame, most: int = BESIDE_ROWS) -> DataFrame:
+    """A written table of keys, marked for broadcasting if it is counted to hold at most so many rows."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pytest
 
-from quarrystone.llm.near_copies import near_copies
+from quarrystone.llm.near_copies import _across, least_agreement, near_copies
 from quarrystone.llm.simhash import simhash
 
 
@@ -51,6 +53,33 @@ def test_documents_against_brute_force(docs, texts):
     assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == brute(texts)
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_texts_that_share_passages_against_brute_force(spark, block):
+    """Texts around the threshold, many of them in the same buckets, with buckets above and below the size of a block."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    texts = {}
+    for k in range(160):
+        own = [f"own{rng.randrange(12)}_{j}" for j in range(rng.choice([4, 8, 12, 20, 40]))]
+        at = rng.randrange(2)
+        texts[k] = " ".join(passage + own if at else own + passage)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies(docs, block=block).collect()} == brute(texts)
+
+
+def test_blocks_find_every_pair(spark):
+    """All pairs across components of one bucket, whatever the size of its blocks."""
+    rng = random.Random(7)
+    base = bytes(rng.randrange(256) for _ in range(160))
+    sketch = [bytes(b if rng.random() < 0.7 else 0 for b in base) for _ in range(40)]
+    rows = [(1, k, k % 5 if k < 20 else 9, bytearray(x)) for k, x in enumerate(sketch)]
+    want = {(b, a) for a in range(40) for b in range(a + 1, 40) if rows[a][2] != rows[b][2] and sum(x == y for x, y in zip(sketch[a], sketch[b], strict=True)) >= least_agreement(0.8)}
+    assert 0 < len(want) < 40 * 39 / 2
+    members = spark.createDataFrame(rows, "p long, node long, root long, sketch binary")
+    for block in (4, 7, 100):
+        assert {(r.u, r.v) for r in _across(members, 0.8, block).collect()} == want
+
+
 @pytest.mark.parametrize("size", [300])
 def test_a_large_group_is_one_component(spark, size):
     docs = spark.createDataFrame([(k, changed([k % 200])) for k in range(size)], "doc_id long, text string")

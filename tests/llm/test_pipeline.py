@@ -4,11 +4,10 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from quarrystone.llm.line_dedup import dedup_lines
-from quarrystone.llm.simhash import simhash
 
 from test_lines_and_quality import brute_lines
 from test_mixing_and_sharding import check_mix
-from test_simhash import roots
+from test_near_copies import brute
 
 from quarrystone.llm.mixing import mix
 
@@ -32,8 +31,7 @@ def test_each_stage_against_brute_force(spark, docs, sf, tmp_path):
     want = {i: w[2] for (i, _), w in zip(before, brute_lines([t for _, t in before], 10), strict=True)}
     assert {r.doc_id: r.text for r in two.collect()} == want and two.where(F.col("n_chars") != F.length("text")).count() == 0
     three = kept(stages["near_dedup"](spark, two, sf), "3")
-    least = roots([(i, simhash(t.encode()) & (1 << 64) - 1) for i, t in sorted(want.items())])
-    assert {r.doc_id for r in three.collect()} == set(least.values())
+    assert {r.doc_id for r in three.collect()} == set(brute(want).values())
     check_mix(three, mix(three), 0.5)
     four = kept(stages["mixing"](spark, three, sf), "4")
     copies = {r.doc_id: r.copies for r in mix(three).collect() if r.copies}
@@ -54,6 +52,18 @@ def test_awkward_rows(spark, awkward, empty, sf, tmp_path):
         assert pieces == 0 if k else pieces > 0
 
 
+def test_columns_named_like_those_of_the_stages(spark, docs, sf):
+    names = ["lang_pred", "lang_score", "_own", "_id", "_hash", "_copies", "_copy", "_node", "copies", "carried", "text_hash", "size", "root", "extra_0"]
+    table = docs.limit(60)
+    for k, name in enumerate(names):
+        table = table.withColumn(name, F.lit(k) + F.col("doc_id"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf)
+        assert out.columns == table.columns, name
+        assert out.count() and all(out.where(F.col(n) != F.lit(k) + F.col("doc_id")).isEmpty() for k, n in enumerate(names)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, table, sf).count() > 0
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
