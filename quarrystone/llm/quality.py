@@ -7,9 +7,9 @@ All of it is a chain of projections over the scan: no shuffle and no Python.
 
 Repeated windows: the hashes of all windows of a document form a long array. If
 it is free of duplicates, as array_distinct tells in one pass, nothing repeats.
-Otherwise the repeated hashes are dealt into buckets, so that looking up a word's
-windows costs a bucket's size and documents of many thousand repeated words stay
-affordable. Hashes are 64 bits and compared within one document only.
+Otherwise (hash, place) are sorted, neighbours of equal hash are repeats, and the
+words at and after their places are counted once each by a hash set: n log n in a
+document's words. Hashes are 64 bits and compared within one document only.
 
 Defined cases: null and empty texts have no words and fail the base rules; a
 ratio over nothing is 0; every row gives a row; other columns are left alone.
@@ -68,18 +68,6 @@ def _any_word(words: Sequence[str]) -> str:
     return rf"(?i)(?<![^{space}])(?:{groups})(?=[^A-Za-z0-9_{space}]*(?:[{space}]|\z))"
 
 
-def _repeated_words(words: str, windows: str, buckets: int = 64) -> Column:
-    """Words that stand in a window found twice or more, from columns words and windows (hashes, one a start)."""
-    return F.expr(
-        f"""aggregate(
-            sequence(0, size({words}) - 1),
-            0L,
-            (n, i) -> n + if(
-                exists(slice({windows}, greatest(i - 1, 1), least(i + 1, 3)), x -> array_contains(get(repeated, cast(pmod(x, {buckets}) as int)), x)),
-                1L, 0L))"""
-    )
-
-
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id and all measures) for each row; ratios are doubles."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -90,11 +78,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = F.transform("words", lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)))
     base = base.withColumn("windows", F.slice(windows, F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))))
     base = base.withColumn("unrepeated", F.size(F.array_distinct("windows")) == F.size("windows"))
-    base = base.withColumn("sorted", F.when(~F.col("unrepeated"), F.sort_array("windows")))
-    twice = F.expr("array_distinct(filter(sorted, (x, i) -> x = get(sorted, i - 1)))")
-    base = base.withColumn("twice", as_column(twice))
-    base = base.withColumn("repeated", as_column(F.expr("transform(sequence(0, 63), b -> filter(twice, x -> pmod(x, 64) = b))")))
-    repeat = F.when(F.col("unrepeated"), F.lit(0).cast("long")).otherwise(_repeated_words("words", "windows"))
+    placed = F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    base = base.withColumn("sorted", as_column(F.when(~F.col("unrepeated"), F.sort_array(placed))))
+    base = base.withColumn("twice", F.expr("filter(sorted, (x, k) -> x.h = get(sorted, k - 1).h or x.h = get(sorted, k + 1).h)"))
+    covered = F.flatten(F.transform("twice", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+    repeat = F.when(F.col("unrepeated"), F.lit(0)).otherwise(F.size(F.array_distinct(covered))).cast("long")
     n_words, n_lines = F.size("words").cast("long"), F.size("lines").cast("long")
     letters = F.length(F.regexp_replace("text", "[^A-Za-z]+", ""))
 
