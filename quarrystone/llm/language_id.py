@@ -7,14 +7,16 @@ bucket to the driver: buckets x languages numbers, whatever the corpus. The
 matrix of log probabilities is broadcast, in fixed point, so that a document's
 score does not depend on the batch it is in. Scoring is numpy over whole texts:
 the n-grams of a batch are hashed at once, the matrix gathered at them and summed
-by document.
+by document. A text above ``SLICE`` characters is gone through in slices that hand
+their last two letters on, which gives the same n-grams in bounded memory.
 
 N-grams are those of the lower-cased text in which a run of characters that are
 not letters counts as one space, so symbols, digits and markup say nothing.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
 documents with null label or null id are never learned from; with no training
-documents every document is ``und``; ties go to the least label.
+documents every document is ``und``; ties go to the least label; columns of the input
+named like the two that are added are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
 SCALE = 1 << 12
+SLICE = 1 << 20
 _letters: list[np.ndarray] = []
 
 
@@ -38,6 +41,36 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
+def _buckets(code: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """The bucket of the n-gram at every start."""
+    spread = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
+    many = len(code) - n + 1
+    h = code[:many] * spread[0]
+    for k in range(1, n):
+        h = (h ^ (h >> np.uint64(29))) * spread[k] + code[k : k + many]
+    h = (h ^ (h >> np.uint64(31))) * spread[0]
+    return (h >> np.uint64(40)).astype(np.int64) & (buckets - 1)
+
+
+def long_ngrams(text: str, buckets: int, most: int = SLICE) -> Iterator[np.ndarray]:
+    """The buckets of a long text's n-grams, slice by slice: together those of ngrams([text])."""
+    lowered = text.lower() + " "
+    tail, tail_letter, after_letter = np.zeros(0, np.uint64), np.zeros(0, bool), False
+    for at in range(0, len(lowered), most):
+        code = np.frombuffer(lowered[at : at + most].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _is_letter()[code]
+        keep = letter | np.concatenate([[after_letter], letter[:-1]])
+        after_letter = bool(letter[-1])
+        code = np.concatenate([tail, np.where(letter, code, 32)[keep].astype(np.uint64)])
+        letter = np.concatenate([tail_letter, letter[keep]])
+        for n in ORDERS:
+            start = max(0, len(tail) - n + 1)
+            if len(code) - start >= n:
+                found = _buckets(code[start:], n, buckets)
+                yield found[letter[start:]] if n == 1 else found
+        tail, tail_letter = code[-2:], letter[-2:]
+
+
 def ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every n-gram of every text, by document; documents without a letter have none."""
     lowered = [(t or "").lower() for t in texts]
@@ -50,25 +83,20 @@ def ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarra
     keep = letter | np.concatenate([[False], letter[:-1]])
     code, doc, letter = np.where(letter, code, 32)[keep].astype(np.uint64), doc[keep], letter[keep]
     out_doc, out_hash = [], []
-    spread = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
     for n in ORDERS:
         many = len(code) - n + 1
         if many <= 0:
             continue
-        h = code[:many] * spread[0]
-        for k in range(1, n):
-            h = (h ^ (h >> np.uint64(29))) * spread[k] + code[k : k + many]
-        h = (h ^ (h >> np.uint64(31))) * spread[0]
         ok = doc[:many] == doc[n - 1 :]
         if n == 1:
             ok &= letter
         out_doc.append(doc[:many][ok])
-        out_hash.append((h[ok] >> np.uint64(40)).astype(np.int64) & (buckets - 1))
+        out_hash.append(_buckets(code, n, buckets)[ok])
     return (np.concatenate(out_doc), np.concatenate(out_hash)) if out_doc else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
-def _slices(b: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """(start, texts) of parts of a batch of about so many characters: bounds the arrays made at once."""
+def _slices(b: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[tuple[int, list[str | None]]]:
+    """(start, texts) of parts of a batch of at most so many characters, or of one longer text: bounds the arrays made at once."""
     part: list[str | None] = []
     start = size = 0
     for i, t in enumerate(b.column(column)):
@@ -111,9 +139,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         for b in batches:
             own = np.array([index[x.as_py()] for x in b.column(0)], np.int64)
             for start, texts in _slices(b, 1):
-                doc, bucket = ngrams(texts, buckets)
-                keys, n = np.unique(own[start:][doc] * buckets + bucket, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+                if len(texts) == 1 and len(texts[0] or "") > SLICE:
+                    found = (own[start] * buckets + bucket for bucket in long_ngrams(texts[0], buckets))
+                else:
+                    doc, bucket = ngrams(texts, buckets)
+                    found = iter([own[start:][doc] * buckets + bucket])
+                for each in found:
+                    keys, n = np.unique(each, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
     counted = rows.where(odds < share).select("label", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most buckets x labels rows
@@ -127,6 +160,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score: the posterior of the prediction, from 0 to 1."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
     at = docs.columns.index(text_col)
@@ -136,11 +170,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         buckets = len(m.matrix)
         for b in batches:
             for start, texts in _slices(b, at):
-                doc, bucket = ngrams(texts, buckets)
-                known = (np.bincount(doc, minlength=len(texts)) > 0) & bool(m.labels)
                 sums = np.zeros((len(texts), max(len(m.labels), 1)), np.int64)
-                for k in range(len(m.labels)):  # int32 sums are exact in doubles
-                    sums[:, k] = np.bincount(doc, weights=np.take(m.matrix[:, k], bucket), minlength=len(texts)) + m.prior[k]
+                sums[:, : len(m.labels)] = m.prior
+                if len(texts) == 1 and len(texts[0] or "") > SLICE:
+                    known = np.zeros(1, bool)
+                    for bucket in long_ngrams(texts[0], buckets):
+                        known |= len(bucket) > 0
+                        for k in range(len(m.labels)):
+                            sums[0, k] += np.take(m.matrix[:, k], bucket).sum(dtype=np.int64)
+                else:
+                    doc, bucket = ngrams(texts, buckets)
+                    known = np.bincount(doc, minlength=len(texts)) > 0
+                    for k in range(len(m.labels)):  # int32 sums are exact in doubles
+                        sums[:, k] += np.bincount(doc, weights=np.take(m.matrix[:, k], bucket), minlength=len(texts)).astype(np.int64)
+                known &= bool(m.labels)
                 best = sums.argmax(axis=1)
                 score = 1 / np.exp((sums - sums.max(axis=1, keepdims=True)) / SCALE).sum(axis=1)
                 names = [m.labels[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
