@@ -10,13 +10,17 @@ projection inside the scan's stage: no shuffle, no user function.
 
 Features: lengths of url, host and path; depth; share of digits and of letters; Shannon
 entropy of the characters; parameters; dots and hyphens of the host; and of the host's
-last label (its suffix) the smoothed share of blocked urls among labelled ones.
-The suffix table holds at most ``max_suffixes`` labels, the most frequent in the labelled
-sample; others take the overall share.
+last label (its suffix) the smoothed share of blocked urls among labelled ones. Training
+urls are dealt into ``folds`` by hash and get the shares of the other folds, so no url's own
+label is in its feature. The suffix table has a row for every suffix of
+the training rows, so it is no larger than those, and is broadcast; a suffix that is not
+there takes the overall share.
 
 Defined cases: a url that is null or has no :// has empty host and path, fits no rule
 and is judged by the model on what there is; with no labelled urls, or none blocked,
-the model allows; labels all blocked make it block; repeated rows are judged alike.
+the model allows; labels all blocked make it block; repeated rows are judged alike; other
+columns come through whatever their names, but those named like the five that are added
+are replaced.
 """
 
 from __future__ import annotations
@@ -56,8 +60,12 @@ def deciding_rule(rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def with_features(rows: DataFrame, url_col: str, suffixes: dict[str, float], overall: float) -> DataFrame:
-    """Adds FEATURES, all doubles."""
+def suffix() -> Column:
+    return F.element_at(F.split("_host", r"\."), -1)
+
+
+def with_features(rows: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds FEATURES but suffix_blocked, all doubles."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     size = F.length(url)
     safe = F.greatest(size, F.lit(1))
@@ -67,10 +75,6 @@ def with_features(rows: DataFrame, url_col: str, suffixes: dict[str, float], ove
         share = (size - F.length(F.replace(url, c, F.lit("")))) / safe
         return F.when((c != "") & (share > 0), -share * F.log2(share)).otherwise(0.0)
 
-    suffix = F.element_at(F.split("_host", r"\."), -1)
-    table = F.lit(overall)
-    for name, value in suffixes.items():
-        table = F.when(suffix == name, F.lit(value)).otherwise(table)
     values = {
         "url_length": size,
         "host_length": F.length("_host"),
@@ -82,9 +86,8 @@ def with_features(rows: DataFrame, url_col: str, suffixes: dict[str, float], ove
         "parameters": F.when(F.instr(url, "?") > 0, 1 + F.length(url) - F.length(F.replace(url, F.lit("&"), F.lit("")))).otherwise(0),
         "dots": F.length("_host") - F.length(F.replace("_host", F.lit("."), F.lit(""))),
         "hyphens": F.length("_host") - F.length(F.replace("_host", F.lit("-"), F.lit(""))),
-        "suffix_blocked": table,
     }
-    return rows.withColumns({name: values[name].cast("double") for name in FEATURES})
+    return rows.withColumns({name: value.cast("double") for name, value in values.items()})
 
 
 class Leaf:
@@ -169,20 +172,46 @@ def boost(rows: DataFrame, scratch: Scratch, trees: int = 8, depth: int = 3, bin
     return model
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", max_train_rows: int = 20_000, max_suffixes: int = 64) -> DataFrame:
-    """pages with host, path, rule, verdict and score (the model's log odds of block) under the names _host, _path, _rule, _verdict, _score."""
-    scratch = Scratch(pages.sparkSession, "urls")
-    rule, verdict = deciding_rule(rules)
-    marked = parsed(pages, url_col).withColumn("_rule", rule).withColumn("_decided", verdict)
-    labelled = marked.where(F.col("_decided").isNotNull()).select(url_col, "_host", "_path", F.when(F.col("_decided") == "block", 1.0).otherwise(0.0).alias("y"))
+ADDED = ("_host", "_path", "_rule", "_verdict", "_score")
+
+
+class Filter:
+    """The trees with the suffix table (suffix, n, blocked) that they were grown with."""
+
+    def __init__(self, model: Boosted, suffixes: DataFrame, overall: float) -> None:
+        self.model, self.suffixes, self.overall = model, suffixes, overall
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Adds FEATURES and _score, the log odds of block, to rows (url, _host, _path)."""
+        share = (F.col("blocked") + 10 * self.overall) / (F.col("n") + 10)
+        known = self.suffixes.select(F.col("suffix").alias("_known"), share.alias("_share"))
+        met = with_features(rows).join(F.broadcast(known), suffix() == F.col("_known"), "left")  # no larger than the training rows
+        return met.withColumn("suffix_blocked", F.coalesce("_share", F.lit(self.overall))).withColumn("_score", self.model.log_odds()).drop("_known", "_share")
+
+
+def train(labelled: DataFrame, max_train_rows: int = 20_000, folds: int = 5) -> Filter:
+    """Learns from labelled rows (url, _host, _path, y), y 1.0 for blocked; from about max_train_rows of them if there are more."""
+    scratch = Scratch(labelled.sparkSession, "urls")
     n = labelled.count()
-    odds = F.pmod(F.xxhash64(url_col, F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = scratch.keep(labelled.where(odds <= min(1.0, max_train_rows / max(n, 1))), "sample")
-    suffix = F.element_at(F.split("_host", r"\."), -1)
-    top = sample.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked")).orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
-    seen, blocked = sum(x.n for x in top), sum(x.blocked for x in top)
+    odds = F.pmod(F.xxhash64("url", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(folds)).cast("int")
+    sample = scratch.keep(labelled.where(odds <= min(1.0, max_train_rows / max(n, 1))).withColumn("fold", fold).withColumn("suffix", suffix()), "sample")
+    counted = [F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked")]
+    suffixes = scratch.keep(sample.groupBy("suffix").agg(*counted), "suffixes")
+    seen, blocked = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     overall = blocked / seen if seen else 0.0
-    suffixes = {x.suffix: (x.blocked + 10 * overall) / (x.n + 10) for x in top}
-    model = boost(with_features(sample, url_col, suffixes, overall), scratch)
-    scored = with_features(marked, url_col, suffixes, overall).withColumn("_score", model.log_odds())
-    return scored.withColumn("_verdict", F.coalesce("_decided", F.when(F.col("_score") > 0, "block").otherwise("allow"))).drop("_decided", *FEATURES)
+    in_fold = sample.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("fold_n"), F.sum("y").alias("fold_blocked"))
+    others = (F.col("blocked") - F.col("fold_blocked") + 10 * overall) / (F.col("n") - F.col("fold_n") + 10)
+    shares = in_fold.join(suffixes, "suffix").select("suffix", "fold", others.alias("suffix_blocked"))
+    return Filter(boost(with_features(sample).join(shares, ["suffix", "fold"]), scratch), suffixes, overall)
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", max_train_rows: int = 20_000) -> DataFrame:
+    """pages with host, path, rule, verdict and score (the model's log odds of block) under the names ADDED."""
+    rule, verdict = deciding_rule(rules)
+    rows = pages.select(F.struct(*pages.columns).alias("carried"), F.col(url_col).alias("url"))
+    marked = parsed(rows).withColumn("_rule", rule).withColumn("_decided", verdict)
+    labelled = marked.where(F.col("_decided").isNotNull()).select("url", "_host", "_path", F.when(F.col("_decided") == "block", 1.0).otherwise(0.0).alias("y"))
+    scored = train(labelled, max_train_rows).score(marked)
+    scored = scored.withColumn("_verdict", F.coalesce("_decided", F.when(F.col("_score") > 0, "block").otherwise("allow")))
+    return scored.select(*[F.col("carried").getField(c).alias(c) for c in pages.columns if c not in ADDED], *ADDED)
