@@ -16,7 +16,9 @@ Defined cases: turns are ordered by turn, then role and text (nulls first); a
 null role or text differs from an empty one when hashing and renders as empty; a
 null conv_id is a conversation of its own; rows with equal conv_id and turn are all
 turns; a conversation that is a prefix only of itself stays; an empty table gives an
-empty result; texts holding a marker have it escaped by a backslash.
+empty result. A backslash is doubled, and one is put into each ``<|`` of a text and
+before each ``|`` of a role, so nothing in a conversation reads as a marker and two
+different conversations never render alike (but for null and empty).
 """
 
 from __future__ import annotations
@@ -30,8 +32,13 @@ OPEN, CLOSE = "<|", "|>"
 
 def render_turn(role: Column, text: Column) -> Column:
     """One turn as <|role|>, a line break, the text, <|end|> and a line break."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(OPEN), F.lit("<\\|"))
-    return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("")), F.lit(CLOSE + "\n"), plain, F.lit("\n" + OPEN + "end" + CLOSE + "\n"))
+
+
+    def doubled(c: Column) -> Column:
+        return F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\"))
+
+    plain = F.replace(doubled(text), F.lit(OPEN), F.lit("<\\|"))
+    return F.concat(F.lit(OPEN), F.replace(doubled(role), F.lit("|"), F.lit("\\|")), F.lit(CLOSE + "\n"), plain, F.lit("\n" + OPEN + "end" + CLOSE + "\n"))
 
 
 def prefix_hashes(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

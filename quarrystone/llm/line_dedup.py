@@ -14,10 +14,16 @@ everything else moved is hashes. A line that occurs in a third of all
 documents is counted by partial aggregation and met by joins that adaptive
 execution can split.
 
+Every line goes with its place, and a document's lines are sorted by key once, so
+that equal ones are neighbours and the first counts the document. What is dropped
+comes back as a set of places, taken from all places by hash: the work on a
+document grows with its lines, however many of them are dropped.
+
 Defined cases: null text is one empty line; a document is a row, so repeated
-rows count once each; keys shorter than ``min_chars`` are never dropped; a null
-doc_id is matched null-safely; an empty table gives an empty result; other
-columns are neither read nor returned.
+rows count once each; keys shorter than ``min_chars`` are never dropped; rows
+without an id, or that share one, are told apart by their text, so they gather
+nowhere; an empty table gives an empty result; other columns are returned only
+as asked for.
 """
 
 from __future__ import annotations
@@ -28,17 +34,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, lower_ascii
+from .common import SPACES, Scratch, as_column, lower_ascii
 
 
 def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACES)))
 
 
-def key_hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
-
-
 class LineRuns:
     """The levelled store. add() takes one batch of (h1, h2) rows, one row per document and key."""
 
@@ -92,27 +94,32 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     Lines are split at \\n; those whose key is in min_docs documents or more go.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("own"), *([F.struct(*carry).alias("carried")] if carry else []))
     also = ["carried"] if carry else []
     lines = F.split("text", "\n")
-    keys = F.array_distinct(F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), key_hash))
-    found = base.select("id", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("h")).select("id", "batch", "h.h1", "h.h2")
+    keyed = F.filter(F.transform(lines, lambda x, i: F.struct(line_key(x).alias("key"), i.alias("place"))), lambda x: F.length(x["key"]) >= min_chars)
+    hashed = F.transform(keyed, lambda x: F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(1), x["key"]).alias("h2"), x["place"].alias("place")))
+    by_key = base.select("id", "own", F.pmod(F.xxhash64("id", "own"), F.lit(batches)).cast("int").alias("batch"), as_column(F.sort_array(hashed)).alias("s"))
+    marked = F.expr("transform(s, (x, i) -> named_struct('h1', x.h1, 'h2', x.h2, 'place', x.place, 'first', i = 0 or get(s, i - 1).h1 <> x.h1 or get(s, i - 1).h2 <> x.h2))")
+    found = by_key.select("id", "own", "batch", F.inline(marked))
     scratch_path = f"{scratch.path}/lines"
     found.write.partitionBy("batch").option("compression", "uncompressed").parquet(scratch_path)
     found = docs.sparkSession.read.schema(found.schema).parquet(scratch_path)
     runs = LineRuns(scratch, min_docs, fanout)
     for batch in range(batches):
-        runs.add(found.where(F.col("batch") == batch).select("h1", "h2"))
+        runs.add(found.where((F.col("batch") == batch) & F.col("first")).select("h1", "h2"))
     dropped = (
         found.join(runs.frequent().hint("merge"), ["h1", "h2"])
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
-        .withColumnRenamed("id", "drop_id")
+        .groupBy("id", "own")
+        .agg(F.collect_set("place").alias("drop"))
+        .withColumnsRenamed({"id": "drop_id", "own": "drop_own"})
     )
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), key_hash(line_key(x)))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get(F.col("lines"), i)))
     return (
-        base.join(dropped.hint("merge"), F.col("id").eqNullSafe(F.col("drop_id")), "left")
-        .select("id", *also, "drop", lines.alias("lines"))
+        base.join(dropped.hint("merge"), F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("own") == F.col("drop_own")), "left")
+        .select("id", *also, "drop", as_column(lines).alias("lines"))
         .select("id", *also, F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
         .select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"), *also)
     )

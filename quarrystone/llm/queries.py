@@ -36,13 +36,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op1_line_dedup"] = """
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.r, k.doc_id
 """
 
 
@@ -100,7 +100,8 @@ p AS (SELECT conv_id, place, n_turns, string_agg(coalesce('r' || role, 'n') || c
 own AS (SELECT min(conv_id) AS conv_id, n_turns, prefix FROM p WHERE place = n_turns GROUP BY n_turns, prefix),
 kept AS (SELECT conv_id, n_turns FROM own WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n_turns AND p.place = own.n_turns AND p.prefix = own.prefix))
 SELECT kept.conv_id, kept.n_turns,
-       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<' || chr(92) || '|') || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+       string_agg('<|' || replace(replace(coalesce(role, ''), chr(92), chr(92) || chr(92)), '|', chr(92) || '|') || '|>' || chr(10)
+                  || replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
 FROM kept JOIN t ON t.conv_id = kept.conv_id GROUP BY kept.conv_id, kept.n_turns
 """
 
