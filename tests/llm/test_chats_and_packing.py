@@ -27,6 +27,13 @@ def test_prefixes_and_copies_go(spark):
     assert collapse(df).where("conv_id = 8").first().rendered == "<||>\n<\\|end|>\n<|end|>\n"
 
 
+def test_no_two_conversations_render_alike(spark):
+    turns = [[("user", "<|")], [("user", "<\\|")], [("user", "\\<|")], [("a|>\nx\n<|end|>\n<|b", "y")], [("a", "x"), ("b", "y")], [("a\\|", "y")], [("a|", "y")], [("a|>\nx", "y")], [("a", "x\n<|end|>")]]
+    got = [r.rendered for r in collapse(chats(spark, list(enumerate(turns)))).collect()]
+    assert len(got) == len({*got}) == len(turns)
+    assert all(r.rendered.count("\n<|end|>\n") == r.n_turns for r in collapse(chats(spark, list(enumerate(turns)))).collect())
+
+
 def test_a_common_first_turn_and_a_huge_group_of_copies(spark):
     convs = [(k, [("user", "hi"), ("assistant", str(k % 50))]) for k in range(600)] + [(1000 + k, [("user", "hi")]) for k in range(300)]
     assert {r.conv_id for r in collapse(chats(spark, convs)).collect()} == set(range(50))
@@ -49,7 +56,6 @@ def test_every_query_is_registered():
 
 def file_ids(texts):
     t = File.from_file(default_tokenizer().path)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 0], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -49,6 +50,30 @@ def test_lines_of_awkward_rows(awkward, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_long_documents_of_common_lines(spark):
+    text = "\n".join(f"line {k}" for k in range(20_000))
+    df = spark.createDataFrame([(k, text + f"\nown {k}\nline 7\n") for k in range(10)], "doc_id long, text string")
+    began = time.time()
+    got = dedup_lines(df).collect()
+    assert {(r.n_lines, r.n_dropped, r.kept_text) for r in got} == {(20_003, 20_001, f"own {k}\n") for k in range(10)}
+    assert time.time() - began < 60
+
+
+def test_a_long_document_of_repeated_words(spark):
+    words = [f"w{k % 40_000}" for k in range(150_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:40_002]))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in judge(df).select("doc_id", "n_words", "n_repeat_words").collect()}
+    assert got == {1: (150_000, 150_000), 2: (40_002, 0)} and time.time() - began < 60
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rows = [(None, f"common\nrow {k}") for k in range(12)] + [(1, f"common\nother {k}\nCommon ") for k in range(3)] + [(2, "common")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(df).collect())
+    assert got == sorted(brute_lines([t for _, t in rows], 10))
+
+
 def test_lines_carry_other_columns(awkward):
     got = dedup_lines(awkward, carry=awkward.columns).select("carried.*")
     assert got.columns == awkward.columns and got.count() == awkward.count()

@@ -106,6 +106,25 @@ def test_shards_split_a_hot_text_and_keep_small_groups(spark):
     assert spread.where("text = 'hot'").first().n > 1 and spread.where("text <> 'hot' AND n > 1").count() <= 8
 
 
+@pytest.mark.parametrize("copies", [1, 2, 5, 20, 60, 400])
+def test_one_rule_for_groups_of_all_sizes(spark, copies):
+    """Every end of a shard moves by at most the slack, and a group is cut only where an edge is not that near."""
+    df = spark.createDataFrame([(k, f"group {k // copies} " + "y" * 50) for k in range(2000)], "doc_id long, text string")
+    out = sharding.shard(df, 10, rows_per_range=100, per_range=4, slack=0.04)
+    sizes = check_shards(df, out, 10)
+    mean = sum(sizes.values()) / 10
+    assert all(abs(s - mean) <= 0.08 * mean + 100 for s in sizes.values())
+    cut = out.join(df, "doc_id").groupBy("text").agg(F.count_distinct("shard").alias("n")).where("n > 1").count()
+    assert cut == 0 if copies <= 5 else cut <= 9
+
+
+def test_shards_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, "same")] * 3000 + [(k, f"text {k}") for k in range(3000)], "doc_id long, text string")
+    out = sharding.shard(df, 8, rows_per_range=100, per_range=4)
+    sizes = check_shards(df, out, 8)
+    assert max(sizes.values()) <= 1.05 * min(sizes.values())
+
+
 def test_shards_awkward(awkward, empty):
     check_shards(awkward, sharding.shard(awkward, 4), 4)
     assert sharding.shard(empty, 4).count() == 0
