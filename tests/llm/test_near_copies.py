@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from quarrystone.llm.near_copies import _across, least_agreement, near_copies
+from quarrystone.llm.near_copies import BANDS, ROWS, _across, _like_another, _permutations, least_agreement, minima, near_copies, shingles, similarity
 from quarrystone.llm.simhash import simhash
 
 
@@ -53,8 +55,8 @@ def test_documents_against_brute_force(docs, texts):
     assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == brute(texts)
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_texts_that_share_passages_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(3, 200), (4096, 1 << 21)])
+def test_texts_that_share_passages_against_brute_force(spark, block, most):
     """Texts around the threshold, many of them in the same buckets, with buckets above and below the size of a block."""
     rng = random.Random(9)
     passage = [f"p{k}" for k in range(60)]
@@ -64,20 +66,40 @@ def test_texts_that_share_passages_against_brute_force(spark, block):
         at = rng.randrange(2)
         texts[k] = " ".join(passage + own if at else own + passage)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in near_copies(docs, block=block).collect()} == brute(texts)
+    assert {r.doc_id: r.component_id for r in near_copies(docs, block=block, block_shingles=most).collect()} == brute(texts)
 
 
-def test_blocks_find_every_pair(spark):
-    """All pairs across components of one bucket, whatever the size of its blocks."""
+def test_blocks_link_all_that_is_similar(spark):
+    """Across components of one bucket, whatever the size of its blocks."""
     rng = random.Random(7)
-    base = bytes(rng.randrange(256) for _ in range(160))
-    sketch = [bytes(b if rng.random() < 0.7 else 0 for b in base) for _ in range(40)]
-    rows = [(1, k, k % 5 if k < 20 else 9, bytearray(x)) for k, x in enumerate(sketch)]
-    want = {(b, a) for a in range(40) for b in range(a + 1, 40) if rows[a][2] != rows[b][2] and sum(x == y for x, y in zip(sketch[a], sketch[b], strict=True)) >= least_agreement(0.8)}
-    assert 0 < len(want) < 40 * 39 / 2
-    members = spark.createDataFrame(rows, "p long, node long, root long, sketch binary")
+    texts = {k: changed(rng.sample(range(200), rng.randrange(12))) for k in range(40)}
+    sets = {k: shingles(t.encode()) for k, t in texts.items()}
+    root = {k: k % 5 if k < 20 else 9 for k in texts}
+    sketch = {k: minima(x, _permutations()) for k, x in sets.items()}
+    rows = [(1, 0, k, root[k], bytearray(x.astype("u1").tobytes() + np.full(32, 1, np.int64).tobytes()), sets[k].astype("i8").tolist()) for k, x in sketch.items()]
+    members = spark.createDataFrame(rows, "p long, band int, node long, root long, sketch binary, shingles array<long>")
+    alike = {(b, a) for a in range(40) for b in range(a + 1, 40) if root[a] != root[b] and similarity(sets[a], sets[b]) >= 0.8}
+    want = joined(range(40), alike, root)
+    assert 0 < len(alike) < 40 * 39 / 2
     for block in (4, 7, 100):
-        assert {(r.u, r.v) for r in _across(members, 0.8, block).collect()} == want
+        close = {r.node for r in _like_another(members, 0.8, block).collect()}
+        assert close >= {k for pair in alike for k in pair}
+        got = {(r.u, r.v) for r in _across(members, 0.8, 60 * block).collect()}
+        assert got <= alike and joined(range(40), got, root) == want
+
+
+def joined(nodes, links, root):
+    """The groups of nodes that links and equal roots join."""
+    groups = {frozenset(n for n in nodes if root[n] == r) for r in set(root.values())}
+    for a, b in links:
+        x, y = next(g for g in groups if a in g), next(g for g in groups if b in g)
+        groups = (groups - {x, y}) | {x | y}
+    return groups
+
+
+def test_least_agreement():
+    n, most = BANDS * ROWS, least_agreement(0.8) - 1
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(most + 1)) < 4e-6
 
 
 @pytest.mark.parametrize("size", [300])
