@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrystone.scratch import written
+
 # Keys whose presence makes an outcome assessed.
 ASSESSED_KEYS = ("Risk of bias", "No of participants", "Effect", "Certainty", "result_interpretation")
 
@@ -81,15 +84,47 @@ def delete_triplets(edges: DataFrame, nodes: DataFrame, gone: DataFrame) -> tupl
     return rest, nodes.join(touched.join(linked, "id", "left_anti"), "id", "left_anti")
 
 
-def topological_levels(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, level): the longest path from a node without a parent, by a recursive query; for acyclic (parent, child) tables of modest depth."""
-    edges.createOrReplaceTempView("_edges")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(node, level) AS (
-            SELECT parent, 0 FROM _edges WHERE parent NOT IN (SELECT child FROM _edges)
-            UNION ALL SELECT e.child, w.level + 1 FROM walk w JOIN _edges e ON e.parent = w.node WHERE w.level < {most})
-        SELECT node, max(level) AS level FROM walk GROUP BY node"""
-    )
+def topological_levels(edges: DataFrame, most_local: int = 1 << 20) -> DataFrame:
+    """(node, level): the longest path from a node without a parent, for acyclic tables of (parent, child); a cycle raises ValueError.
+
+    Level by level, every edge is removed once, so neither depth nor the number of paths is bounded. A table counted
+    to hold at most most_local edges is levelled in the driver, a larger one by joins, two written tables a level.
+    """
+    spark, kind = edges.sparkSession, edges.schema["parent"].dataType.simpleString()
+    left = written(edges.select("parent", "child").distinct(), "edges")
+    if left.limit(most_local + 1).count() <= most_local:
+        return spark.createDataFrame(_levels([tuple(r) for r in left.collect()]), f"node {kind}, level int")
+    done, level = None, 0
+    while not left.isEmpty():
+        now = written(left.select("parent").distinct().join(left.select(F.col("child").alias("parent")), "parent", "left_anti"), "level")
+        if now.isEmpty():
+            raise ValueError("the edges have a cycle")
+        rest = written(left.join(now, "parent", "left_anti"), "edges")
+        ends = left.join(now, "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        ends = ends.join(rest.select(F.explode(F.array("parent", "child")).alias("node")), "node", "left_anti")
+        found = now.select(F.col("parent").alias("node"), F.lit(level).alias("level")).unionByName(ends.withColumn("level", F.lit(level + 1)))
+        done = found if done is None else done.unionByName(found)
+        left, level = rest, level + 1
+    return done
+
+
+def _levels(edges: list[tuple]) -> list[tuple]:
+    children, waiting = defaultdict(list), Counter(child for _, child in edges)
+    for parent, child in edges:
+        children[parent].append(child)
+    out, level = [], 0
+    now = [n for n in children if n not in waiting]
+    while now:
+        out += [(n, level) for n in now]
+        after = []
+        for child in (c for n in now for c in children.get(n, ())):
+            waiting[child] -= 1
+            if not waiting[child]:
+                after.append(child)
+        now, level = after, level + 1
+    if len(out) < len({n for e in edges for n in e}):
+        raise ValueError("the edges have a cycle")
+    return out
 
 
 def graph_elements(text: Column) -> Column:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.scratch import written
+
 
 class Client(Protocol):
     def __call__(self, prompt: str) -> str: ...
@@ -35,7 +37,10 @@ def prompt_key(prompt: str | Column) -> Column:
 
 
 def model_map(rows: DataFrame, prompt: str, client: Callable[[], Client], cache: DataFrame | None = None, concurrency: int = 4, retries: int = 3, pause: float = 0.0) -> DataFrame:
-    """rows with response and error. cache has (key, response); each distinct prompt outside it is asked once."""
+    """rows with response and error. cache has (key, response); each distinct prompt outside it is asked once.
+
+    The answers are written to the shared folder before this returns, so nothing that reads the result asks again.
+    """
     keyed = rows.withColumn("_key", prompt_key(prompt))
     asked = keyed.select("_key", F.col(prompt).alias("_prompt")).dropDuplicates(["_key"])
     if cache is not None:
@@ -59,7 +64,7 @@ def model_map(rows: DataFrame, prompt: str, client: Callable[[], Client], cache:
                 out.append((key, answer, error))
             yield pd.DataFrame(out, columns=["_key", "response", "error"])
 
-    answers = asked.repartition(concurrency, "_key").mapInPandas(call, "_key string, response string, error string")
+    answers = written(asked.repartition(concurrency, "_key").mapInPandas(call, "_key string, response string, error string"), "answers")
     if cache is not None:
         answers = answers.unionByName(known.dropDuplicates(["_key"]))
     return keyed.join(answers, "_key", "left").drop("_key")

@@ -8,11 +8,14 @@ the shuffle, and every tie goes to the lower index.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrystone.functions.text import tokenize
+from quarrystone.scratch import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -44,16 +47,25 @@ BROADCAST_ROWS = 500_000
 def bm25_scores(docs: DataFrame, queries: DataFrame, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question", tokens: Column | None = None, question_tokens: Column | None = None) -> DataFrame:
     """(q, idx, score) of all documents that share a term with the query; query terms count as often as they occur.
 
-    Lengths come with the row, document frequencies from distinct terms by partial
-    aggregation, and only postings of query terms are shuffled.
+    The documents are tokenised once, into a written table that totals, document frequencies
+    and postings read by column; only postings of query terms are shuffled.
     """
+    return _scores(*_term_tables(docs, queries, idx, text, q, question, tokens, question_tokens))
+
+
+def _term_tables(docs: DataFrame, queries: DataFrame, idx: str, text: str, q: str, question: str, tokens: Column | None = None, question_tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(idx, dl, _terms) and (q, term, qtf), both written."""
     terms = tokenize(F.col(text)) if tokens is None else tokens
     # The length is computed below the explode: above it, it would be computed again for every word.
-    split = docs.select(F.col(idx).alias("idx"), terms.alias("_terms")).select("idx", F.size("_terms").alias("dl"), "_terms")
+    split = written(docs.select(F.col(idx).alias("idx"), terms.alias("_terms")).select("idx", F.size("_terms").alias("dl"), "_terms"), "terms")
+    asked = written(postings(queries, q, question, question_tokens).withColumnsRenamed({"idx": "q", "tf": "qtf"}), "asked")
+    return split, asked
+
+
+def _scores(split: DataFrame, asked: DataFrame) -> DataFrame:
     totals = split.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_dl"))
     df = split.select(F.explode(F.array_distinct("_terms")).alias("term"))
     weights = term_weights(df, totals.select("n"))
-    asked = postings(queries, q, question, question_tokens).withColumnsRenamed({"idx": "q", "tf": "qtf"})
     small = asked.count() <= BROADCAST_ROWS
 
     def near(side: DataFrame) -> DataFrame:
@@ -68,10 +80,12 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, idx: str = "idx", text: str
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question", **tokens: Column) -> DataFrame:
     """(q, idx, score, rank): the k best documents; where fewer match, those of score 0 with the lowest indices follow."""
-    scored = bm25_scores(docs, queries, idx, text, q, question, **tokens)
-    lowest = docs.select(F.col(idx).alias("idx")).orderBy("idx").limit(k)
-    fill = queries.select(F.col(q).alias("q")).crossJoin(lowest).join(scored, ["q", "idx"], "left_anti").select("q", "idx", F.lit(0.0).alias("score"))
-    return top_k(scored.unionByName(fill), k)
+    split, asked = _term_tables(docs, queries, idx, text, q, question, **tokens)
+    lowest = written(split.orderBy("idx").limit(k), "lowest")
+    # Which of the few lowest documents match is read from their own terms, so scoring stands in the plan once.
+    matched = lowest.select("idx", F.explode(F.array_distinct("_terms")).alias("term")).join(asked.select("q", "term"), "term").select("q", "idx").distinct()
+    fill = queries.select(F.col(q).alias("q")).crossJoin(lowest.select("idx")).join(matched, ["q", "idx"], "left_anti").select("q", "idx", F.lit(0.0).alias("score"))
+    return top_k(_scores(split, asked).unionByName(fill), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -98,7 +112,7 @@ def similarity(kind: str) -> Column:
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, kind: str = "cosine", idx: str = "idx", vector: str = "v", q: str = "q") -> DataFrame:
-    """(q, idx, score) of every vector for every query: an exact scan in blocks, norms computed once a row."""
+    """(q, idx, score) of every vector for every query: an exact join of all pairs, norms computed once a row."""
     rows = vectors.select(F.col(idx).alias("idx"), F.col(vector).alias("v")).withColumn("n", norm(F.col("v")))
     asked = queries.select(F.col(q).alias("q"), F.col(vector).alias("qv")).withColumn("qn", norm(F.col("qv")))
     return asked.crossJoin(rows).select("q", "idx", F.round(similarity(kind), 6).alias("score"))
@@ -156,12 +170,43 @@ def pair_similarity(ta: Column, tb: Column) -> Column:
     return F.when((F.size(ta) > 0) | (F.size(tb) > 0), F.when(norms > 0, shared / norms).otherwise(0.0))
 
 
+def prefix_terms(terms: Column, least: float) -> Column:
+    """The first of a text's distinct terms, longest first, of which two texts more similar than least share one.
+
+    If a pair's similarity is above least, the squared counts of the terms that it does not share are below a
+    share r / (1 + r) of all, r = (1 - least ** 2) / (least ** 2 * w), w the square of an unshared term's weight. So
+    the first shared term stands within the first terms whose squared counts reach that share, on both sides.
+    """
+    apart = (1 + log(1.5)) ** 2
+    r = (1 - least**2) / (least**2 * apart)
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(terms), lambda t: F.struct((0 - F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    squares = F.transform(ordered, lambda t: F.pow(F.size(F.filter(terms, lambda y: y == t)), F.lit(2)))
+    whole = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+
+    def before(i: Column) -> Column:
+        return F.aggregate(F.slice(squares, F.lit(1), i), F.lit(0.0), lambda a, x: a + x)
+
+    return F.filter(ordered, lambda t, i: before(i) < whole * (r / (1 + r)) + 1e-9)
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float = 0.9) -> DataFrame:
-    """Pairs of similarity strictly above least. They share a term, so candidates come from an equi-join on terms; no pair of strangers is formed.
+    """Pairs of similarity strictly above least (0 < least < 1), exactly: candidates come from an equi-join on prefix_terms, at 0.9 one or two of a short text.
+
+    A pair is kept at the first term that both prefixes hold, so no distinct over whole rows is needed.
+    """
+    a = left.withColumn("_ta", text_terms(F.col(left_text))).withColumn("_pa", prefix_terms(F.col("_ta"), least)).withColumn("_term", F.explode("_pa"))
+    b = right.withColumn("_tb", text_terms(F.col(right_text))).withColumn("_pb", prefix_terms(F.col("_tb"), least)).withColumn("_term", F.explode("_pb"))
+    candidates = a.join(b, "_term").where(F.col("_term") == F.get(F.array_intersect("_pa", "_pb"), F.lit(0)))
+    return candidates.withColumn("similarity", F.round(pair_similarity(F.col("_ta"), F.col("_tb")), 6)).where(F.col("similarity") > least).drop("_ta", "_tb", "_pa", "_pb", "_term")
+
+
+def best_match(left: DataFrame, right: DataFrame, left_text: str, right_text: str, order: str, least: float = 0.9) -> DataFrame:
+    """left with the first row of right, by order, whose text is similar: what a loop over candidates in that order returns. Rows without one go.
 
-    A pair is kept at its least shared term alone, so no distinct over whole rows is needed.
+    Equal texts are compared once: only representatives are joined, so copies never multiply.
     """
-    a = left.withColumn("_ta", text_terms(F.col(left_text))).withColumn("_term", F.explode(F.array_distinct("_ta")))
-    b = right.withColumn("_tb", text_terms(F.col(right_text))).withColumn("_term", F.explode(F.array_distinct("_tb")))
-    candidates = a.join(b, "_term").where(F.col("_term") == F.array_min(F.array_intersect("_ta", "_tb")))
-    return candidates.withColumn("similarity", F.round(pair_similarity(F.col("_ta"), F.col("_tb")), 6)).where(F.col("similarity") > least).drop("_ta", "_tb", "_term")
+    mine = left.select(F.col(left_text).alias("_left")).distinct()
+    theirs = right.groupBy(F.col(right_text).alias("_right")).agg(F.min(order).alias(order))
+    pairs = fuzzy_join(mine, theirs, "_left", "_right", least)
+    best = pairs.groupBy("_left").agg(F.min_by(F.struct(order, F.col("_right").alias(right_text), "similarity"), order).alias("_best"))
+    return left.join(best, F.col(left_text) == F.col("_left")).select(*left.columns, "_best.*")
