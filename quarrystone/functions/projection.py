@@ -137,5 +137,5 @@ def key_value_lines(values: Column, missing: str = "Not reported\n") -> Column:
 
 
 def drop_long_lists(values: Column, most: int = 128) -> Column:
-    """Null for a list that is as long as an embedding."""
-    return F.when(F.size(values) <= most, values)
+    """Null for a list that is as long as an embedding: ``most`` values or more."""
+    return F.when(F.size(values) < most, values)

@@ -69,8 +69,9 @@ def normalize_topic(text: Column, unescape: bool = True) -> Column:
     return F.trim(F.regexp_replace(clean_text(text, unescape), r"(?U)^\d+\.\s*", ""))
 
 
-def split_numbered(text: Column) -> Column:
-    """Items that begin with a number, a full stop and a capital; text before the first is dropped; without any, the whole text."""
+def split_numbered(text: Column, unescape: bool = True) -> Column:
+    """Items of the cleaned text that begin with a number, a full stop and a capital; text before the first is dropped; without any, the whole text."""
+    text = clean_text(text, unescape)
     parts = F.transform(F.split(text, r"(?:^|\s)(?=\d+\.\s+[A-Z])"), lambda x: F.trim(x))
     items = F.filter(parts, lambda x: x.rlike(r"^\d+\.\s+[A-Z]"))
     return F.when(F.size(items) > 0, items).when(F.trim(text) != "", F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
@@ -83,8 +84,8 @@ def split_questions(text: Column) -> Column:
 
 
 def dedupe(values: Column) -> Column:
-    """Trimmed, non-blank values at their first occurrence."""
-    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
+    """Cleaned, non-blank values at their first occurrence. Entities stay: no Python function runs inside an array, so unescape before."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: clean_text(x, unescape=False)), lambda x: x != ""))
 
 
 def json_object(text: Column) -> Column:
@@ -138,7 +139,7 @@ def truncate(text: Column, most: int) -> Column:
     """The first ``most`` characters with a marker; 0 or less leaves text alone."""
     if most <= 0:
         return text
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most)), F.lit("...[truncated]"))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most), r"(?U)\s+\z", ""), F.lit("...[truncated]"))).otherwise(text)
 
 
 def match_name(text: Column) -> Column:

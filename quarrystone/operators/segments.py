@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,13 @@ def merge_runs(rows: DataFrame, by: Sequence[str], order: str, section: str, tex
     return marked.groupBy(*by, "run", section).agg(texts.alias(text))
 
 
-def skip_sections(rows: DataFrame, section: str, skipped: Sequence[str] = ("References",)) -> DataFrame:
-    return rows.where(~F.col(section).isin(list(skipped)))
+# Headings of reference lists.
+REFERENCE_SECTIONS = ("REFERENCES", "REFERENCE", "Reference", "References")
+
+
+def skip_sections(rows: DataFrame, section: str, skipped: Sequence[str] = REFERENCE_SECTIONS) -> DataFrame:
+    """rows but those of the skipped sections; rows without a section stay."""
+    return rows.where(~F.coalesce(F.col(section).isin(list(skipped)), F.lit(False)))
 
 
 def sections(rows: DataFrame, by: Sequence[str], order: str, text: str, is_heading: Column) -> DataFrame:
@@ -42,40 +48,52 @@ def windows(rows: DataFrame, idx: str, text: str, size: int, overlap: int) -> Da
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
-def _pieces(text: str, size: int, separators: Sequence[str]) -> Iterator[str]:
+def _atoms(text: str, size: int, separators: Sequence[str]) -> Iterator[str]:
+    """Parts of at most size characters, each cut after the first separator that makes it fit; joined they are the text."""
     if len(text) <= size:
         yield text
         return
     mark, *rest = separators
-    parts = text.split(mark) if mark else [text[k : k + size] for k in range(0, len(text), size)]
-    held = ""
+    if not mark:
+        yield from (text[k : k + size] for k in range(0, len(text), size))
+        return
+    parts = text.split(mark)
     for k, part in enumerate(parts):
-        part = part + (mark if k < len(parts) - 1 else "")
-        if len(held) + len(part) <= size:
-            held += part
-            continue
-        if held:
-            yield held
-        held = ""
-        if len(part) > size:
-            yield from _pieces(part, size, rest)
-        else:
-            held = part
-    if held:
-        yield held
-
-
-def recursive_chunks(rows: DataFrame, idx: str, text: str, size: int = 2000, separators: Sequence[str] = SEPARATORS) -> DataFrame:
-    """(idx, chunk, piece): pieces of at most size characters, cut at the first separator that makes them fit; joined they are the text."""
+        yield from _atoms(part + mark * (k < len(parts) - 1), size, rest)
+
+
+def _pieces(text: str, size: int, overlap: int, separators: Sequence[str]) -> Iterator[tuple[int, str]]:
+    """(start, piece): as many parts as fit; the next piece begins with the last ones of this, up to overlap characters."""
+    held: deque[str] = deque()
+    start = length = 0
+    # Parts no longer than the overlap can be repeated; without an overlap they may fill a piece.
+    for atom in _atoms(text, min(size, overlap) if overlap else size, separators):
+        if held and length + len(atom) > size:
+            yield start, "".join(held)
+            while held and (length > overlap or length + len(atom) > size):
+                start += len(held[0])
+                length -= len(held.popleft())
+        held.append(atom)
+        length += len(atom)
+    if length:
+        yield start, "".join(held)
+
+
+def recursive_chunks(rows: DataFrame, idx: str, text: str, size: int = 2000, overlap: int | None = None, separators: Sequence[str] = SEPARATORS) -> DataFrame:
+    """(idx, chunk, start, piece): pieces of at most size characters, cut after the first separators that make them fit.
+
+    Each begins with the end of the one before, up to overlap characters (a fifth of size unless given).
+    """
     kind = rows.schema[idx].dataType
-    schema = T.StructType([T.StructField(idx, kind), T.StructField("chunk", T.LongType()), T.StructField("piece", T.StringType())])
+    again = size // 5 if overlap is None else overlap
+    schema = T.StructType([T.StructField(idx, kind), T.StructField("chunk", T.LongType()), T.StructField("start", T.LongType()), T.StructField("piece", T.StringType())])
 
     def cut(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            out = [(i, k, p) for i, t in zip(batch[idx], batch[text], strict=True) for k, p in enumerate(_pieces(t or "", size, separators))]
-            yield pd.DataFrame(out, columns=[idx, "chunk", "piece"])
+            out = [(i, k, at, p) for i, t in zip(batch[idx], batch[text], strict=True) for k, (at, p) in enumerate(_pieces(t or "", size, again, separators))]
+            yield pd.DataFrame(out, columns=[idx, "chunk", "start", "piece"])
 
     return rows.select(idx, text).mapInPandas(cut, schema)
 

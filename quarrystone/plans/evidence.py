@@ -55,18 +55,12 @@ def latest(spark: SparkSession, sf: str) -> DataFrame:
     return E.latest(table(spark, sf, "events").select("user_id", "event_type", "event_id", "value"), ["user_id"], "event_id", F.col("value") > 10).select("user_id", "event_type", "event_id")
 
 
-@query("o2_whole_natural_order", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_linenumber, l_orderkey) AS n FROM lineitem")
+@query("o2_natural_order", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_linenumber, l_orderkey) AS n FROM lineitem")
 def whole_natural(spark: SparkSession, sf: str) -> DataFrame:
     """Codes like Q.2.10 of all lines in the order of their numbers."""
     return _numbered(table(spark, sf, "lineitem"))
 
 
-@query("o2_natural_order", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_linenumber, l_orderkey) AS n FROM lineitem WHERE l_orderkey < 500 AND l_linenumber < 12")
-def natural(spark: SparkSession, sf: str) -> DataFrame:
-    """Codes like Q.2.10 in the order of their numbers."""
-    return _numbered(table(spark, sf, "lineitem").where("l_orderkey < 500 AND l_linenumber < 12"))
-
-
 def _numbered(lines: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 

@@ -64,7 +64,7 @@ def payload(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.lit(None).cast("string"), F.lit("")).alias("topic"))
 
 
-@query("p6_truncate", "SELECT doc_id, CASE WHEN length(text) > 80 THEN rtrim(substring(text, 1, 80)) || '...[truncated]' ELSE text END AS short FROM documents")
+@query("p6_truncate", "SELECT doc_id, CASE WHEN length(text) > 80 THEN regexp_replace(substring(text, 1, 80), '[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '') || '...[truncated]' ELSE text END AS short FROM documents")
 def truncate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.truncate(F.col("text"), 80).alias("short"))
 
@@ -122,10 +122,11 @@ def arithmetic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (a + b).alias("added"), (a - b).alias("subtracted"), (a * b).alias("multiplied"))
 
 
-@query("p19_drop_long_lists", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN NULL ELSE 3 END AS kept FROM embeddings")
+@query("p19_drop_long_lists", "SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN 7 - vec_id % 3 END AS kept FROM embeddings")
 def drop_long(spark: SparkSession, sf: str) -> DataFrame:
-    values = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 3))
-    rows = table(spark, sf, "embeddings").select("vec_id", P.drop_long_lists(values, 8).alias("v"))
+    """Lists of 7, 6 and 5 values, at the bound and below it."""
+    values = F.slice("embedding", F.lit(1), (7 - F.col("vec_id") % 3).cast("int"))
+    rows = table(spark, sf, "embeddings").select("vec_id", P.drop_long_lists(values, 7).alias("v"))
     return rows.select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("kept"))
 
 

@@ -110,16 +110,11 @@ def payload_override(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")), "c_mktsegment").alias("field"))
 
 
-@query("j2_whole_full_outer", "SELECT coalesce(a.doc_id, b.vec_id) AS id, coalesce(a.n_chars, 0) AS chars, coalesce(b.label, -1) AS label FROM documents a FULL JOIN embeddings b ON a.doc_id = b.vec_id")
+@query("j2_full_outer", "SELECT coalesce(a.doc_id, b.vec_id) AS id, coalesce(a.n_chars, 0) AS chars, coalesce(b.label, -1) AS label FROM documents a FULL JOIN embeddings b ON a.doc_id = b.vec_id")
 def whole_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return _outer(table(spark, sf, "documents"), table(spark, sf, "embeddings"))
 
 
-@query("j2_full_outer", "SELECT coalesce(a.doc_id, b.vec_id) AS id, coalesce(a.n_chars, 0) AS chars, coalesce(b.label, -1) AS label FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) a FULL JOIN embeddings b ON a.doc_id = b.vec_id")
-def full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    return _outer(table(spark, sf, "documents").where("doc_id % 2 = 0"), table(spark, sf, "embeddings"))
-
-
 def _outer(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     a = docs.select(F.col("doc_id").alias("id"), "n_chars")
     b = vectors.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
@@ -132,16 +127,11 @@ def override_last(spark: SparkSession, sf: str) -> DataFrame:
     return R.override(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), known, "o_orderkey", ["o_orderpriority"], "l_extendedprice")
 
 
-@query("j4_whole_related_papers", "SELECT l_orderkey AS outcome, l_partkey AS paper_uid, p_name AS title FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey")
+@query("j4_related_papers", "SELECT l_orderkey AS outcome, l_partkey AS paper_uid, p_name AS title FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey")
 def whole_related(spark: SparkSession, sf: str) -> DataFrame:
     return _related(spark, sf, table(spark, sf, "lineitem"))
 
 
-@query("j4_related_papers", "SELECT l_orderkey AS outcome, l_partkey AS paper_uid, p_name AS title FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 2000) JOIN part ON p_partkey = l_partkey")
-def related(spark: SparkSession, sf: str) -> DataFrame:
-    return _related(spark, sf, table(spark, sf, "lineitem").where("l_orderkey < 2000"))
-
-
 def _related(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
     outcomes = lines.groupBy(F.col("l_orderkey").alias("outcome")).agg(F.collect_set("l_partkey").alias("related_paper_list"))
     papers = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_uid"), F.col("p_name").alias("title"))
@@ -229,17 +219,13 @@ def transfer(spark: SparkSession, sf: str) -> DataFrame:
     return R.transfer(source, target, "doc_id", F.col("quality") == 1).select("doc_id", "origin")
 
 
-_FILES = "SELECT (event_id // 4) AS ts, event_id % 4 AS run, event_id FROM events WHERE event_id % 17 <> 3 AND event_id < 400"
-
-
-@query("s11_whole_newest_complete", "WITH f AS (SELECT (event_id // 4) AS ts, event_id % 4 AS run, event_id FROM events) SELECT ts, run, event_id FROM f WHERE ts = (SELECT max(ts) FROM (SELECT ts FROM f GROUP BY ts HAVING count(DISTINCT run) = 4))")
-def whole_newest(spark: SparkSession, sf: str) -> DataFrame:
-    return _newest(table(spark, sf, "events"))
+_FILES = "SELECT (event_id // 4) AS ts, event_id % 4 AS run, event_id FROM events WHERE value > 10"
 
 
-@query("s11_newest_complete", f"WITH f AS ({_FILES}) SELECT ts, run, event_id FROM f WHERE run < 4 AND ts = (SELECT max(ts) FROM (SELECT ts FROM f WHERE run < 4 GROUP BY ts HAVING count(DISTINCT run) = 4))")
+@query("s11_newest_complete", f"WITH f AS ({_FILES}) SELECT ts, run, event_id FROM f WHERE ts = (SELECT max(ts) FROM (SELECT ts FROM f GROUP BY ts HAVING count(DISTINCT run) = 4))")
 def newest(spark: SparkSession, sf: str) -> DataFrame:
-    return _newest(table(spark, sf, "events").where("event_id % 17 <> 3 AND event_id < 400"))
+    """An event of a value of 10 or less is a run that left no file."""
+    return _newest(table(spark, sf, "events").where("value > 10"))
 
 
 def _newest(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import retrieval as R
+from quarrystone.operators import workflow as W
 
 from .base import Queries, declare, table
 
@@ -79,6 +80,12 @@ def dense_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return R.dense_search(_vectors(spark, sf), _vector_queries(spark, sf))
 
 
+@query("r11_examples", f"WITH {_COSINE} {_TOP.format('dense', 3)}")
+def examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest examples for prompts."""
+    return W.examples(_vectors(spark, sf), _vector_queries(spark, sf))
+
+
 def _dense(kind: str, sql: str) -> None:
     @query(f"r15_dense_{kind}", f"WITH s AS (SELECT item_id AS q, e.vec_id AS idx, round({sql}, 6) AS score FROM benchmark JOIN embeddings x ON x.vec_id = item_id CROSS JOIN embeddings e) {_TOP.format('s', 5)}")
     def dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,18 +150,12 @@ def without_self(spark: SparkSession, sf: str) -> DataFrame:
     return rest.select("q", F.inline("hits"))
 
 
-@query("r10_whole_per_source_topk", f"WITH {_bm25(_TOKENS)}, s AS (SELECT scored.*, source FROM scored JOIN documents ON doc_id = idx WHERE score > 0) SELECT q, source, idx, score, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, idx) AS rank FROM s QUALIFY rank <= 2")
+@query("r10_per_source_topk", f"WITH {_bm25(_TOKENS)}, s AS (SELECT scored.*, source FROM scored JOIN documents ON doc_id = idx WHERE score > 0) SELECT q, source, idx, score, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, idx) AS rank FROM s QUALIFY rank <= 2")
 def whole_per_source_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The best of each source for every benchmark item."""
     return _per_source(spark, sf, _asked(spark, sf))
 
 
-@query("r10_per_source_topk", f"WITH {_bm25(_TOKENS)}, s AS (SELECT scored.*, source FROM scored JOIN documents ON doc_id = idx WHERE score > 0 AND q < 5) SELECT q, source, idx, score, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, idx) AS rank FROM s QUALIFY rank <= 2")
-def per_source_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The best of each source for each question: the window is partitioned by both."""
-    return _per_source(spark, sf, _asked(spark, sf).where("q < 5"))
-
-
 def _per_source(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -191,14 +192,23 @@ def _pair(a: str, b: str) -> str:
     return f"round({shared} / (sqrt({square(ta, tb)}) * sqrt({square(tb, ta)})), 6)"
 
 
-@query("r16_j5_fuzzy_match", f"""WITH a AS (SELECT p_partkey AS ka, p_name AS na FROM part WHERE p_size <= 5), b AS (SELECT p_partkey AS kb, p_name AS nb FROM part WHERE p_size > 45)
-SELECT ka, kb, {_pair("na", "nb")} AS similarity FROM a, b WHERE {_pair("na", "nb")} > 0.4""")
+_NAMES = f"n AS (SELECT p_name, min(p_partkey) AS key, count(*) AS parts FROM part GROUP BY p_name), s AS (SELECT a.p_name AS na, b.p_name AS nb, b.key AS kb, a.parts * b.parts AS pairs, {_pair('a.p_name', 'b.p_name')} AS similarity FROM n a, n b)"
+
+
+@query("r16_j5_fuzzy_match", f"WITH {_NAMES} SELECT na, nb, pairs, similarity FROM s WHERE similarity > 0.9")
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of small parts against names of large ones; only pairs that share a term are formed."""
+    """Pairs of part names more similar than 0.9, each name standing for all parts that bear it, and how many pairs of parts that makes."""
+    names = table(spark, sf, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("parts"))
+    a, b = names.select(F.col("p_name").alias("na"), F.col("parts").alias("pa")), names.select(F.col("p_name").alias("nb"), F.col("parts").alias("pb"))
+    return R.fuzzy_join(a, b, "na", "nb").select("na", "nb", (F.col("pa") * F.col("pb")).alias("pairs"), "similarity")
+
+
+@query("r16_best_match", f"WITH {_NAMES}, m AS (SELECT na, min(kb) AS kb, arg_min(similarity, kb) AS similarity FROM s WHERE similarity > 0.9 GROUP BY na) SELECT p_partkey AS ka, kb, similarity FROM part JOIN m ON p_name = na")
+def best_match(spark: SparkSession, sf: str) -> DataFrame:
+    """For every part the first part with a name more similar than 0.9, itself included."""
     part = table(spark, sf, "part")
-    a = part.where("p_size <= 5").select(F.col("p_partkey").alias("ka"), F.col("p_name").alias("na"))
-    b = part.where("p_size > 45").select(F.col("p_partkey").alias("kb"), F.col("p_name").alias("nb"))
-    return R.fuzzy_join(a, b, "na", "nb", 0.4).select("ka", "kb", "similarity")
+    a, b = part.select(F.col("p_partkey").alias("ka"), F.col("p_name").alias("na")), part.select(F.col("p_partkey").alias("kb"), F.col("p_name").alias("nb"))
+    return R.best_match(a, b, "na", "nb", "kb").select("ka", "kb", "similarity")
 
 
 @query("p1_min_max_norms", f"WITH {_COSINE}, p AS ({_TOP.format('dense', 10)}) SELECT q, idx, round(CASE WHEN min(score) OVER w = max(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm FROM p WINDOW w AS (PARTITION BY q)")

@@ -40,16 +40,11 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("t3_whole_normalize_topic", f"SELECT doc_id, trim(regexp_replace({_CLEAN.replace('(text', '(topic')}, '^\\d+\\.\\s*', '')) AS topic FROM (SELECT doc_id, doc_id || '.  ' || text AS topic FROM documents)")
+@query("t3_normalize_topic", f"SELECT doc_id, trim(regexp_replace({_CLEAN.replace('(text', '(topic')}, '^\\d+\\.\\s*', '')) AS topic FROM (SELECT doc_id, doc_id || '.  ' || text AS topic FROM documents)")
 def whole_topic(spark: SparkSession, sf: str) -> DataFrame:
     return _topic(_docs(spark, sf))
 
 
-@query("t3_normalize_topic", f"SELECT doc_id, trim(regexp_replace({_CLEAN.replace('(text', '(topic')}, '^\\d+\\.\\s*', '')) AS topic FROM (SELECT doc_id, doc_id || '.  ' || substring(text, 1, 60) AS topic FROM documents)")
-def topic(spark: SparkSession, sf: str) -> DataFrame:
-    return _topic(_docs(spark, sf).withColumn("text", F.substring("text", 1, 60)))
-
-
 def _topic(docs: DataFrame) -> DataFrame:
     numbered = docs.select("doc_id", F.concat("doc_id", F.lit(".  "), "text").alias("topic"))
     return numbered.select("doc_id", X.normalize_topic(F.col("topic"), unescape=False).alias("topic"))
@@ -70,12 +65,12 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.explode(X.split_questions(text)).alias("question"))
 
 
-@query("t11_dedupe_in_order", f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: struct_pack(p := list_position(l, x), v := x))), lambda s: s.v), chr(10)) AS lines FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)")
+@query("t11_dedupe_in_order", f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: struct_pack(p := list_position(l, x), v := x))), lambda s: s.v), chr(10)) AS lines FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_CLEAN.replace('(text', '(x')}), lambda x: x <> '') AS l FROM documents)")
 def dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.array_join(X.dedupe(F.split("text", "\n")), "\n").alias("lines"))
 
 
-@query("t12_whole_fenced_json", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
+@query("t12_fenced_json", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
 def whole_fenced(spark: SparkSession, sf: str) -> DataFrame:
     """Each event's properties as a fenced reply; the object is found and its first key in order read."""
     reply = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))
@@ -84,12 +79,6 @@ def whole_fenced(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.get(F.map_values(parsed), F.lit(0)).alias("value"))
 
 
-@query("t12_fenced_json", """SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events WHERE event_id < 2000""")
-def fenced(spark: SparkSession, sf: str) -> DataFrame:
-    """The first events of the whole query."""
-    return whole_fenced(spark, sf).where("event_id < 2000")
-
-
 @query("t13_tags", "SELECT page_id, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[1] AS title, len(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS paragraphs FROM pages")
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.get(X.tagged(F.col("html"), "title"), F.lit(0)).alias("title"), F.size(X.tagged(F.col("html"), "p")).cast("long").alias("paragraphs"))
@@ -140,8 +129,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t19_recursive_chunks")
 def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Pieces of at most 500 characters cut at paragraphs, lines, sentences, words."""
-    return segments.recursive_chunks(_docs(spark, sf), "doc_id", "text", 500)
+    """Pieces of at most 2000 characters cut at paragraphs, lines, sentences, words, which overlap by up to 400."""
+    return segments.recursive_chunks(_docs(spark, sf), "doc_id", "text")
 
 
 @query("t24_chunks_by_lines", """WITH RECURSIVE x AS (SELECT 1) SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
@@ -151,16 +140,11 @@ def line_totals(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.sum("lines").alias("lines"), F.sum(F.length("piece") - F.col("lines") + 1).alias("chars"))
 
 
-@query("t20_whole_format_docs", """SELECT source, string_agg('[' || rn || '] ' || text, chr(10) ORDER BY rn) AS context FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""")
+@query("t20_format_docs", """SELECT source, string_agg('[' || rn || '] ' || text, chr(10) ORDER BY rn) AS context FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""")
 def whole_format_docs(spark: SparkSession, sf: str) -> DataFrame:
     return _format(_docs(spark, sf))
 
 
-@query("t20_format_docs", """SELECT source, string_agg('[' || rn || '] ' || substring(text, 1, 20), chr(10) ORDER BY rn) AS context FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""")
-def format_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _format(_docs(spark, sf).withColumn("text", F.substring("text", 1, 20)))
-
-
 def _format(docs: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -168,14 +152,14 @@ def _format(docs: DataFrame) -> DataFrame:
     return segments.numbered_context(ranked, ["source"], "rn", "text").withColumnRenamed("text", "context")
 
 
-@query("t21_normalize", "SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS normal, regexp_matches(text, '[\\x{3400}-\\x{9FFF}]') AS cjk FROM documents WHERE lang = 'en'")
+@query("t21_normalize", "SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS normal, regexp_matches(text, '[\\x{3400}-\\x{9FFF}]') AS cjk FROM documents")
 def normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).where("lang = 'en'").select("doc_id", X.normalize_spaces(F.col("text")).alias("normal"), X.has_cjk(F.col("text")).alias("cjk"))
+    return _docs(spark, sf).select("doc_id", X.normalize_spaces(F.col("text")).alias("normal"), X.has_cjk(F.col("text")).alias("cjk"))
 
 
-@query("t22_default_bricks", """SELECT doc_id, trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), chr(10), ' '), '[ ]+', ' ', 'g'), '[ ]+', ' ', 'g')) AS cleaned FROM documents WHERE NOT contains(text, chr(10) || chr(10))""")
+@query("t22_default_bricks", """SELECT doc_id, trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), chr(10), ' '), '[ ]+', ' ', 'g'), '[ ]+', ' ', 'g')) AS cleaned FROM documents""")
 def bricks(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).where(~F.contains("text", F.lit("\n\n"))).select("doc_id", X.apply_bricks(F.col("text")).alias("cleaned"))
+    return _docs(spark, sf).select("doc_id", X.apply_bricks(F.col("text")).alias("cleaned"))
 
 
 @query("t23_extract", f"""SELECT doc_id, len(regexp_extract_all(text, '{X.EMAIL}')) AS emails, len(regexp_extract_all(text, '{X.IPV4}')) AS ips, len(regexp_extract_all(text, '{X.US_PHONE}')) AS phones FROM documents""")

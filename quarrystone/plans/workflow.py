@@ -102,6 +102,38 @@ def recommend(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("s_nationkey", F.col("response").cast("long").alias("answer"))
 
 
+class RevisingClient:
+    """Adds a mark to a strategy until it has two or is long."""
+
+    def __call__(self, prompt: str) -> str:
+        strategy, revised, _ = prompt.partition("\n")
+        if not revised:
+            return prompt
+        return "SEARCH_COMPLETE" if strategy.endswith("!!") or len(strategy) > 9 else strategy + "!"
+
+
+@query("m11_search_rounds", "SELECT n_nationkey, n_name || CASE WHEN length(n_name) > 9 THEN '' WHEN length(n_name) = 9 THEN '!' ELSE '!!' END AS strategy FROM nation")
+def search_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Strategies revised on feedback until they are complete."""
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    out = W.search_rounds(rows, "n_name", RevisingClient, lambda df: df.withColumn("feedback", F.lit("more")))
+    return out.select("n_nationkey", "strategy")
+
+
+class LengthEncoder:
+    """Vectors of a text's length and 1."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+@query("r3_embed", "SELECT doc_id, round(length(text) / sqrt(length(text) * length(text) + 1), 4) AS x, round(1 / sqrt(length(text) * length(text) + 1), 4) AS y FROM documents")
+def embed(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of length 1 from an encoder that sees batches."""
+    out = W.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", LengthEncoder, 2)
+    return out.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"), F.round(F.get("embedding", F.lit(1)).cast("double"), 4).alias("y"))
+
+
 @query("m12_variants", "SELECT n_nationkey, '-' || length(n_name) AS variant FROM nation")
 def variants(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "nation").select("n_nationkey", "n_name")

@@ -45,8 +45,10 @@ def questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pico(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """The frame of one index; none raises when run. Outcomes may be lists or numbered text."""
+    """The frame of one index, which must be there: it is looked for at once, else ValueError. Outcomes may be lists or numbered text."""
     rows = array_file(spark, path, S.PICO).where(F.col("Index") == index)
+    if rows.isEmpty():
+        raise ValueError(f"no index {index} in {path}")
     listed = F.from_json("C", "array<string>")
     lists = F.from_json("O", "map<string,array<string>>", {"mode": "PERMISSIVE"})
     texts = F.from_json("O", "map<string,string>")

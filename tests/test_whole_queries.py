@@ -1,4 +1,4 @@
-"""Queries over whole tables beside those whose SQL asks for a range of ids; test_oracles.py compares each with its SQL."""
+"""Queries take whole tables and whole texts; test_oracles.py compares each with its SQL."""
 
 from __future__ import annotations
 
@@ -12,29 +12,27 @@ def test_every_row_is_in(spark, sf):
     def count(name):
         return QUERIES[name](spark, sf).count()
 
-    assert count("t12_whole_fenced_json") == rows("events").count()
-    assert count("o2_whole_natural_order") == rows("lineitem").count()
-    assert count("j4_whole_related_papers") == rows("lineitem").select("l_orderkey", "l_partkey").distinct().count()
+    assert count("t12_fenced_json") == rows("events").count()
+    assert count("o2_natural_order") == rows("lineitem").count()
+    assert count("j4_related_papers") == rows("lineitem").select("l_orderkey", "l_partkey").distinct().count()
     ids = rows("documents").select("doc_id").union(rows("embeddings").select("vec_id"))
-    assert count("j2_whole_full_outer") == ids.distinct().count()
-    last = rows("events").agg({"event_id": "max"}).first()[0]
-    assert max(r.event_id for r in QUERIES["s11_whole_newest_complete"](spark, sf).collect()) > last - 8
+    assert count("j2_full_outer") == ids.distinct().count()
 
 
 def test_every_item_is_asked(spark, sf):
     asked = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    found = {r.q for r in QUERIES["r10_whole_per_source_topk"](spark, sf).collect()}
+    found = {r.q for r in QUERIES["r10_per_source_topk"](spark, sf).collect()}
     assert found <= asked and max(found) >= 5
 
 
-def test_whole_texts_are_formatted(spark, sf):
+def test_texts_are_formatted(spark, sf):
     first = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").first()
-    contexts = {r.source: r.context for r in QUERIES["t20_whole_format_docs"](spark, sf).collect()}
+    contexts = {r.source: r.context for r in QUERIES["t20_format_docs"](spark, sf).collect()}
     assert contexts[first.source].startswith(f"[1] {first.text}")
-    assert QUERIES["t3_whole_normalize_topic"](spark, sf).selectExpr("max(length(topic))").first()[0] > 70
+    assert QUERIES["t3_normalize_topic"](spark, sf).selectExpr("max(length(topic))").first()[0] > 70
 
 
-def test_screening_prompts_hold_whole_texts(spark, sf, monkeypatch):
+def test_screening_prompts_hold_texts(spark, sf, monkeypatch):
     from quarrystone.plans import workflow
 
     seen = []
