@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-1. The tree is fitted in the driver on at most about ``sample_rows`` vectors (drawn by a
-   hash of the id): nodes are split into ``branch`` clusters until one holds ``leaf_rows``
-   of the sample. Its size depends on the sample alone, and it is broadcast.
-2. Every row descends to a leaf; (leaf, block, id, vector) is written. A leaf with
-   more than ``block_rows`` rows, as a very common vector makes, is dealt into blocks.
+1. The top of the tree is fitted in the driver on about ``sample_rows`` vectors at most (drawn
+   by a hash of the id): nodes are split into ``branch`` clusters until one holds ``cell_rows``
+   of the sample. Below it every such cell is split further by a task, on about ``sample_rows``
+   of the cell's own vectors, until a leaf holds ``leaf_rows`` of them. So leaves keep their
+   size and their number grows with the rows, up to a bound that follows from the parameters
+   (about 3 * sample_rows ** 2 / (cell_rows * leaf_rows), some 50 MB of centres in 64 dimensions);
+   beyond it leaves grow. The whole tree is broadcast.
+2. Every row descends to a leaf and is written. Neighbouring leaves share a bin of about
+   ``block_rows`` rows; a leaf with more, as a very common vector makes, is dealt into blocks.
 3. A query visits leaves best bin first: a priority queue holds the unopened nodes by
    the distance of their centres; the nearest is opened until it is a leaf.
 4. The number of visits is calibrated: for at most ``calibration`` queries the true
    neighbours are found by a scan of all rows, and visits widen until ``recall`` of them
    lie in visited leaves. A query also widens until its leaves hold k + 1 rows.
-5. Queries and rows meet by (leaf, block) in Arrow groups of bounded size; only the k
-   best of a group leave it, with exact double-precision distances.
+5. A query goes once to every bin that holds leaves it visits, with their numbers. Queries
+   and rows meet by (bin, block) in Arrow groups of bounded size; only the k best of a
+   group leave it, with exact double-precision distances.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite values, or
 differ in length from most take no part; ties go to the smaller id; fewer than k
@@ -21,6 +26,7 @@ candidates give fewer rows; an empty table gives an empty result; null ids take
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +51,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 class Tree:
-    """centres of all nodes, children of each (empty for a leaf) and the leaf number of each leaf node."""
+    """centres of all nodes, children of each (none for a leaf) and the number of each leaf node, in the order of the tree."""
 
     def __init__(self, rows: np.ndarray, branch: int, leaf_rows: int, seed: int = 10) -> None:
         rng = np.random.default_rng(seed)
@@ -63,10 +69,32 @@ class Tree:
             return node
 
         grow(rows)
-        self.centres = np.array(centres)
-        leaves = [n for n, c in enumerate(self.children) if not c]
-        self.leaf_of = {n: k for k, n in enumerate(leaves)}
-        self.leaves = len(leaves)
+        self.centres = np.array(centres, np.float32)
+        self._number()
+
+    def _number(self) -> None:
+        self.leaf_of: dict[int, int] = {}
+        todo = [0]
+        while todo:
+            node = todo.pop()
+            if not self.children[node]:
+                self.leaf_of[node] = len(self.leaf_of)
+            todo += reversed(self.children[node])
+        self.leaves = len(self.leaf_of)
+
+    def graft(self, parts: dict[int, Tree]) -> None:
+        """The leaf of each number becomes the root of its part; leaves are numbered anew."""
+        centres, held = [self.centres], len(self.centres)
+        for node, leaf in list(self.leaf_of.items()):
+            if leaf in parts:
+                part, shift = parts[leaf], held - 1
+                moved = [[kid + shift for kid in kids] for kids in part.children]
+                self.children[node] = moved[0]
+                self.children += moved[1:]
+                centres.append(part.centres[1:])
+                held += len(part.centres) - 1
+        self.centres = np.concatenate(centres)
+        self._number()
 
     def assign(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rows), np.int32)
@@ -77,18 +105,19 @@ class Tree:
             if not kids:
                 out[at] = self.leaf_of[node]
             elif len(at):
-                best = _distances(rows[at], self.centres[kids]).argmin(axis=1)
+                best = _distances(rows[at], self.centres[kids].astype(np.float64)).argmin(axis=1)
                 todo += [(kid, at[best == k]) for k, kid in enumerate(kids)]
         return out
 
     def visits(self, row: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
-        far = ((self.centres - row) ** 2).sum(axis=1).tolist()
-        queue = [(far[0], 0)]
+        queue = [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
             while self.children[node]:
-                first, *rest = sorted((far[kid], kid) for kid in self.children[node])
+                kids = self.children[node]
+                far = ((self.centres[kids] - row) ** 2).sum(axis=1).tolist()
+                first, *rest = sorted(zip(far, kids, strict=True))
                 for other in rest:
                     heapq.heappush(queue, other)
                 node = first[1]
@@ -155,7 +184,66 @@ def scan(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> Data
     return _best(rows.select("id", "v").mapInArrow(run, _OUT), k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = 8192, branch: int = 8, leaf_rows: int = 32, calibration: int = 256, block_rows: int = 8192) -> DataFrame:
+def _drawn(rows: DataFrame, seed: str) -> Column:
+    """A number from 0 to 1 by a hash of the id."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _assigned(rows: DataFrame, tree: Tree) -> DataFrame:
+    """rows with the number of their leaf."""
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("leaf", pa.array(shared.value.assign(_matrix(b.column("v"))), pa.int32()))
+
+    return rows.mapInArrow(run, rows.select("*", F.lit(0).alias("leaf")).schema)
+
+
+def _counts(rows: DataFrame, column: str, many: int) -> np.ndarray:
+    """Rows by a number below many: at most as many rows in the driver."""
+    out = np.zeros(many, np.int64)
+    found = rows.groupBy(column).count().toArrow()
+    out[found.column(column).to_numpy()] = found.column("count").to_numpy()
+    return out
+
+
+def fit(rows: DataFrame, n: int, sample_rows: int = 8192, branch: int = 8, cell_rows: int = 256, leaf_rows: int = 64) -> Tree:
+    """The tree of n rows (id, v), all of one length: its top from a sample of all, below each cell from a sample of the cell."""
+    sample = rows.where(_drawn(rows, "tree") <= min(1.0, sample_rows / n)).select("id", "v").toArrow().sort_by("id")
+    if not len(sample):
+        sample = rows.select("id", "v").orderBy("id").limit(sample_rows).toArrow()
+    tree = Tree(_matrix(sample.column("v")), branch, cell_rows)
+    cells = _assigned(rows.select("id", "v"), tree)
+    counts = _counts(cells, "leaf", tree.leaves)
+    share = _table(rows, leaf=np.arange(tree.leaves, dtype=np.int32), share=sample_rows / np.maximum(counts, 1))
+    drawn = cells.join(F.broadcast(share), "leaf").where(_drawn(rows, "cell") <= F.col("share")).select("leaf", "id", "v")
+
+    def part(key: tuple, held: pa.Table) -> pa.Table:
+        grown = Tree(_matrix(held.sort_by("id").column("v")), branch, leaf_rows)
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([pickle.dumps(grown)], pa.binary())})
+
+    parts = drawn.groupBy("leaf").applyInArrow(part, "leaf int, part binary").toArrow()
+    tree.graft({leaf: pickle.loads(grown) for leaf, grown in zip(parts.column("leaf").to_pylist(), parts.column("part").to_pylist(), strict=True)})
+    return tree
+
+
+def _table(like: DataFrame, **columns: np.ndarray) -> DataFrame:
+    """A small table of numbers, one row a leaf or bin."""
+    return like.sparkSession.createDataFrame(pa.table({c: pa.array(x) for c, x in columns.items()}))
+
+
+def _bins(counts: np.ndarray, block_rows: int) -> np.ndarray:
+    """The bin of every leaf: neighbouring leaves of about block_rows rows together, a leaf with more by itself."""
+    out, bin_, held = np.zeros(len(counts), np.int32), 0, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > block_rows:
+            bin_, held = bin_ + 1, 0
+        out[leaf], held = bin_, held + n
+    return out
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = 8192, branch: int = 8, cell_rows: int = 256, leaf_rows: int = 64, calibration: int = 256, block_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query row. is_query is a condition on the id column."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -164,65 +252,70 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     if shapes is None or not shapes.q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == shapes.d)
-    odds = F.pmod(F.xxhash64("id", F.lit("tree")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(odds <= min(1.0, sample_rows / shapes.n)).select("id", "v").toArrow().sort_by("id")
-    if not len(sample):
-        sample = rows.select("id", "v").orderBy("id").limit(sample_rows).toArrow()
-    tree = spark.sparkContext.broadcast(Tree(_matrix(sample.column("v")), branch, leaf_rows))
+    fitted = fit(rows, shapes.n, sample_rows, branch, cell_rows, leaf_rows)
+    tree = spark.sparkContext.broadcast(fitted)
+    placed = scratch.keep(_assigned(rows, fitted), "placed")
+    counts = _counts(placed, "leaf", fitted.leaves)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("leaf", pa.array(tree.value.assign(_matrix(b.column("v"))), pa.int32()))
-
-    placed = scratch.keep(rows.mapInArrow(assign, rows.select("*", F.lit(0).alias("leaf")).schema), "placed")
-    counts = np.zeros(tree.value.leaves, np.int64)
-    for x in placed.groupBy("leaf").count().collect():  # at most as many rows as leaves
-        counts[x["leaf"]] = x["count"]
-
-    some = placed.where("q").where(odds <= min(1.0, calibration / shapes.q)).select("id", "v", "leaf").limit(2 * calibration).toArrow()
+    some = placed.where("q").where(_drawn(placed, "tree") <= min(1.0, calibration / shapes.q)).select("id", "v", "leaf").limit(2 * calibration).toArrow()
     known = [(i, v) for i, v in zip(some.column("id").to_pylist(), _matrix(some.column("v")), strict=True)]
-    visits = 1
+    visits = fitted.leaves
     if known:
         truth: dict[int, list[int]] = {}
         for x in scan(placed, known, k).join(placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect():
             truth.setdefault(x.query_id, []).append(x.leaf)
         needed = []
         for i, v in known:
-            order = {leaf: n for n, leaf in enumerate(tree.value.visits(v), 1)}
+            order = {leaf: n for n, leaf in enumerate(fitted.visits(v), 1)}
             needed += [order[leaf] for leaf in truth.get(i, [])]
         needed.sort()
         visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
-    else:
-        visits = tree.value.leaves
-    blocks = spark.sparkContext.broadcast(np.maximum(1, -(-counts // block_rows)))
-    query_blocks = int(max(1, -(-shapes.q * visits // (tree.value.leaves * block_rows))))
+    bins = _bins(counts, block_rows)
+    parts = np.maximum(1, -(-counts // block_rows))  # above 1 only where a leaf is a bin by itself
+    plan = spark.sparkContext.broadcast((counts, bins, parts))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, bins, parts = plan.value
         for b in batches:
-            at, leaf, block = [], [], []
+            at, to, blocks, leaves = [], [], [], []
             for n, row in enumerate(_matrix(b.column("v"))):
-                held = 0
-                for seen, found in enumerate(tree.value.visits(row)):
+                held, found = 0, {}
+                for seen, leaf in enumerate(tree.value.visits(row)):
                     if seen >= visits and held > k:
                         break
-                    held += counts[found]
-                    for part in range(blocks.value[found]):
+                    held += counts[leaf]
+                    if counts[leaf]:
+                        found.setdefault(int(bins[leaf]), []).append(leaf)
+                for bin_, own in found.items():
+                    for block in range(max(parts[leaf] for leaf in own)):
                         at.append(n)
-                        leaf.append(found)
-                        block.append(part)
+                        to.append(bin_)
+                        blocks.append(block)
+                        leaves.append(sorted(own))
             taken = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("v"), taken.column("qb"), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["id", "v", "qb", "leaf", "block"])
+            yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("v"), pa.array(to, pa.int32()), pa.array(blocks, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["id", "v", "bin", "block", "leaves"])
 
     kind = placed.schema["v"].dataType.simpleString()
-    asked = placed.where("q").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb")).mapInArrow(route, f"id long, v {kind}, qb int, leaf int, block int")
-    per_leaf = F.element_at(F.array(*[F.lit(int(n)) for n in blocks.value]), F.col("leaf") + 1) if blocks.value.max() > 1 else F.lit(1)
-    held = placed.select("id", "v", "leaf", F.pmod(F.xxhash64("id", F.lit("block")), per_leaf).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    asked = scratch.keep(placed.where("q").select("id", "v").mapInArrow(route, f"id long, v {kind}, bin int, block int, leaves array<int>"), "asked")
+    # A bin that more queries visit than a task should hold meets them block by block.
+    turns = -(-_counts(asked.where("block = 0"), "bin", int(bins[-1]) + 1) // block_rows)
+    asked = asked.join(F.broadcast(_table(placed, bin=np.arange(len(turns), dtype=np.int32), turns=turns)), "bin").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")))
+    of_leaf = _table(placed, leaf=np.arange(len(bins), dtype=np.int32), bin=bins, parts=parts, turns=turns[bins])
+    held = placed.select("id", "v", "leaf").join(F.broadcast(of_leaf), "leaf").where("turns > 0")
+    held = held.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
             return _found([])
-        ids, own = b.column("id").to_numpy(), _matrix(b.column("v"))
-        return _found([(q, *_nearest(ids, own, x, q, k)) for q, x in zip(a.column("id").to_pylist(), _matrix(a.column("v")), strict=True)])
-
-    keys = ["leaf", "block", "qb"]
+        b = b.sort_by("leaf")
+        ids, own, leaf = b.column("id").to_numpy(), _matrix(b.column("v")), b.column("leaf").to_numpy()
+        found = []
+        for q, x, leaves in zip(a.column("id").to_pylist(), _matrix(a.column("v")), a.column("leaves").to_pylist(), strict=True):
+            starts, ends = np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, "right")
+            at = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)])
+            found.append((q, *_nearest(ids[at], own[at], x, q, k)))
+        return _found(found)
+
+    keys = ["bin", "block", "turn"]
+    asked, held = asked.select("id", "v", "leaves", *keys[:2], F.col("turn").cast("int").alias("turn")), held.select("id", "v", "leaf", *keys[:2], F.col("turn").cast("int").alias("turn"))
     return _best(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, _OUT), k).select("query_id", "rank", "vec_id", "score")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.llm.neighbours import search
+from quarrystone.llm.neighbours import fit, search
 
 
 def brute(rows, queries, k=10):
@@ -40,7 +40,7 @@ def test_recall(spark, sf):
 
 
 def test_recall_of_a_deeper_tree_in_small_blocks(spark, sf):
-    assert recall(spark.read.parquet(f"{sf}/embeddings.parquet"), leaf_rows=8, branch=4, block_rows=20, sample_rows=200) >= 0.9
+    assert recall(spark.read.parquet(f"{sf}/embeddings.parquet"), leaf_rows=8, cell_rows=40, branch=4, block_rows=20, sample_rows=200) >= 0.9
 
 
 def test_a_very_common_vector_keeps_its_ties(spark):
@@ -58,3 +58,14 @@ def test_awkward_vectors_take_no_part(spark):
     assert {r.query_id for r in got} == {0, 1} and {r.vec_id for r in got} == {0, 1, 9}
     assert search(df.where("vec_id < 0"), F.lit(True)).count() == 0
     assert search(df, F.lit(False)).count() == 0
+
+
+def test_leaves_grow_with_the_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, x.tolist()) for k, x in enumerate(rng.standard_normal((4000, 4)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    few, many = (fit(df.where(F.col("id") < n), n, sample_rows=500, cell_rows=100, leaf_rows=20) for n in (1000, 4000))
+    assert many.leaves > 2.5 * few.leaves
+    x = np.array([v for _, v in rows])
+    assert np.bincount(many.assign(x), minlength=many.leaves).sum() == len(x)
+    assert sorted(many.visits(x[0])) == list(range(many.leaves))
