@@ -243,7 +243,7 @@ def _bins(counts: np.ndarray, block_rows: int) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = 8192, branch: int = 8, cell_rows: int = 256, leaf_rows: int = 64, calibration: int = 256, block_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = 8192, branch: int = 8, cell_rows: int = 256, leaf_rows: int = 64, calibration: int = 256, block_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query row. is_query is a condition on the id column."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
