@@ -266,8 +266,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             truth.setdefault(x.query_id, []).append(x.leaf)
         needed = []
         for i, v in known:
-            order = {leaf: n for n, leaf in enumerate(fitted.visits(v), 1)}
-            needed += [order[leaf] for leaf in truth.get(i, [])]
+            left = truth.get(i, [])
+            for n, leaf in enumerate(fitted.visits(v), 1):
+                if not left:
+                    break
+                needed += [n] * left.count(leaf)
+                left = [x for x in left if x != leaf]
         needed.sort()
         visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
     bins = _bins(counts, block_rows)
