@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,38 +90,70 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, idx: str = "idx
     return top_k(_scores(split, asked).unionByName(fill), k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _scores_of(kind: str, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """A row of scores for each vector asked: larger is nearer, distances count negative; a zero vector has a cosine of 0. Rounded to six places, halves away from 0."""
+    if kind in ("cosine", "dot"):
+        out = asked @ rows.T
+        if kind == "cosine":
+            norms = np.sqrt((asked**2).sum(axis=1))[:, None] * np.sqrt((rows**2).sum(axis=1))
+            out = np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+    elif kind == "euclid":
+        out = np.array([-np.sqrt(((rows - x) ** 2).sum(axis=1)) for x in asked])
+    else:
+        out = np.array([-np.abs(rows - x).sum(axis=1) for x in asked])
+    return np.sign(out) * np.floor(np.abs(out) * 1e6 + 0.5) / 1e6
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, kind: str = "cosine", idx: str = "idx", vector: str = "v", q: str = "q", block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
+    """(q, idx, score, rank): the k nearest vectors of every query, by an exact scan in blocks.
 
-
-def similarity(kind: str) -> Column:
-    """Of columns qv, qn (query vector and norm) and v, n: larger is nearer, distances count negative."""
-    qv, v = F.col("qv"), F.col("v")
-    if kind == "cosine":
-        return dot(qv, v) / (F.col("qn") * F.col("n"))
-    if kind == "dot":
-        return dot(qv, v)
-    difference = F.zip_with(qv, v, lambda x, y: x.cast("double") - y.cast("double"))
-    if kind == "euclid":
-        return F.lit(0.0) - F.sqrt(F.aggregate(difference, F.lit(0.0), lambda s, x: s + x * x))
-    if kind == "manhattan":
-        return F.lit(0.0) - F.aggregate(difference, F.lit(0.0), lambda s, x: s + F.abs(x))
-    raise ValueError(f"no similarity is named {kind}")
-
-
-def dense_scores(vectors: DataFrame, queries: DataFrame, kind: str = "cosine", idx: str = "idx", vector: str = "v", q: str = "q") -> DataFrame:
-    """(q, idx, score) of every vector for every query: an exact join of all pairs, norms computed once a row."""
-    rows = vectors.select(F.col(idx).alias("idx"), F.col(vector).alias("v")).withColumn("n", norm(F.col("v")))
-    asked = queries.select(F.col(q).alias("q"), F.col(vector).alias("qv")).withColumn("qn", norm(F.col("qv")))
-    return asked.crossJoin(rows).select("q", "idx", F.round(similarity(kind), 6).alias("score"))
-
-
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, kind: str = "cosine", **columns: str) -> DataFrame:
-    return top_k(dense_scores(vectors, queries, kind, **columns), k)
+    Both sides are dealt into blocks; two meet as matrices in an Arrow group, and only the k best of a block leave it.
+    Vectors that are null or hold a null take no part; only vectors of one length are compared.
+    """
+    if kind not in ("cosine", "dot", "euclid", "manhattan"):
+        raise ValueError(f"no similarity is named {kind}")
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    rows = vectors.where(whole).select(F.col(idx).alias("idx"), F.col(vector).alias("v"), F.size(vector).alias("d"))
+    asked = queries.where(whole).select(F.col(q).alias("q"), F.col(vector).alias("v"), F.size(vector).alias("d"))
+    many, several = (max(1, -(-t.count() // most)) for t, most in ((rows, block_rows), (asked, block_queries)))
+
+    def dealt(t: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return t.withColumn(own, F.pmod(F.xxhash64(t.columns[0], "v"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(t), -1)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([a.schema.field("q"), b.schema.field("idx"), pa.field("score", pa.float64())])
+        if not len(a) or not len(b):
+            return schema.empty_table()
+        b = b.sort_by("idx")
+        scores = _scores_of(kind, matrix(b), matrix(a))
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pa.Table.from_arrays([a.column("q").take(pa.array(np.repeat(np.arange(len(a)), best.shape[1]))), b.column("idx").take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], schema=schema)
+
+    keys = ["d", "qb", "b"]
+    types = f"q {asked.schema['q'].dataType.simpleString()}, idx {rows.schema['idx'].dataType.simpleString()}, score double"
+    met = dealt(asked, "qb", several, "b", many).groupBy(*keys).cogroup(dealt(rows, "b", many, "qb", several).groupBy(*keys))
+    return top_k(met.applyInArrow(meet, types), k)
+
+
+def holding(docs: DataFrame, passages: DataFrame, idx: str = "idx", text: str = "text", q: str = "q", passage: str = "question") -> DataFrame:
+    """(q, idx) of every document whose text holds the passage, character by character.
+
+    The words of a passage but for its first and last are words of such a text, in the same order: the two join on the
+    first three of them, and what they join is compared whole. Passages of fewer than five words meet all texts.
+    """
+    split = r"[\x20\x09-\x0D]+"
+    texts = docs.select(F.col(idx).alias("idx"), F.col(text).alias("text"))
+    asked = passages.select(F.col(q).alias("q"), F.col(passage).alias("passage")).withColumn("words", F.split("passage", split))
+    keyed = asked.where(F.size("words") >= 5).select("q", "passage", F.xxhash64(*[F.get("words", F.lit(k)) for k in (1, 2, 3)]).alias("key"))
+    words = texts.select("idx", F.split("text", split).alias("words")).where(F.size("words") >= 3)
+    keys = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda k: F.xxhash64(F.get("words", k), F.get("words", k + 1), F.get("words", k + 2)))
+    met = words.select("idx", F.explode(F.array_distinct(keys)).alias("key")).join(keyed, "key").select("q", "idx", "passage")
+    found = met.join(texts, "idx").where(F.contains("text", "passage")).select("q", "idx")
+    few = asked.where(F.size("words") < 5).select("q", "passage")
+    return found.union(few.join(texts, F.contains("text", "passage")).select("q", "idx")).distinct()
 
 
 def min_max(scores: DataFrame, constant: str = "one", by: str = "q") -> DataFrame:

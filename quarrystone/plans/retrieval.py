@@ -173,7 +173,7 @@ def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Hit@1, Recall@3, Recall@5 and MRR where the target is the first document that holds the item's passage."""
     from quarrystone.operators.statistics import ranking_metrics
 
-    gold = _asked(spark, sf).join(_docs(spark, sf), F.contains("text", "question")).groupBy("q").agg(F.min("idx").alias("target"))
+    gold = R.holding(_docs(spark, sf), _asked(spark, sf)).groupBy("q").agg(F.min("idx").alias("target"))
     lists = bm25_topk(spark, sf).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "idx"))).alias("hits"))
     items = gold.join(lists, "q", "left").select("target", F.transform("hits", lambda x: x["idx"]).alias("candidates"))
     return ranking_metrics(items, "target", "candidates")

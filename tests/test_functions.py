@@ -184,3 +184,25 @@ def test_streaming_totals_equal_the_batch(spark, sf, tmp_path):
     run.awaitTermination(120)
     want = sorted(map(tuple, events.windowed_totals(batch, "1 day").collect()))
     assert sorted(map(tuple, spark.table("totals").collect())) == want
+
+
+def test_dense_search_in_blocks(spark):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)] + [(60, None), (61, [1.0, None, 1.0]), (62, [1.0, 1.0]), (63, [0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "idx int, v array<float>")
+    queries = spark.createDataFrame([(k, [float(k), 2.0, 1.0]) for k in range(5)] + [(5, None), (6, [0.0, 0.0, 0.0])], "q long, v array<float>")
+    for kind in ("cosine", "dot", "euclid", "manhattan"):
+        whole, cut = ({(r.q, r["rank"]): (r.idx, r.score) for r in retrieval.dense_search(vectors, queries, 4, kind, **sizes).collect()} for sizes in ({}, {"block_rows": 7, "block_queries": 2}))
+        assert whole == cut and len(whole) == 24
+    assert [retrieval.dense_search(vectors, queries, 1, "manhattan").where(f"q = {k}").first().idx for k in range(5)] == [7, 22, 2, 17, 32]
+    assert retrieval.dense_search(vectors.where("idx < 0"), queries).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.dense_search(vectors, queries, kind="none")
+
+
+def test_holding_finds_what_contains_finds(spark):
+    texts = ["a b c d e f", "xa b c d ex", "a b  c d e", "b c d", "", None, "a b c d e\na b c d e", "  a b c d e  "]
+    passages = ["a b c d e", "b c d", " b c d ", "c", "", None, "a b c d e f g", "d e\na b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "idx int, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "q int, question string")
+    got = sorted(map(tuple, retrieval.holding(docs, asked).collect()))
+    assert got == [(q, k) for q, p in enumerate(passages) for k, t in enumerate(texts) if p is not None and t is not None and p in t]
