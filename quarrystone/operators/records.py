@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrystone.scratch import written
+
 
 def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -15,6 +17,20 @@ def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "n") -> DataFrame:
+    """rows with their place from 1 in the whole order, which should be total.
+
+    Rows are dealt by ranges of the order and written, so that a place is one within a range plus the rows of the ranges before it: only one count a range comes together.
+    """
+    keys = [f"_order_{k}" for k in range(len(order))]
+    dealt = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*[F.col(k) for k in keys])
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + F.col("_start")
+    return dealt.join(starts, "_range").withColumn(name, place).select(*rows.columns, name)
+
+
 def searchable(records: DataFrame, index: str, abstract: str, types: str, invalid: Sequence[str], order: str) -> DataFrame:
     """Records with an abstract (it may be empty), the first of each index, without an invalid publication type.
 

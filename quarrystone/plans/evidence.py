@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import evidence as E
+from quarrystone.operators import records as R
 
 from .base import Queries, declare, table
 
@@ -62,10 +63,8 @@ def whole_natural(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
     rows = lines.withColumn("code", F.concat(F.lit("Q."), "l_linenumber", F.lit("."), "l_orderkey"))
-    return rows.select("l_orderkey", "l_linenumber", F.row_number().over(Window.orderBy(E.natural_key(F.col("code")))).alias("n"))
+    return R.numbered(rows, E.natural_key(F.col("code"))).select("l_orderkey", "l_linenumber", "n")
 
 
 @query("o4_latest_name", "SELECT lang, max(source || '_' || lpad(doc_id::VARCHAR, 6, '0')) AS name FROM documents GROUP BY lang")

@@ -158,12 +158,10 @@ def trimmed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j9_by_ordinal", "SELECT d.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id DESC) AS n FROM benchmark) b USING (n)")
 def by_ordinal(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of two lists paired by explicit ordinals. documents is first cut to as many rows as the other list can pair."""
-    from pyspark.sql.window import Window
-
-    b = table(spark, sf, "benchmark").withColumn("n", F.row_number().over(Window.orderBy(F.desc("item_id"))))
-    d = table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(b.count()).withColumn("n", F.row_number().over(Window.orderBy("doc_id")))
-    return d.join(b, "n").select("doc_id", "item_id")
+    """Rows of two lists paired by explicit ordinals, the second list from its end."""
+    b = table(spark, sf, "benchmark").select("item_id", (-F.col("item_id")).alias("at"))
+    d = R.numbered(table(spark, sf, "documents").select("doc_id"), F.col("doc_id"))
+    return d.join(R.numbered(b, F.col("at")), "n").select("doc_id", "item_id")
 
 
 @query("j10_manifest", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'existing' ELSE 'missing' END AS state FROM documents")

@@ -206,3 +206,10 @@ def test_holding_finds_what_contains_finds(spark):
     asked = spark.createDataFrame(list(enumerate(passages)), "q int, question string")
     got = sorted(map(tuple, retrieval.holding(docs, asked).collect()))
     assert got == [(q, k) for q, p in enumerate(passages) for k, t in enumerate(texts) if p is not None and t is not None and p in t]
+
+
+def test_numbered_over_many_ranges(spark):
+    rows = spark.range(1000).repartition(5).withColumn("x", (F.col("id") * 7919) % 1000)
+    got = {r.x: r.n for r in records.numbered(rows, F.col("x")).collect()}
+    assert got == {x: x + 1 for x in range(1000)}
+    assert records.numbered(rows.where("x < 0"), F.col("x")).count() == 0
