@@ -55,11 +55,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, idx: str = "idx", text: str
     return _scores(*_term_tables(docs, queries, idx, text, q, question, tokens, question_tokens))
 
 
+def split_terms(docs: DataFrame, idx: str, terms: Column) -> DataFrame:
+    """(idx, dl, _terms), written: the length is computed below an explode of the terms, not again for every word."""
+    return written(docs.select(F.col(idx).alias("idx"), terms.alias("_terms")).select("idx", F.size("_terms").alias("dl"), "_terms"), "terms")
+
+
 def _term_tables(docs: DataFrame, queries: DataFrame, idx: str, text: str, q: str, question: str, tokens: Column | None = None, question_tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(idx, dl, _terms) and (q, term, qtf), both written."""
     terms = tokenize(F.col(text)) if tokens is None else tokens
-    # The length is computed below the explode: above it, it would be computed again for every word.
-    split = written(docs.select(F.col(idx).alias("idx"), terms.alias("_terms")).select("idx", F.size("_terms").alias("dl"), "_terms"), "terms")
+    split = split_terms(docs, idx, terms)
     asked = written(postings(queries, q, question, question_tokens).withColumnsRenamed({"idx": "q", "tf": "qtf"}), "asked")
     return split, asked
 
@@ -76,8 +80,13 @@ def _scores(split: DataFrame, asked: DataFrame) -> DataFrame:
     weighed = asked.join(weights.join(near(asked.select("term").distinct()), "term", "left_semi"), "term").crossJoin(totals).select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), (F.col("all_dl") / F.col("n")).alias("avgdl"))
     words = split.select("idx", "dl", F.explode("_terms").alias("term"))
     post = words.join(near(asked.select("term").distinct()), "term", "left_semi").groupBy("idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return weigh(post.join(near(weighed), "term"))
+
+
+def weigh(met: DataFrame) -> DataFrame:
+    """(q, idx, score) from postings (idx, dl, term, tf) joined with their weights (q, term, w, avgdl)."""
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.join(near(weighed), "term").groupBy("q", "idx").agg(F.round(F.sum(part), 6).alias("score"))
+    return met.groupBy("q", "idx").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question", **tokens: Column) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import retrieval as R
 from quarrystone.operators import workflow as W
+from quarrystone.scratch import shared_folder
+from quarrystone.sources import sinks
 
 from .base import Queries, declare, table
 
@@ -70,6 +74,14 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25_search(_docs(spark, sf), _asked(spark, sf))
 
 
+@query("k8_saved_bm25", f"WITH {_bm25(_TOKENS)} {_TOP.format('scored', 5)}")
+def saved_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """The same results from an index that was saved before."""
+    path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    sinks.save_bm25(_docs(spark, sf), path, "idx", "text")
+    return sinks.search_bm25(spark, path, _asked(spark, sf))
+
+
 @query("r12_bm25_by_spaces", f"WITH {_bm25(_SPACED)} {_TOP.format('scored', 5)}")
 def bm25_by_spaces(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25_search(_docs(spark, sf), _asked(spark, sf), tokens=F.split("text", " "), question_tokens=F.split("question", " "))

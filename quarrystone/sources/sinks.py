@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import retrieval
+from quarrystone.functions.text import tokenize
 from quarrystone.operators.evidence import latest
+from quarrystone.scratch import written
 
 
 def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -48,19 +50,44 @@ def create_collection(df: DataFrame, path: str, recreate: bool = False) -> None:
 
 
 def save_bm25(docs: DataFrame, path: str, idx: str, text: str, mode: str = "errorifexists") -> None:
-    """Postings by term, lengths and weights as three tables; postings are range-partitioned by term, so that a query reads few files."""
-    post = retrieval.postings(docs, idx, text)
+    """An index of four tables: postings by term with the lengths of their documents, all lengths, term weights, totals.
+
+    Texts are tokenised once. Postings are range-partitioned and sorted by term, so that a filter on terms reads few row groups.
+    """
+    split = retrieval.split_terms(docs, idx, tokenize(F.coalesce(F.col(text), F.lit(""))))
+    post = split.select("idx", "dl", F.explode("_terms").alias("term")).groupBy("idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     post.repartitionByRange("term").sortWithinPartitions("term", "idx").write.mode(mode).parquet(f"{path}/postings")
-    post.groupBy("idx").agg(F.sum("tf").alias("dl")).write.mode(mode).parquet(f"{path}/lengths")
-    totals = docs.agg(F.count(F.lit(1)).alias("n"))
-    retrieval.term_weights(post, totals).crossJoin(totals).write.mode(mode).parquet(f"{path}/weights")
+    split.select("idx", "dl").write.mode(mode).parquet(f"{path}/lengths")
+    totals = split.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_dl"))
+    totals.write.mode(mode).parquet(f"{path}/totals")
+    retrieval.term_weights(docs.sparkSession.read.parquet(f"{path}/postings"), totals.select("n")).write.mode(mode).parquet(f"{path}/weights")
 
 
 def bm25_terms(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame:
     """(term, idf, idx, tf, dl) of a few terms from a saved index; the filter reaches the scan."""
     post = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(list(terms)))
     weights = spark.read.parquet(f"{path}/weights").where(F.col("term").isin(list(terms))).select("term", "idf")
-    return post.join(weights, "term").join(spark.read.parquet(f"{path}/lengths"), "idx").select("term", "idf", "idx", "tf", "dl")
+    return post.join(weights, "term").select("term", "idf", "idx", "tf", "dl")
+
+
+def search_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, q: str = "q", question: str = "question", pushed: int = 1000) -> DataFrame:
+    """(q, idx, score, rank) from a saved index, as retrieval.bm25_search gives them from the texts.
+
+    At most ``pushed`` distinct query terms become a filter of the scans; more are joined. The rows are the same.
+    """
+    asked = written(retrieval.postings(queries, q, question).withColumnsRenamed({"idx": "q", "tf": "qtf"}), "asked")
+    post, weights = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "weights"))
+    totals, lengths = (spark.read.parquet(f"{path}/{name}") for name in ("totals", "lengths"))
+    some = [r.term for r in asked.select("term").distinct().limit(pushed + 1).collect()]
+    if len(some) <= pushed:
+        post, weights = (t.where(F.col("term").isin(some)) for t in (post, weights))
+    weighed = asked.join(weights, "term").crossJoin(totals).select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), (F.col("all_dl") / F.col("n")).alias("avgdl"))  # totals is one row
+    scores = retrieval.weigh(post.join(weighed, "term"))
+    lowest = written(lengths.orderBy("idx").limit(k).select("idx"), "lowest")
+    fill = queries.select(F.col(q).alias("q")).distinct().crossJoin(lowest)  # k rows a query
+    matched = post.join(F.broadcast(lowest), "idx", "left_semi").join(asked.select("q", "term"), "term").select("q", "idx").distinct()
+    fill = fill.join(matched, ["q", "idx"], "left_anti").select("q", "idx", F.lit(0.0).alias("score"))
+    return retrieval.top_k(scores.unionByName(fill), k)
 
 
 class KeyValueLog:

@@ -7,6 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quarrystone.operators import retrieval
 from quarrystone.sources import files, sinks, vectors
 
 
@@ -144,6 +145,19 @@ def test_saved_bm25(spark, sf, tmp_path):
     assert got.count() > 10 and got.select("idf").distinct().count() == 1
 
 
+def test_a_saved_index_answers_as_the_texts_do(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "heart attack"), (2, None), (3, ""), (4, "attack of the heart heart"), (5, "other")], "idx int, text string")
+    asked = spark.createDataFrame([(1, "heart"), (2, "nothing"), (3, None), (4, "other attack attack")], "q int, question string")
+    path = str(tmp_path / "i")
+    sinks.save_bm25(docs, path, "idx", "text")
+    want = sorted(map(tuple, retrieval.bm25_search(docs.fillna(""), asked, 3).select("q", "idx", "score", "rank").collect()))
+    for pushed in (0, 100):
+        got = sinks.search_bm25(spark, path, asked, 3, pushed=pushed).select("q", "idx", "score", "rank")
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 12
+    plan = sinks.search_bm25(spark, path, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan.replace(" ", "") or "term IN" in plan
+
+
 def test_vectors_are_made_unit_length(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "i int, v array<double>")
     got = {r.i: r.v for r in vectors.prepared(df, "v", 2).collect()}
