@@ -194,7 +194,10 @@ EMAIL = r"[A-Za-z0-9\._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"
 US_PHONE = r"(?:\+?1[-. ]?)?\(?[2-9][0-9]{2}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}"
 DATETIME = r"[A-Z][a-z]{2},\s[0-9]{1,2}\s[A-Z][a-z]{2}\s[0-9]{4}\s[0-9]{2}:[0-9]{2}:[0-9]{2}\s[+-][0-9]{4}"
-EXTRACTORS = {"email": EMAIL, "ip_address": IPV4, "us_phone": US_PHONE, "datetime": DATETIME}
+IPV6 = r"[0-9A-Za-z]{1,4}(?:::?[0-9A-Za-z]{1,4}){3,7}(?:%[0-9A-Za-z]+)?"
+IP_NAME = r"[A-Za-z0-9-]+\.[A-Za-z]+\.[A-Za-z][A-Za-z0-9-]*"
+MAPI_ID = r"[0-9]+(?:\.[0-9]+){3}(?=;)"
+EXTRACTORS = {"email": EMAIL, "ip_address": IPV4, "ipv6_address": IPV6, "ip_address_name": IP_NAME, "mapi_id": MAPI_ID, "us_phone": US_PHONE, "datetime": DATETIME}
 
 
 def extract_all(text: Column, kind: str) -> Column:

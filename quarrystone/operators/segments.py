@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarrystone.functions.text import clean_text
+
 
 def merge_runs(rows: DataFrame, by: Sequence[str], order: str, section: str, text: str) -> DataFrame:
     """(by, run, section, text): consecutive rows of one section, texts joined by a space."""
@@ -110,6 +112,55 @@ def pack_lines(rows: DataFrame, idx: str, text: str, most: int = 500) -> DataFra
     return chunks.select(idx, "chunk", F.size(F.split("piece", "\n")).cast("long").alias("lines"), "piece")
 
 
+def _cut(text: str, most: int) -> Iterator[str]:
+    """Parts of at most so many characters, cut at the last blank that makes them fit, or without one anywhere."""
+    while len(text) > most:
+        at = text.rfind(" ", 1, most + 1)
+        yield text[: at if at > 0 else most].rstrip()
+        text = text[at if at > 0 else most :].lstrip()
+    if text:
+        yield text
+
+
+def _title_chunks(elements: Iterable[tuple[bool, str]], most: int) -> Iterator[str]:
+    """Sections as runs of elements that fit, joined by a blank line; neighbouring sections are put together while they fit."""
+    sections: list[str] = []
+    for title, text in elements:
+        if sections and not title and len(sections[-1]) + 2 + len(text) <= most:
+            sections[-1] += "\n\n" + text
+        else:
+            sections.append(text)
+    held = ""
+    for section in sections:
+        if held and len(held) + 2 + len(section) <= most:
+            held += "\n\n" + section
+        else:
+            yield from _cut(held, most)
+            held = section
+    yield from _cut(held, most)
+
+
+def chunk_by_title(elements: DataFrame, by: str, order: str, is_title: Column, text: str, most: int = 500) -> DataFrame:
+    """(by, chunk, piece): elements of a document in chunks of at most so many characters.
+
+    A title begins a section. Elements of a section share a chunk while they fit, small sections are put together, an
+    element that is too long is cut at blanks. Elements that are null or blank are left out, and documents without others.
+    """
+    kept = elements.where(F.trim(text) != "").select(by, order, F.coalesce(is_title, F.lit(False)).alias("_title"), F.col(text).alias("_text"))
+    rows = kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "_title", "_text"))), lambda x: F.struct(x["_title"], x["_text"])).alias("_elements"))
+    schema = T.StructType([T.StructField(by, elements.schema[by].dataType), T.StructField("chunk", T.LongType()), T.StructField("piece", T.StringType())])
+
+    def cut(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            pairs = zip(batch[by], batch["_elements"], strict=True)
+            out = [(i, k, p) for i, es in pairs for k, p in enumerate(_title_chunks([tuple(e.values()) for e in es], most))]
+            yield pd.DataFrame(out, columns=[by, "chunk", "piece"])
+
+    return rows.mapInPandas(cut, schema)
+
+
 def numbered_context(rows: DataFrame, by: Sequence[str], rank: str, text: str, empty: str = "No documents.") -> DataFrame:
     """(by, text): ``[rank] text`` lines in rank order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(rank, text))), lambda x: F.concat(F.lit("["), x[rank], F.lit("] "), x[text]))
@@ -120,11 +171,14 @@ def numbered_context(rows: DataFrame, by: Sequence[str], rank: str, text: str, e
 
 _START = r"\bRecommendation\s+\d+(?:\.\d+){1,2}\.?\s+"
 _STOPS = (r"\bStatement\s+\d+(?:\.\d+){1,2}", r"\bComment:", r"\bQ\.\d+\.\d+:")
+# The words by which a span of the second kind recommends something.
+_RECOMMENDS = r"(?i)\b(recommend(?:ed|s|ing)?|suggest(?:ed|s|ing)?|advised|preferred|should be considered|cannot suggest)\b"
 _EVIDENCE = r"\[[^\]]*(?:QoE|Strength of recommendation)[^\]]*\]"
 
 
 def recommendation_spans(text: Column) -> Column:
-    """Spans that begin at ``Recommendation n.n``, end before the next one or a stop, and are trimmed after the evidence bracket; once each."""
+    """Spans of the cleaned text that begin at ``Recommendation n.n``, end before the next one or a stop, and are trimmed after the evidence bracket; once each."""
+    text = clean_text(text)
     stop = "|".join([_START, *_STOPS])
     spans = F.regexp_extract_all(text, F.lit(rf"(?is)({_START}.*?)(?={stop}|\z)"), F.lit(1))
     trimmed = F.transform(spans, lambda s: F.trim(F.coalesce(F.nullif(F.regexp_extract(s, rf"(?is)^(.*?{_EVIDENCE})", 1), F.lit("")), s)))
@@ -133,13 +187,25 @@ def recommendation_spans(text: Column) -> Column:
 
 
 def keyword_sections(text: Column, first: int = 900) -> Column:
-    """map of number to text of ``n.n Capital`` spans that recommend something near their start: cut after an evidence mark or before a discussion, the first of a number wins."""
+    """map of number to text of ``n.n Capital`` spans of the cleaned text that recommend something near their start: cut after an evidence mark or before a discussion.
+
+    What is left has to recommend something too; the first such span of a number wins. Entities stay: unescape before.
+    """
+    text = clean_text(text, unescape=False)
     head = r"\b[1-7]\.\d+\s+(?=[A-Z])"
     spans = F.regexp_extract_all(text, F.lit(rf"(?s)({head}.*?)(?={head}|\z)"), F.lit(1))
     said = r"(?i)\b(recommend(?:ed|s|ing)?|suggest(?:ed|s|ing)?|advised)\b|#QoE|SoR"
     kept = F.filter(spans, lambda s: F.substring(s, 1, first).rlike(said) & ~F.contains(F.substring(s, 1, 200), F.lit("References")))
     mark = lambda s: F.regexp_extract(s, r"(?is)^(.*?#QoE[^#]*#\.?)", 1)
     cut = F.transform(kept, lambda s: F.trim(F.when(mark(s) != "", mark(s)).otherwise(F.get(F.split(s, r"\bDiscussion\b"), F.lit(0)))))
+    cut = F.filter(cut, lambda s: s.rlike(_RECOMMENDS))
     pairs = F.transform(cut, lambda s: F.struct(F.regexp_extract(s, r"^(\d\.\d+)", 1).alias("key"), s.alias("value")))
     first_of = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(first_of)
+
+
+def page_recommendations(blocks: DataFrame, by: str, page: str, order: str, text: str, last_page: int = 19) -> DataFrame:
+    """(by, number, text) of keyword_sections over the blocks of a document's first pages, in order, joined by a space."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
+    bodies = blocks.where(F.col(page) <= last_page).groupBy(by).agg(body.alias("_body")).withColumn("_body", clean_text(F.col("_body")))
+    return bodies.select(by, F.explode(keyword_sections(F.col("_body"))).alias("number", "text"))

@@ -111,6 +111,12 @@ def interval(values: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     return values.agg(F.round(F.percentile(value, tail), 6).alias("low"), F.round(F.percentile(value, 1 - tail), 6).alias("high"))
 
 
+def pooled_interval(rows: DataFrame, experiment: str, key: Sequence[str], value: Column, replicates: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """One row (low, high) over the replicates of all experiments together. value is an aggregate that weighs rows by ``copies``; each experiment draws its own replicates."""
+    drawn = replicated(rows, [experiment, *key], replicates, seed)
+    return interval(drawn.groupBy(experiment, "replicate").agg(value.alias("value")), "value", level)
+
+
 def label_vectors(counts: DataFrame, true_positive: str = "tp", predicted: str = "p", found: str = "pp", total: str = "n") -> DataFrame:
     """Rows (truth, guess) with the given totals: tp, positives, predicted positives, all. Impossible totals raise when run."""
     tp, p, pp, n = (F.col(c) for c in (true_positive, predicted, found, total))

@@ -178,6 +178,29 @@ def recommend(evidence: DataFrame, key: str, order: str, text: str, prompt: str,
     return model_map(joined, "_prompt", client, **options).drop("_prompt")
 
 
+def recommendation_chain(outcomes: DataFrame, question: str, comparison: str, order: str, text: str, leads: Sequence[str], client: MakeClient, **options: Any) -> DataFrame:
+    """(question, rationale, recommendation, failed) in four steps, each prompt after one of the four leads.
+
+    Every outcome is interpreted, the interpretations of a comparison are summarised, the summaries of a question become a
+    rationale, and that a recommendation. A call without a reply leaves no line in the next prompt and counts in ``failed``.
+    """
+    interpret, summarise, reason, conclude = leads
+
+    def ask(rows: DataFrame, lead: str, said: str, out: str) -> DataFrame:
+        replies = model_map(rows.withColumn("_prompt", F.concat(F.lit(lead), F.coalesce(F.col(said), F.lit("")))), "_prompt", client, **options)
+        return replies.withColumn("failed", F.col("failed") + F.when(F.col("response").isNull(), 1).otherwise(0)).withColumnRenamed("response", out).drop("_prompt", "error")
+
+    def gathered(rows: DataFrame, keys: Sequence[str], by: str, line: Column) -> DataFrame:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(by, line.alias("_line")))), lambda x: x["_line"])
+        return rows.groupBy(*keys).agg(F.array_join(lines, "\n").alias("_said"), F.sum("failed").alias("failed"))
+
+    rows = outcomes.select(question, comparison, order, text, F.lit(0).cast("long").alias("failed"))
+    interpreted = ask(rows, interpret, text, "_reply")
+    summaries = ask(gathered(interpreted, [question, comparison], order, F.col("_reply")), summarise, "_said", "_reply")
+    rationales = ask(gathered(summaries, [question], comparison, F.concat(F.col(comparison), F.lit(": "), "_reply")), reason, "_said", "rationale")
+    return ask(rationales, conclude, "rationale", "recommendation").select(question, "rationale", "recommendation", "failed")
+
+
 def search_rounds(terms: DataFrame, prompt: str, client: MakeClient, feedback: Callable[[DataFrame], DataFrame], rounds: int = 3, done: str = "SEARCH_COMPLETE", **options: Any) -> DataFrame:
     """terms with a strategy that is revised until the reply says it is complete, at most so many times; feedback adds the column ``feedback`` to a table with ``strategy``. Complete rows are not asked again."""
     now = model_map(terms, prompt, client, **options).withColumnRenamed("response", "strategy").drop("error")

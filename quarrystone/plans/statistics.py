@@ -65,6 +65,15 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return S.interval(recalls, "recall")
 
 
+@query("u7_bootstrap_pooled")
+def bootstrap_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    """The interval of precision over 1000 replicates of each source's labels, pooled."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    guessed = F.sum(F.col("toxic") * F.col("copies"))
+    precision = F.when(guessed > 0, F.sum(F.col("quality") * F.col("toxic") * F.col("copies")) / guessed).otherwise(0.0)
+    return S.pooled_interval(rows, "source", ["doc_id"], precision)
+
+
 @query("u7_bootstrap_kappa")
 def bootstrap_kappa(spark: SparkSession, sf: str) -> DataFrame:
     drawn = S.replicated(table(spark, sf, "labels"), ["doc_id"], 2000)

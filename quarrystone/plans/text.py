@@ -140,6 +140,33 @@ def line_totals(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.sum("lines").alias("lines"), F.sum(F.length("piece") - F.col("lines") + 1).alias("chars"))
 
 
+@query("t24_chunk_by_title")
+def title_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents, short ones as titles, in chunks of at most 500 characters."""
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return segments.chunk_by_title(lines, "doc_id", "pos", F.length("line") < 40, "line", 500)
+
+
+@query("t8_recommendations", """SELECT p_partkey, 'Recommendation ' || p_size || '.1 Use ' || p_name || ' (early) [QoE: High]' || chr(10) || 'Recommendation ' || p_size || '.2 Avoid ' || p_type AS spans FROM part""")
+def recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of a guideline's text, broken lines and spaced brackets repaired, cut after the evidence or at a stop, once each."""
+    k, n, t = F.col("p_size"), F.col("p_name"), F.col("p_type")
+    twice = [F.lit("Recommendation "), k, F.lit(".2 Avoid\n"), t, F.lit(" Statement "), k, F.lit(".3 other ")]
+    text = F.concat(F.lit("Lead. Recommendation "), k, F.lit(".1 Use\n"), n, F.lit(" ( early ) [QoE: High] rest. Comment: none "), *twice, *twice)
+    return table(spark, sf, "part").select("p_partkey", F.array_join(segments.recommendation_spans(text), "\n").alias("spans"))
+
+
+@query("t9_page_recommendations", """SELECT s_nationkey, number, number || CASE s_suppkey % 3 WHEN 0 THEN ' We recommend ' || s_name || ' #QoE low#' ELSE ' Preferred is ' || s_name || ' SoR' END AS text
+FROM (SELECT *, (1 + s_suppkey % 7) || '.' || s_suppkey AS number FROM supplier) WHERE s_suppkey % 25 <= 19 AND s_suppkey % 3 < 2""")
+def page_recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered spans on the first pages; spans with a grade that recommend nothing are left out."""
+    number = F.concat((F.col("s_suppkey") % 7 + 1).cast("string"), F.lit("."), "s_suppkey")
+    kinds = [(0, " We recommend ", " #QoE low# and more"), (1, " Preferred is ", " SoR Discussion long"), (2, " Graded is ", " SoR")]
+    text = F.coalesce(*[F.when(F.col("s_suppkey") % 3 == k, F.concat(number, F.lit(a), "s_name", F.lit(b))) for k, a, b in kinds])
+    blocks = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 25).alias("page"), text.alias("text"))
+    return segments.page_recommendations(blocks, "s_nationkey", "page", "s_suppkey", "text")
+
+
 @query("t20_format_docs", """SELECT source, string_agg('[' || rn || '] ' || text, chr(10) ORDER BY rn) AS context FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source""")
 def whole_format_docs(spark: SparkSession, sf: str) -> DataFrame:
     return _format(_docs(spark, sf))
@@ -168,6 +195,14 @@ def extract(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", *[F.size(X.extract_all(c, k)).cast("long").alias(n) for k, n in (("email", "emails"), ("ip_address", "ips"), ("us_phone", "phones"))])
 
 
+@query("t23_header", """SELECT s_suppkey, 'H' || s_suppkey || '.DEF.local' AS ip_address_name, 'ba23::58b5:2236:45a2:88b2' AS ipv6_address, '32.88.' || s_suppkey || '.123' AS mapi_id, 'Fri, 26 Mar 2021 11:04:09 +1200' AS datetime FROM supplier""")
+def header(spark: SparkSession, sf: str) -> DataFrame:
+    """What a mail's header holds."""
+    text = F.concat(F.lit("from H"), "s_suppkey", F.lit(".DEF.local ([ba23::58b5:2236:45a2:88b2]) with mapi id 32.88."), "s_suppkey", F.lit(".123; Fri, 26 Mar 2021 11:04:09 +1200"))
+    kinds = ("ip_address_name", "ipv6_address", "mapi_id", "datetime")
+    return table(spark, sf, "supplier").select("s_suppkey", *[F.array_join(X.extract_all(text, k), "|").alias(k) for k in kinds])
+
+
 @query("t23_before_after", "SELECT page_id, rtrim(split_part(url, '://', 1)) AS scheme, ltrim(substring(url, instr(url, '://') + 3)) AS rest FROM pages")
 def before_after(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.text_before(F.col("url"), "://").alias("scheme"), X.text_after(F.col("url"), "://").alias("rest"))

@@ -102,6 +102,24 @@ def recommend(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("s_nationkey", F.col("response").cast("long").alias("answer"))
 
 
+class BracketClient:
+    """Answers with the prompt in brackets, but not to what holds its refused word."""
+
+    def __call__(self, prompt: str) -> str:
+        if prompt.startswith("i ") and int(prompt[-9:]) % 4 == 0:
+            raise ValueError("refused")
+        return f"[{prompt}]"
+
+
+@query("m10_recommendation_chain", """WITH s AS (SELECT n_regionkey, s_nationkey, '[s ' || coalesce(string_agg('[i ' || s_name || ']', chr(10) ORDER BY s_suppkey) FILTER (WHERE s_suppkey % 4 <> 0), '') || ']' AS said, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS failed FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL),
+r AS (SELECT n_regionkey, '[r ' || string_agg(s_nationkey || ': ' || said, chr(10) ORDER BY s_nationkey) || ']' AS rationale, sum(failed)::BIGINT AS failed FROM s GROUP BY n_regionkey)
+SELECT n_regionkey, rationale, '[f ' || rationale || ']' AS recommendation, failed FROM r""")
+def recommendation_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as outcomes, nations as comparisons, regions as questions; each fourth outcome gets no reply."""
+    outcomes = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return W.recommendation_chain(outcomes, "n_regionkey", "s_nationkey", "s_suppkey", "s_name", ("i ", "s ", "r ", "f "), BracketClient)
+
+
 class RevisingClient:
     """Adds a mark to a strategy until it has two or is long."""
 

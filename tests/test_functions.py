@@ -213,3 +213,40 @@ def test_numbered_over_many_ranges(spark):
     got = {r.x: r.n for r in records.numbered(rows, F.col("x")).collect()}
     assert got == {x: x + 1 for x in range(1000)}
     assert records.numbered(rows.where("x < 0"), F.col("x")).count() == 0
+
+
+def test_recommendations_are_cleaned_and_kept_once(spark):
+    t = "Recommendation 1.2 Use\nfirstline ( A ) [QoE: Low] x Recommendation 1.2 Use firstline (A) [QoE: Low] y"
+    assert text(spark, segments.recommendation_spans, t) == ["Recommendation 1.2 Use first-line (A) [QoE: Low]"]
+    assert text(spark, segments.recommendation_spans, None) == []
+
+
+def test_a_graded_span_has_to_recommend(spark):
+    t = "1.1 Graded SoR 2.1 References we recommend 3.1 Early is preferred SoR 4.1 We recommend B Discussion C"
+    assert text(spark, segments.keyword_sections, t) == {"3.1": "3.1 Early is preferred SoR", "4.1": "4.1 We recommend B"}
+
+
+def test_page_recommendations_end_with_the_last_page(spark):
+    rows = [("d", 1, 0, "1.1 We recommend A &amp;"), ("d", 2, 1, "B. 2.1 We suggest\nC"), ("d", 3, 20, "3.1 We recommend D"), ("e", 1, 30, "1.1 We recommend E"), (None, 1, 2, None)]
+    blocks = spark.createDataFrame(rows, "doc string, k int, page int, t string")
+    got = {(r.doc, r.number): r.text for r in segments.page_recommendations(blocks, "doc", "page", "k", "t").collect()}
+    assert got == {("d", "1.1"): "1.1 We recommend A & B.", ("d", "2.1"): "2.1 We suggest C"}
+
+
+def test_chunks_by_title(spark):
+    rows = [("d", 1, True, "T1"), ("d", 2, False, "a" * 8), ("d", 3, False, "b" * 8), ("d", 4, True, "T2"), ("d", 5, False, "c"), ("d", 6, True, "T3"), ("d", 7, False, "one two three four five six"), ("d", 8, None, None), ("e", 1, False, " "), (None, 1, None, "x" * 25)]
+    elements = spark.createDataFrame(rows, "doc string, k int, title boolean, t string")
+    got = segments.chunk_by_title(elements, "doc", "k", F.col("title"), "t", 20).orderBy("doc", "chunk").collect()
+    # a section is cut where it would grow too long; small sections share a chunk, up to 19 characters here
+    assert [(r.doc, r.chunk, r.piece) for r in got] == [(None, 0, "x" * 20), (None, 1, "x" * 5), ("d", 0, "T1\n\n" + "a" * 8), ("d", 1, "b" * 8 + "\n\nT2\n\nc\n\nT3"), ("d", 2, "one two three four"), ("d", 3, "five six")]
+
+
+def test_pooled_interval_is_that_of_all_replicates(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(e, k, int((k + e) % 3 > 0)) for e in range(3) for k in range(20 + 10 * e)], "e int, k int, x int")
+    value = F.sum(F.col("x") * F.col("copies")) / F.sum("copies")
+    low, high = statistics.pooled_interval(rows, "e", ["k"], value, 50).first()
+    drawn = statistics.replicated(rows, ["e", "k"], 50).toPandas()
+    means = [np.average(g.x, weights=g.copies) for _, g in drawn.groupby(["e", "replicate"])]
+    assert len(means) == 150 and [low, high] == pytest.approx(np.percentile(means, [2.5, 97.5]), abs=1e-6)
