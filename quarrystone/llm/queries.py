@@ -17,6 +17,7 @@ from .packing import pack
 from .quality import RULES, STOP_WORDS, judge
 from .sharding import shard
 from .simhash import hex16, near_dedup
+from .spelling import one_letter_lost, variants, vocabulary
 from .urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +141,37 @@ m AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars,
       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {_PASSES}) AS kept FROM m
 """
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of 7 code points or more that occur twice."""
+    words = vocabulary(documents(spark, sf_dir), change=one_letter_lost(31))
+    return variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: The table of CRC-32, and the checksum of a list of bytes.
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+
+
+def _crc(bytes_: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+_UTF8 = "flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))"
+ORACLE_SQL["op11_spelling"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+raw AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS r FROM documents),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM raw GROUP BY 1, 2),
+keyed AS (SELECT run, k, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs),
+hashed AS (SELECT run, k, {_crc(_UTF8)} AS h FROM keyed, crc),
+changed AS (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+w AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT w.word, cut.word, cut.n FROM w JOIN cut ON w.word = cut.d UNION SELECT cut.word, w.word, w.n FROM w JOIN cut ON w.word = cut.d),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := near)) AS b FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 10 * w.n THEN b.near END AS form, CASE WHEN -b.less >= 10 * w.n THEN -b.less END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+way AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON way.next = f.word)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON f.word = way.word AND way.next IS NULL
+"""
