@@ -18,6 +18,7 @@ from .quality import RULES, STOP_WORDS, judge
 from .sharding import shard
 from .simhash import hex16, near_dedup
 from .spelling import one_letter_lost, variants, vocabulary
+from .topk import top_k
 from .urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +176,18 @@ f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN
 way AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON way.next = f.word)
 SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON f.word = way.word AND way.next IS NULL
 """
+
+
+@query
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every vector whose id is divisible by 50."""
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0).drop("query_vector")
+
+
+ORACLE_SQL["op12_topk"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.e AS query_vector, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND (c.vec_id <> q.vec_id OR c.e <> q.e))
+SELECT query_id, row_number() OVER (PARTITION BY query_id, query_vector ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
