@@ -19,6 +19,7 @@ from .sharding import shard
 from .simhash import hex16, near_dedup
 from .spelling import one_letter_lost, variants, vocabulary
 from .topk import top_k
+from .trie import prefix_trie
 from .urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,28 @@ s AS (SELECT q.vec_id AS query_id, q.e AS query_vector, c.vec_id, list_dot_produ
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND (c.vec_id <> q.vec_id OR c.e <> q.e))
 SELECT query_id, row_number() OVER (PARTITION BY query_id, query_vector ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5
 """
+
+
+@query
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), every=5, most=9)
+
+
+_DIGITS = "list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+ORACLE_SQL["op13_trie"] = f"""
+WITH crc AS MATERIALIZED ({_CRC_TABLE}),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, max(place) AS n, c - c % 5 AS base FROM t GROUP BY c),
+h AS (SELECT c, n, base, {_crc(_DIGITS)} % 9 AS h FROM own, crc),
+b AS (SELECT h.c, h.base, h.h, least(h.h, coalesce(o.n, 0)) AS held FROM h LEFT JOIN own o ON h.base = o.c),
+re AS (SELECT b.c, place AS d, r, x FROM b JOIN t ON t.c = b.base AND place <= h UNION ALL
+       SELECT b.c, place - h + held, r, x FROM b JOIN t ON t.c = b.c AND place > h UNION ALL SELECT c, 0, '', '' FROM b),
+p AS MATERIALIZED (SELECT c, d, strlen(x) AS bytes, max(d) OVER (PARTITION BY c) AS n, md5(string_agg(r || chr(1) || x, chr(2)) OVER (PARTITION BY c ORDER BY d)) AS k FROM re),
+node AS MATERIALIZED (SELECT d, k, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved, (max(n) = d)::BIGINT AS leaf, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d) AS own FROM p GROUP BY d, k),
+under AS (SELECT p.d, p.k, sum(leaf) AS leaves, sum(saved) AS saved, count(*) FILTER (WHERE node.d = p.d + 1) AS children FROM node JOIN p ON p.c = node.c AND p.d <= node.d GROUP BY p.d, p.k)
+SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, n_convs, children AS n_children, leaves::BIGINT AS n_leaves, under.saved::BIGINT AS saved_tokens, sha256(coalesce(own, '')) AS ends_sha256
+FROM node JOIN under ON under.d = node.d AND under.k = node.k
+LEFT JOIN (SELECT p.c AS member, p.d + 1 AS d, n.c FROM p JOIN node n ON n.d = p.d AND n.k = p.k) up ON up.member = node.c AND up.d = node.d
+"""
