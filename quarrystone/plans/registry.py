@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import evidence, projections, records, retrieval, statistics, text, windows, workflow
+from quarrystone.plans import evidence, projections, records, retrieval, statistics, strategies, text, windows, workflow
 from quarrystone.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (text, projections, retrieval, records, evidence, windows, statistics, workflow):
+for module in (text, projections, retrieval, records, evidence, windows, statistics, workflow, strategies):
     for name, (run, sql) in module.queries.items():
         QUERIES[name] = run
         if sql:
