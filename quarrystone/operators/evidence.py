@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrystone.operators.records import numbered
 from quarrystone.scratch import written
 
 # Keys whose presence makes an outcome assessed.
@@ -73,6 +74,36 @@ def current_stage(artifacts: DataFrame, order: Sequence[str]) -> DataFrame:
     return done.groupBy("pico_idx").agg(F.max_by("stage", "_at").alias("stage"))
 
 
+def cascade(events: DataFrame, stages: Sequence[Sequence[str]], by: str = "entity", order: str = "seq", key: str = "key", value: str = "value") -> DataFrame:
+    """events with ``effective``, a column ``now_<key>`` for every output and ``stage``: the state after each event of updates to stages' outputs.
+
+    stages lists each stage's output keys. An update to an equal value does nothing; another one sets the value and clears the outputs of all
+    later stages. stage is the number of stages, from the first on, whose outputs are all there. Keys of no stage change nothing.
+
+    A stage's outputs are cleared by effective updates of earlier stages only. So stages are taken in order: within an entity an update is
+    effective unless it equals the one before it of its key and nothing was cleared in between, which is a count of earlier stages' effective updates.
+    """
+    told = Window.partitionBy(by).orderBy(order)
+    upto = told.rowsBetween(Window.unboundedPreceding, 0)
+    out = events.withColumn("_hits", F.lit(0).cast("long")).withColumn("_real", F.lit(False))
+    seen: list[Column] = []
+    for k, keys in enumerate(stages):
+        mine = F.col(key).isin(list(keys))
+        before = F.lag(F.struct(F.col(value).alias("v"), F.col("_hits").alias("c"))).over(Window.partitionBy(by, key).orderBy(order))
+        out = out.withColumn("_before", before)
+        held = F.when(F.col("_before.c") == F.col("_hits"), F.col("_before.v"))
+        out = out.withColumn("_real", F.when(mine, ~held.eqNullSafe(F.col(value))).otherwise(F.col("_real")))
+        for name in keys:
+            out = out.withColumn(f"_last_{k}_{name}", F.last(F.when(F.col(key) == name, F.struct(F.col(value).alias("v"), F.col("_hits").alias("c"))), ignorenulls=True).over(upto))
+        now = [F.when(F.col(f"_last_{k}_{name}.c") == F.col("_hits"), F.col(f"_last_{k}_{name}.v")).alias(f"now_{name}") for name in keys]
+        out = out.select("*", *now).withColumn("_hits", F.sum(F.when(F.col("_real"), 1).otherwise(0)).over(upto))
+        whole = reduce(lambda a, b: a & b, [F.col(f"now_{name}").isNotNull() for name in keys])
+        seen.append(seen[-1] & whole if seen else whole)
+    done = reduce(lambda a, b: a + b, [F.when(x, 1).otherwise(0) for x in seen])
+    names = [f"now_{name}" for keys in stages for name in keys]
+    return out.select(*events.columns, F.col("_real").alias("effective"), *names, done.alias("stage"))
+
+
 # --- graphs as edge tables ----------------------------------------------------------------------------------------
 
 
@@ -84,16 +115,12 @@ def delete_triplets(edges: DataFrame, nodes: DataFrame, gone: DataFrame) -> tupl
     return rest, nodes.join(touched.join(linked, "id", "left_anti"), "id", "left_anti")
 
 
-def topological_levels(edges: DataFrame, most_local: int = 1 << 20) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a node without a parent, for acyclic tables of (parent, child); a cycle raises ValueError.
 
-    Level by level, every edge is removed once, so neither depth nor the number of paths is bounded. A table counted
-    to hold at most most_local edges is levelled in the driver, a larger one by joins, two written tables a level.
+    Level by level, every edge is removed once, so neither depth nor the number of paths is bounded; two written tables a level.
     """
-    spark, kind = edges.sparkSession, edges.schema["parent"].dataType.simpleString()
     left = written(edges.select("parent", "child").distinct(), "edges")
-    if left.limit(most_local + 1).count() <= most_local:
-        return spark.createDataFrame(_levels([tuple(r) for r in left.collect()]), f"node {kind}, level int")
     done, level = None, 0
     while not left.isEmpty():
         now = written(left.select("parent").distinct().join(left.select(F.col("child").alias("parent")), "parent", "left_anti"), "level")
@@ -105,26 +132,43 @@ def topological_levels(edges: DataFrame, most_local: int = 1 << 20) -> DataFrame
         found = now.select(F.col("parent").alias("node"), F.lit(level).alias("level")).unionByName(ends.withColumn("level", F.lit(level + 1)))
         done = found if done is None else done.unionByName(found)
         left, level = rest, level + 1
+    if done is None:
+        return edges.select(F.col("parent").alias("node"), F.lit(0).alias("level")).where("false")
     return done
 
 
-def _levels(edges: list[tuple]) -> list[tuple]:
-    children, waiting = defaultdict(list), Counter(child for _, child in edges)
-    for parent, child in edges:
-        children[parent].append(child)
-    out, level = [], 0
-    now = [n for n in children if n not in waiting]
-    while now:
-        out += [(n, level) for n in now]
-        after = []
-        for child in (c for n in now for c in children.get(n, ())):
-            waiting[child] -= 1
-            if not waiting[child]:
-                after.append(child)
-        now, level = after, level + 1
-    if len(out) < len({n for e in edges for n in e}):
-        raise ValueError("the edges have a cycle")
-    return out
+def post_order(nodes: DataFrame, node: str = "node", parent: str = "parent", order: str = "place") -> DataFrame:
+    """(node, position): the place from 1 of every node of a forest when children, by order, come before their parent. Roots have no parent.
+
+    An Euler tour passes every node on the way down and on the way up. Nodes are numbered by (parent, order), so the next sibling
+    is the next number; each step of the tour knows the next one, and pointers are doubled until every step knows how many ways up
+    follow it: a logarithm of the nodes in rounds, each a join and a written table, however deep or wide the forest is. Two
+    parents of a node, a parent that is not there and a ring raise ValueError.
+    """
+    rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(order).alias("place"))
+    num = written(numbered(rows, F.col("parent"), F.col("place"), F.col("node")), "numbered")
+    total = num.count()
+    if num.select("node").distinct().count() < total:
+        raise ValueError("a node is there twice")
+    ids = num.select(F.col("node").alias("parent"), F.col("n").alias("pn"))
+    if not num.where("parent IS NOT NULL").join(ids, "parent", "left_anti").isEmpty():
+        raise ValueError("a parent is not among the nodes")
+    first = num.where("parent IS NOT NULL").groupBy("parent").agg(F.min("n").alias("kid")).withColumnRenamed("parent", "node")
+    after = num.select((F.col("n") - 1).alias("n"), F.struct(F.col("parent")).alias("theirs"), F.lit(True).alias("more"))
+    links = num.join(ids, "parent", "left").join(first, "node", "left").join(after, "n", "left")
+    sibling = F.col("more") & (F.struct(F.col("parent")) == F.col("theirs"))
+    down = F.struct((2 * F.col("n")).alias("step"), F.coalesce(2 * F.col("kid"), 2 * F.col("n") + 1).alias("next"), F.lit(0).cast("long").alias("ups"))
+    up = F.struct((2 * F.col("n") + 1).alias("step"), F.when(sibling, 2 * F.col("n") + 2).otherwise(2 * F.col("pn") + 1).alias("next"), F.lit(1).cast("long").alias("ups"))
+    tour = written(links.select(F.inline(F.array(down, up))), "tour")
+    for _ in range((2 * total).bit_length() + 1):
+        if tour.where("next IS NOT NULL").isEmpty():
+            break
+        then = tour.select(F.col("step").alias("next"), F.col("next").alias("later"), F.col("ups").alias("more"))
+        tour = written(tour.join(then, "next", "left").select("step", F.col("later").alias("next"), (F.col("ups") + F.coalesce("more", F.lit(0))).alias("ups")), "tour")
+    else:
+        raise ValueError("the parents form a ring")
+    ups = tour.where("step % 2 = 1").select(F.expr("step div 2").alias("n"), (F.lit(total + 1) - F.col("ups")).alias("position"))
+    return num.join(ups, "n").select("node", "position")
 
 
 def graph_elements(text: Column) -> Column:

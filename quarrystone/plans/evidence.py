@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators import evidence as E
@@ -82,6 +84,45 @@ def topological(spark: SparkSession, sf: str) -> DataFrame:
     return E.topological_levels(n.unionByName(s))
 
 
+_FOREST = "SELECT 'r' || r_regionkey AS node, NULL AS parent, r_regionkey::BIGINT AS place FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1000000000 + c_custkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, -o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"
+
+
+@query("o6_post_order", f"""WITH RECURSIVE f AS ({_FOREST}), w AS (SELECT node, [place] AS path FROM f WHERE parent IS NULL UNION ALL SELECT f.node, list_append(w.path, f.place) FROM w JOIN f ON f.parent = w.node)
+SELECT node, row_number() OVER (ORDER BY list_append(path, 9000000000000000000)) AS position FROM w""")
+def post_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions, nations, suppliers, customers and their orders (newest number first) as a forest, children before their parent."""
+    def level(name: str, key: str, prefix: str, parent: str | None, above: str, place: Column) -> DataFrame:
+        up = F.concat(F.lit(above), parent) if parent else F.lit(None).cast("string")
+        return table(spark, sf, name).select(F.concat(F.lit(prefix), key).alias("node"), up.alias("parent"), place.cast("long").alias("place"))
+
+    customers = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("parent"))
+    rows = [level("region", "r_regionkey", "r", None, "", F.col("r_regionkey")), level("nation", "n_nationkey", "n", "n_regionkey", "r", F.col("n_nationkey")), level("supplier", "s_suppkey", "s", "s_nationkey", "n", F.col("s_suppkey")),
+            level("customer", "c_custkey", "c", "c_nationkey", "n", F.col("c_custkey") + 1000000000), level("orders", "o_orderkey", "o", "o_custkey", "c", -F.col("o_orderkey")).join(customers, "parent", "left_semi").select("node", "parent", "place")]
+    return E.post_order(reduce(DataFrame.unionByName, rows))
+
+
+_LOG = "SELECT user_id AS entity, event_id AS seq, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'purchase' THEN 'c' WHEN 'error' THEN 'd' ELSE 'e' END AS key, CASE WHEN event_id % 7 <> 0 THEN (floor(value)::BIGINT % 3)::VARCHAR END AS value FROM events"
+
+
+@query("stages_cascade", f"""WITH RECURSIVE log AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) AS n FROM ({_LOG})),
+w AS (SELECT entity, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS key, NULL::VARCHAR AS value, false AS effective, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS d FROM (SELECT DISTINCT entity FROM log)
+  UNION ALL SELECT x.entity, x.n, x.seq, x.key, x.value, x.changed, CASE WHEN x.changed AND x.key = 'a' THEN x.value ELSE x.a END,
+    CASE WHEN x.changed AND x.key = 'b' THEN x.value ELSE x.b END, CASE WHEN x.changed AND x.key = 'c' THEN x.value WHEN x.changed AND x.key IN ('a', 'b') THEN NULL ELSE x.c END,
+    CASE WHEN x.changed AND x.key = 'd' THEN x.value WHEN x.changed AND x.key IN ('a', 'b', 'c') THEN NULL ELSE x.d END
+  FROM (SELECT log.entity, log.n, log.seq, log.key, log.value, w.a, w.b, w.c, w.d, coalesce(CASE log.key WHEN 'a' THEN w.a IS DISTINCT FROM log.value WHEN 'b' THEN w.b IS DISTINCT FROM log.value
+    WHEN 'c' THEN w.c IS DISTINCT FROM log.value WHEN 'd' THEN w.d IS DISTINCT FROM log.value END, false) AS changed FROM w JOIN log ON log.entity = w.entity AND log.n = w.n + 1) x)
+SELECT entity, seq, key, value, effective, a AS now_a, b AS now_b, c AS now_c, d AS now_d,
+  CASE WHEN a IS NULL OR b IS NULL THEN 0 WHEN c IS NULL THEN 1 WHEN d IS NULL THEN 2 ELSE 3 END AS stage FROM w WHERE n > 0""")
+def cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as updates of three stages' outputs (a and b, c, d): what each changes and clears, and the state after it."""
+    key = F.lit("e")
+    for kind, name in (("click", "a"), ("view", "b"), ("purchase", "c"), ("error", "d")):
+        key = F.when(F.col("event_type") == kind, name).otherwise(key)
+    value = F.when(F.col("event_id") % 7 != 0, (F.floor("value").cast("long") % 3).cast("string"))
+    log = table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), key.alias("key"), value.alias("value"))
+    return E.cascade(log, [["a", "b"], ["c"], ["d"]])
+
+
 @query("g_delete_triplets", "SELECT id FROM (SELECT DISTINCT 'n' || s_nationkey AS id, s_nationkey AS k FROM supplier) x WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = k AND s_suppkey % 4 <> 0) UNION SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0")
 def delete(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes left when the links of every fourth supplier go."""
