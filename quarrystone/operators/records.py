@@ -85,3 +85,22 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rows with an array of the names of the rules that they break, and only rows that break one."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
     return rows.withColumn("violations", broken).where(F.size("violations") > 0)
+
+
+def match_uploads(uploads: DataFrame, missing: DataFrame, by: str = "task", upload: str = "upload", file_name: str = "file_name", target: str = "target_uid", ordinal: str = "ordinal", uid: str = "paper_uid", path: str = "path") -> DataFrame:
+    """(by, upload, path): the place of each upload among its task's missing papers, null where none fits.
+
+    The first paper, by ordinal, fits whose uid is the upload's target, or is held, in lower case, by the file's stem; if none does, a task's only missing paper.
+    """
+    from quarrystone.operators.retrieval import substring_join
+
+    name = F.regexp_extract(file_name, r"([^/]*)/*$", 1)
+    stem = F.lower(F.coalesce(F.nullif(F.regexp_extract(name, r"(?s)^(.+)\.[^.]+$", 1), F.lit("")), name))
+    asked = uploads.select(by, upload, F.col(target).alias("_target"), stem.alias("_stem"))
+    wanted = missing.select(by, F.col(ordinal).alias("_ordinal"), F.col(uid).alias("_uid"), F.lower(uid).alias("_low"), F.col(path).alias("_path"))
+    columns = [by, upload, "_ordinal", "_path"]
+    held = substring_join(asked.where(F.col("_stem") != ""), wanted, "_stem", "_low", on=[by]).select(*columns)
+    exact = asked.where(F.col("_target") != "").join(wanted.withColumn("_target", F.col("_uid")), [by, "_target"])
+    first = held.unionByName(exact.select(*columns)).groupBy(by, upload).agg(F.min_by("_path", "_ordinal").alias("_found"))
+    only = wanted.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_sole")).where("_n = 1")
+    return asked.select(by, upload).join(first, [by, upload], "left").join(only, by, "left").select(by, upload, F.coalesce("_found", "_sole").alias(path))

@@ -8,6 +8,7 @@ the shuffle, and every tie goes to the lower index.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import log
 
 import numpy as np
@@ -147,11 +148,37 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, kind: str =
     return top_k(met.applyInArrow(meet, types), k)
 
 
+#: Windows of at most so many characters are looked up when one text is looked for in another.
+ANCHOR = 8
+
+
+def substring_join(texts: DataFrame, keys: DataFrame, text: str, key: str, on: Sequence[str] = (), anchor: int = ANCHOR) -> DataFrame:
+    """Pairs of rows of texts and keys, equal in ``on``, whose text holds the key, character by character; keys that are null or empty are in none.
+
+    A key is looked up by its first characters, at most ``anchor``: every window of that length in a text joins them by a hash, and what has met is
+    compared whole. Windows of one text are taken once, and leave it only for the lengths that keys have; few keys are broadcast,
+    so that no window is shuffled. Columns other than ``on`` should differ in name.
+    """
+    asked = keys.where(F.length(key) > 0).withColumn("_n", F.least(F.length(key), F.lit(anchor)))
+    asked = asked.withColumn("_w", F.xxhash64("_n", F.left(F.col(key), F.col("_n"))))
+    lengths = [r[0] for r in asked.select("_n").distinct().collect()]  # at most anchor of them
+    each = written(texts.withColumn("_t", F.monotonically_increasing_id()), "texts")
+
+    def windows(n: int) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))), lambda w: F.xxhash64(F.lit(n), w))
+
+    held = F.concat(*[windows(n) for n in lengths]) if lengths else F.array().cast("array<bigint>")
+    met = each.select("_t", *on, F.explode(held).alias("_w"))
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    pairs = met.join(F.broadcast(asked) if small else asked, [*on, "_w"]).drop("_w", "_n", *on)
+    return pairs.join(each, "_t").where(F.contains(text, key)).drop("_t")
+
+
 def holding(docs: DataFrame, passages: DataFrame, idx: str = "idx", text: str = "text", q: str = "q", passage: str = "question") -> DataFrame:
     """(q, idx) of every document whose text holds the passage, character by character.
 
     The words of a passage but for its first and last are words of such a text, in the same order: the two join on the
-    first three of them, and what they join is compared whole. Passages of fewer than five words meet all texts.
+    first three of them, and what they join is compared whole. Passages of fewer than five words are joined by windows of characters; an empty one is in no text.
     """
     split = r"[\x20\x09-\x0D]+"
     texts = docs.select(F.col(idx).alias("idx"), F.col(text).alias("text"))
@@ -162,7 +189,9 @@ def holding(docs: DataFrame, passages: DataFrame, idx: str = "idx", text: str =
     met = words.select("idx", F.explode(F.array_distinct(keys)).alias("key")).join(keyed, "key").select("q", "idx", "passage")
     found = met.join(texts, "idx").where(F.contains("text", "passage")).select("q", "idx")
     few = asked.where(F.size("words") < 5).select("q", "passage")
-    return found.union(few.join(texts, F.contains("text", "passage")).select("q", "idx")).distinct()
+    if few.isEmpty():
+        return found.distinct()
+    return found.union(substring_join(texts, few, "text", "passage").select("q", "idx")).distinct()
 
 
 def min_max(scores: DataFrame, constant: str = "one", by: str = "q") -> DataFrame:

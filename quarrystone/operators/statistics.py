@@ -1,19 +1,26 @@
 """Retrieval metrics, agreement statistics and bootstrap intervals.
 
-Point estimates are aggregations. The bootstrap draws Poisson(1) copies of every
-row for every replicate from a hash of (row, replicate, seed): rows never move
-between replicates, each replicate is one group of a partial aggregation, and reruns
-and retried tasks draw the same copies.
+Point estimates are aggregations. The bootstrap draws exactly as many rows as there
+are, with replacement, for every replicate. A statistic that does not tell equal rows
+apart needs only how often each distinct row (a cell) is drawn: the draws are split over
+leaves of cells by a tree of binomials, and over a leaf's cells by a multinomial. Every
+draw is seeded by a hash of (seed, experiment, replicate, place in the tree), so reruns
+and retried tasks draw the same, and no rows are copied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarrystone.scratch import written
+
 
 def ranking_metrics(items: DataFrame, target: str, candidates: str) -> DataFrame:
     """One row (items, hit_1, recall_3, recall_5, mrr) from a target and an ordered array of candidates; no items give zeros."""
@@ -85,24 +92,56 @@ def krippendorff(units: DataFrame, unit: str, value: str, by: Sequence[str] = ()
     return grid.groupBy(*keys).agg(F.round(F.when(chance > 0, 1 - (F.max("_all") - 1) * seen / chance).otherwise(1.0), 6).alias("alpha"))
 
 
-def poisson_copies(key: Sequence[Column], seed: int) -> Column:
-    """A Poisson(1) draw from a hash: how often a row occurs in a replicate."""
-    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies, total, part = F.lit(12), 0.0, 0.36787944117144233
-    bounds = []
-    for n in range(12):
-        total += part
-        bounds.append((n, total))
-        part /= n + 1
-    for n, bound in reversed(bounds):
-        copies = F.when(u < bound, n).otherwise(copies)
-    return copies
+def _binomials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The draws that go to each half of a node: a binomial by the halves' rows, from the node's own hash."""
+    for b in batches:
+        draws = zip(*(b[c].to_pylist() for c in ("_hash", "_draws", "_left", "_right")), strict=True)
+        left = [int(np.random.Generator(np.random.Philox(key=h & _MASK)).binomial(m, x / (x + y))) for h, m, x, y in draws]
+        yield b.append_column("_one", pa.array(left, pa.int64()))
+
+
+def _multinomials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The draws of each of a leaf's cells."""
+    for b in batches:
+        draws = zip(*(b[c].to_pylist() for c in ("_hash", "_draws", "_weights")), strict=True)
+        each = [np.random.Generator(np.random.Philox(key=h & _MASK)).multinomial(m, np.array(w) / sum(w)).tolist() for h, m, w in draws]
+        yield b.append_column("_copies", pa.array(each, pa.list_(pa.int64())))
+
 
+_MASK = (1 << 64) - 1
 
-def replicated(rows: DataFrame, key: Sequence[str], replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """Every row once a replicate that draws it, with the columns replicate and copies."""
-    out = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return out.withColumn("copies", poisson_copies([*map(F.col, key), F.col("replicate")], seed)).where("copies > 0")
+
+def resampled(rows: DataFrame, cell: Sequence[str], by: Sequence[str] = (), replicates: int = 1000, seed: int = 7, leaf_cells: int = 256) -> DataFrame:
+    """(by, replicate, cell, copies): n draws with replacement out of the n rows of each ``by``, for each replicate, as copies of the distinct cells.
+
+    The copies of a replicate sum to n. Cells are dealt to leaves by a hash; a node of the tree over the leaves knows its rows, and hands its draws
+    down to its two halves. So a task holds one leaf's cells at a time, whatever the number of cells. Rows with a null in by take no part.
+    """
+    groups = rows.dropna(subset=list(by)) if by else rows
+    cells = groups.groupBy(*by, *cell).agg(F.count(F.lit(1)).alias("_n"))
+    cells = written(cells.withColumn("_h", F.xxhash64(*cell, F.lit(seed))), "cells")
+    most = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = max(0, (most - 1) // leaf_cells).bit_length()
+    cells = cells.withColumn("_node", F.pmod("_h", F.lit(1 << depth)))
+    copies = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    draws = cells.groupBy(*by).agg(F.sum("_n").alias("_draws")).withColumn("replicate", copies).withColumn("_node", F.lit(0).cast("long"))
+    keys = [*by, "replicate"]
+
+    def hashed(level: int) -> Column:
+        return F.xxhash64(*keys, "_node", F.lit(level), F.lit(seed))
+
+    for level in range(depth):
+        halves = cells.groupBy(*by, F.shiftright("_node", depth - level - 1).alias("_half")).agg(F.sum("_n").alias("_rows"))
+        sides = halves.groupBy(*by, F.shiftright("_half", 1).alias("_node")).agg(*[F.sum(F.when(F.col("_half") % 2 == k, F.col("_rows")).otherwise(0)).alias(name) for k, name in ((0, "_left"), (1, "_right"))])
+        met = draws.join(sides, [*by, "_node"]).select(*keys, "_node", "_draws", "_left", "_right", hashed(level).alias("_hash"))
+        split = met.mapInArrow(_binomials, T.StructType([*met.schema.fields, T.StructField("_one", T.LongType())]))
+        down = F.array(F.struct((F.col("_node") * 2).alias("_node"), F.col("_one").alias("_draws")), F.struct((F.col("_node") * 2 + 1).alias("_node"), (F.col("_draws") - F.col("_one")).alias("_draws")))
+        draws = written(split.select(*keys, F.inline(down)).where("_draws > 0"), "draws")
+    fields = F.transform(F.array_sort(F.collect_list(F.struct("_h", F.struct(*cell).alias("c"), "_n"))), lambda x: F.struct(x["c"].alias("c"), x["_n"].alias("n")))
+    leaves = cells.groupBy(*by, "_node").agg(fields.alias("_cells"))
+    met = (draws.join(leaves, [*by, "_node"]) if by or depth else draws.drop("_node").crossJoin(leaves)).select(*keys, "_draws", F.transform("_cells", lambda x: x["n"]).alias("_weights"), F.transform("_cells", lambda x: x["c"]).alias("_held"), hashed(depth).alias("_hash"))
+    each = met.mapInArrow(_multinomials, T.StructType([*met.schema.fields, T.StructField("_copies", T.ArrayType(T.LongType()))]))
+    return each.select(*keys, F.inline(F.arrays_zip("_held", "_copies"))).where("_copies > 0").select(*keys, "_held.*", F.col("_copies").alias("copies"))
 
 
 def interval(values: DataFrame, value: str, level: float = 0.95) -> DataFrame:
@@ -111,9 +150,9 @@ def interval(values: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     return values.agg(F.round(F.percentile(value, tail), 6).alias("low"), F.round(F.percentile(value, 1 - tail), 6).alias("high"))
 
 
-def pooled_interval(rows: DataFrame, experiment: str, key: Sequence[str], value: Column, replicates: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """One row (low, high) over the replicates of all experiments together. value is an aggregate that weighs rows by ``copies``; each experiment draws its own replicates."""
-    drawn = replicated(rows, [experiment, *key], replicates, seed)
+def pooled_interval(rows: DataFrame, experiment: str, cell: Sequence[str], value: Column, replicates: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """One row (low, high) over the replicates of all experiments together. value is an aggregate of the cell columns that weighs rows by ``copies``; each experiment draws its own replicates."""
+    drawn = resampled(rows, cell, [experiment], replicates, seed)
     return interval(drawn.groupBy(experiment, "replicate").agg(value.alias("value")), "value", level)
 
 

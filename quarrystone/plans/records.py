@@ -198,6 +198,39 @@ def prioritised(spark: SparkSession, sf: str) -> DataFrame:
     return exact.unionByName(weak).groupBy("s_suppkey").agg(F.min_by("n_name", "priority").alias("match"))
 
 
+_UPLOADS = "SELECT c_nationkey AS task, c_custkey AS upload, CASE WHEN c_custkey % 4 = 0 THEN 'Scan/Full_' || c_custkey || '.v2.PDF' ELSE c_name || '.pdf' END AS file_name, CASE WHEN c_custkey % 5 = 0 THEN 'S' || (c_custkey % 40) END AS target_uid FROM customer"
+_MISSING = "SELECT s_nationkey AS task, s_suppkey AS ordinal, CASE WHEN s_suppkey % 3 = 0 THEN 'S' || (s_suppkey % 40) ELSE s_suppkey::VARCHAR END AS paper_uid, 'p/' || s_suppkey AS path FROM supplier WHERE s_nationkey % 6 <> 0 OR s_suppkey % 3 = 0"
+
+
+@query("j14_upload_match", f"""WITH u AS (SELECT *, regexp_replace(regexp_replace(file_name, '^.*/', ''), '\\.[^.]+$', '') AS stem FROM ({_UPLOADS})), m AS ({_MISSING}),
+f AS (SELECT u.task, upload, min_by(path, ordinal) AS path FROM u JOIN m ON u.task = m.task AND (target_uid = paper_uid OR contains(lower(stem), lower(paper_uid))) GROUP BY ALL),
+o AS (SELECT task, min(path) AS path FROM m GROUP BY task HAVING count(*) = 1)
+SELECT u.task, u.upload, coalesce(f.path, o.path) AS path FROM u LEFT JOIN f ON u.task = f.task AND u.upload = f.upload LEFT JOIN o ON u.task = o.task""")
+def uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' files matched with suppliers as missing papers of their nation: by target, by a uid inside the stem, or as the only one."""
+    key = F.col("c_custkey")
+    files = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("task"), key.alias("upload"),
+        F.when(key % 4 == 0, F.concat(F.lit("Scan/Full_"), key, F.lit(".v2.PDF"))).otherwise(F.concat("c_name", F.lit(".pdf"))).alias("file_name"),
+        F.when(key % 5 == 0, F.concat(F.lit("S"), key % 40)).alias("target_uid"),
+    )
+    n = F.col("s_suppkey")
+    papers = table(spark, sf, "supplier").where("s_nationkey % 6 <> 0 OR s_suppkey % 3 = 0").select(
+        F.col("s_nationkey").alias("task"), n.alias("ordinal"), F.when(n % 3 == 0, F.concat(F.lit("S"), n % 40)).otherwise(n.cast("string")).alias("paper_uid"), F.concat(F.lit("p/"), n).alias("path")
+    )
+    return R.match_uploads(files, papers)
+
+
+@query("j14_substring_join", "SELECT doc_id, item_id FROM documents JOIN (SELECT DISTINCT item_id, unnest([substr(text, 1, 5), substr(text, 10, 12), substr(text, 3, 30)]) AS key FROM benchmark) b ON key <> '' AND contains(text, key)")
+def substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold short or longer pieces of benchmark items, wherever they stand."""
+    from quarrystone.operators.retrieval import substring_join
+
+    pieces = F.array(*[F.substring("text", a, n) for a, n in ((1, 5), (10, 12), (3, 30))])
+    keys = table(spark, sf, "benchmark").select("item_id", F.explode(pieces).alias("key")).distinct()
+    return substring_join(table(spark, sf, "documents").select("doc_id", "text"), keys, "text", "key").select("doc_id", "item_id")
+
+
 @query("j15_hierarchy", "SELECT r_name, n_name, count(*) AS suppliers FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     joined = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))

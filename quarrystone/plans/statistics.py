@@ -58,8 +58,8 @@ def percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("u7_bootstrap_recall")
 def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """The interval of 1000 replicates' recall; SQL elsewhere has no XXH64 to draw the same copies."""
-    drawn = S.replicated(table(spark, sf, "labels"), ["doc_id"], 1000)
+    """The interval of 1000 replicates' recall; SQL elsewhere can't draw the same copies."""
+    drawn = S.resampled(table(spark, sf, "labels"), ["quality", "toxic"], replicates=1000)
     truth, both = F.col("quality") * F.col("copies"), F.col("quality") * F.col("toxic") * F.col("copies")
     recalls = drawn.groupBy("replicate").agg(F.when(F.sum(truth) > 0, F.sum(both) / F.sum(truth)).otherwise(0.0).alias("recall"))
     return S.interval(recalls, "recall")
@@ -71,12 +71,12 @@ def bootstrap_pooled(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     guessed = F.sum(F.col("toxic") * F.col("copies"))
     precision = F.when(guessed > 0, F.sum(F.col("quality") * F.col("toxic") * F.col("copies")) / guessed).otherwise(0.0)
-    return S.pooled_interval(rows, "source", ["doc_id"], precision)
+    return S.pooled_interval(rows, "source", ["quality", "toxic"], precision)
 
 
 @query("u7_bootstrap_kappa")
 def bootstrap_kappa(spark: SparkSession, sf: str) -> DataFrame:
-    drawn = S.replicated(table(spark, sf, "labels"), ["doc_id"], 2000)
+    drawn = S.resampled(table(spark, sf, "labels"), ["quality", "toxic"], replicates=2000)
     return S.interval(S.kappa(drawn, "quality", "toxic", by=["replicate"], copies="copies"), "kappa")
 
 
@@ -84,3 +84,11 @@ def bootstrap_kappa(spark: SparkSession, sf: str) -> DataFrame:
 def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
     totals = spark.createDataFrame([(5, 8, 7, 20)], "tp int, p int, pp int, n int")
     return S.label_vectors(totals).groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u7_bootstrap_sums", "SELECT source, replicate, n FROM (SELECT source, count(*) AS n FROM labels JOIN documents ON labels.doc_id = documents.doc_id WHERE source IS NOT NULL GROUP BY source), range(1, 51) r(replicate)")
+def bootstrap_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Every replicate of each source draws as many rows as the source has, here with every row a cell of its own."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    drawn = S.resampled(rows, ["doc_id"], ["source"], 50, leaf_cells=64)
+    return drawn.groupBy("source", "replicate").agg(F.sum("copies").alias("n"))
