@@ -77,10 +77,11 @@ def split_numbered(text: Column, unescape: bool = True) -> Column:
     return F.when(F.size(items) > 0, items).when(F.trim(text) != "", F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
 
 
-def split_questions(text: Column) -> Column:
-    """Parts that begin at a question word and end with a question mark."""
-    parts = F.split(text, rf"(?=\b(?:{'|'.join(QUESTION_WORDS)})\b)")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.endswith("?"))
+def split_questions(text: Column, unescape: bool = True) -> Column:
+    """Parts that begin at a question word, cleaned, that end with a question mark. Entities are repaired in the whole text before it is split."""
+    text = unescape_html(F.coalesce(text, F.lit(""))) if unescape else text
+    parts = F.split(text, rf"(?=(?:{'|'.join(QUESTION_WORDS)})\b)")
+    return F.filter(F.transform(parts, lambda x: clean_text(x, unescape=False)), lambda x: x.endswith("?"))
 
 
 def dedupe(values: Column) -> Column:

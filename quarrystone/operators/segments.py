@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarrystone.functions.text import clean_text
+from quarrystone.functions.text import clean_text, dedupe, split_numbered
 
 
 def merge_runs(rows: DataFrame, by: Sequence[str], order: str, section: str, text: str) -> DataFrame:
@@ -39,6 +40,89 @@ def sections(rows: DataFrame, by: Sequence[str], order: str, text: str, is_headi
     return marked.where("section > 0").groupBy(*by, "section").agg(F.min(F.when(F.col("_heading"), F.col(text))).alias("heading"), F.array_join(body, " ").alias("body"))
 
 
+# The headings of guideline sections and what ends a statement or the document.
+_QUESTIONS, _STATEMENT = re.compile(r"Questions:?\s*$", re.I), re.compile(r"Statements?\s*\(", re.I)
+_DISCUSSION, _REFERENCES, _SUBMIT = "Discussion", "References", "Ready to submit"
+
+
+class _SectionParser:
+    """Reads one document's blocks in order. It holds the texts of the section that is open, and hands a section on when a heading or the end closes it."""
+
+    last_page = 15
+
+    def __init__(self) -> None:
+        self.by = self.kind = self.title = None
+        self.section, self.part, self.ended = -1, 0, False
+        self.texts: list[str] = []
+
+    def _flush(self) -> Iterator[tuple]:
+        if self.kind:
+            self.part += 1
+            yield self.by, self.part, self.opened, self.kind, self.title, " ".join(self.texts)
+        self.kind, self.title, self.texts = None, None, []
+
+    def _open(self, kind: str, title: str | None = None) -> None:
+        self.kind, self.title, self.opened = kind, title, self.section
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        self.by, page, text = row[0], row[1], row[3]
+        if self.ended or text is None:
+            return
+        asks, states = _QUESTIONS.match(text), _STATEMENT.match(text)
+        if self.kind == "questions" and not asks and not states:
+            self.texts.append(text)  # a list of questions ends at the next heading only
+        elif page is not None and page >= self.last_page and text.startswith(_REFERENCES):
+            self.ended = True
+        elif asks:
+            yield from self._flush()
+            self.section += 1
+            self._open("questions")
+        elif states:
+            yield from self._flush()
+            self._open("statement", text)
+        elif self.kind:
+            if text.startswith(_DISCUSSION):
+                yield from self._flush()
+            elif text.startswith((_REFERENCES, _SUBMIT)):
+                yield from self._flush()
+                self.ended = True
+            else:
+                self.texts.append(text)
+
+    def terminate(self) -> Iterator[tuple]:
+        yield from self._flush()
+
+
+def guideline_sections(blocks: DataFrame, by: str, page: str, order: str, text: str, last_page: int = 15) -> DataFrame:
+    """(by, part, section, kind, title, body): lists of questions and statements of guidelines, with the blocks under each joined by a space.
+
+    A table function reads a document's blocks, which Spark deals by document and sorts: state and memory are those of one open section.
+    Sections are counted by their question lists, from 0 (-1 for a statement before any). A statement ends at the next heading or at a
+    discussion; references, from last_page on or in a statement, and a mark of submission in a statement end the document. Null blocks are passed over.
+    """
+    schema = T.StructType([T.StructField(by, blocks.schema[by].dataType), *[T.StructField(n, k) for n, k in (("part", T.LongType()), ("section", T.LongType()), ("kind", T.StringType()), ("title", T.StringType()), ("body", T.StringType()))]])
+    parser = F.udtf(type("SectionParser", (_SectionParser,), {"last_page": last_page}), returnType=schema)
+    rows = blocks.select(by, F.col(page).cast("long").alias("_page"), order, F.col(text).alias("_text"))
+    return parser(rows.asTable().partitionBy(by).orderBy(order))
+
+
+def guideline_records(parts: DataFrame, by: str, asked: DataFrame) -> DataFrame:
+    """(by, section, ordinal, question, answers) of guideline_sections' rows: questions that some statement answers, with its items, cleaned and once each, in order.
+
+    asked: (section, key, ordinal), which questions, from 1, a statement of that name answers. The name is what stands in the brackets of its heading, in lower case.
+    """
+    cleaned = parts.withColumn("_body", clean_text(F.col("body"))).withColumn("_title", F.lower(clean_text(F.col("title"))))
+    items = split_numbered(F.col("_body"), unescape=False)
+    listed = F.transform(F.filter(items, lambda x: x.endswith("?")), lambda x: F.trim(F.regexp_replace(x, r"^\d+\.\s*", "")))
+    questions = cleaned.where("kind = 'questions'").select(by, "section", F.posexplode(listed).alias("_at", "question")).withColumn("ordinal", F.col("_at") + 1)
+    name = F.regexp_replace(F.regexp_replace("_title", r"^statements?\s*\(", ""), r"\)$", "")
+    said = F.filter(items, lambda x: (x != "") & ~F.startswith(F.lower(x), F.lit("discussion")))
+    answers = cleaned.where("kind = 'statement'").select(by, "section", name.alias("key"), "part", said.alias("_said")).join(asked, ["section", "key"])
+    lists = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "_said"))), lambda x: x["_said"]))
+    answers = answers.groupBy(by, "section", "ordinal").agg(dedupe(lists).alias("answers")).where(F.size("answers") > 0)
+    return questions.join(answers, [by, "section", "ordinal"]).select(by, "section", "ordinal", "question", "answers")
+
+
 def windows(rows: DataFrame, idx: str, text: str, size: int, overlap: int) -> DataFrame:
     """(idx, chunk, piece): windows of characters, each beginning size - overlap after the one before; the last holds the end."""
     step = size - overlap

@@ -59,9 +59,9 @@ def numbered(spark: SparkSession, sf: str) -> DataFrame:
     return texts.select("l_orderkey", F.size(items).cast("long").alias("items"), F.array_min(items).alias("first"))
 
 
-@query("t7_questions", "SELECT p_partkey, 'Which ' || p_name || '?' AS question FROM part UNION ALL SELECT p_partkey, 'Is it ' || p_type || '?' AS question FROM part")
+@query("t7_questions", "SELECT p_partkey, 'Which first-line ' || p_name || ' (a) & b ?' AS question FROM part UNION ALL SELECT p_partkey, 'Is it ' || p_type || '?' AS question FROM part")
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("Topic Which "), "p_name", F.lit("? Is it "), "p_type", F.lit("? How so."))
+    text = F.concat(F.lit("Topic Which first-\n line "), "p_name", F.lit(" ( a )  &amp; b ? Is\r\nit "), "p_type", F.lit("? How so."))
     return table(spark, sf, "part").select("p_partkey", F.explode(X.split_questions(text)).alias("question"))
 
 
@@ -147,6 +147,41 @@ def title_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return segments.chunk_by_title(lines, "doc_id", "pos", F.length("line") < 40, "line", 500)
 
 
+_BLOCKS = """SELECT doc_id, i, i // 2 AS page, CASE (doc_id * 31 + i * 17) % 11 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Questions:' ELSE 'questions' END WHEN 1 THEN 'Statements (imaging ' || i % 3 || ')' WHEN 2 THEN 'Discussion ' || line
+  WHEN 3 THEN CASE WHEN i > 24 THEN 'Ready to submit ' || line ELSE line END WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'References ' || line ELSE line END ELSE i || '. ' || line END AS text
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
+
+
+@query("t10_guideline_sections", f"""WITH b AS ({_BLOCKS}),
+k AS (SELECT *, CASE WHEN text IN ('Questions:', 'questions') THEN 'Q' WHEN starts_with(text, 'Statements (') THEN 'S' WHEN starts_with(text, 'Discussion') THEN 'D' WHEN starts_with(text, 'References') THEN 'R' WHEN starts_with(text, 'Ready to submit') THEN 'E' ELSE 'T' END AS kind FROM b),
+h AS (SELECT *, last_value(CASE WHEN kind IN ('Q', 'S') THEN i END IGNORE NULLS) OVER p AS head, last_value(CASE WHEN kind IN ('Q', 'S') THEN kind END IGNORE NULLS) OVER p AS under,
+  max(CASE WHEN kind = 'D' THEN i END) OVER p AS said, count(*) FILTER (WHERE kind = 'Q') OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section FROM k WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, under = 'S' AND coalesce(said, -1) < head AS open FROM h),
+e AS (SELECT doc_id, min(i) AS stop FROM o WHERE kind IN ('R', 'E') AND open OR kind = 'R' AND page >= 15 AND under IS DISTINCT FROM 'Q' GROUP BY doc_id),
+v AS (SELECT o.* FROM o LEFT JOIN e ON o.doc_id = e.doc_id WHERE stop IS NULL OR i < stop),
+t AS (SELECT doc_id, head, string_agg(text, ' ' ORDER BY i) AS body FROM v WHERE kind NOT IN ('Q', 'S') AND (under = 'Q' OR open AND kind = 'T') GROUP BY doc_id, head)
+SELECT v.doc_id, v.section, CASE v.kind WHEN 'Q' THEN 'questions' ELSE 'statement' END AS kind, CASE v.kind WHEN 'S' THEN v.text END AS title, coalesce(t.body, '') AS body, row_number() OVER (PARTITION BY v.doc_id ORDER BY v.i) AS part
+FROM v LEFT JOIN t ON v.doc_id = t.doc_id AND v.i = t.head WHERE v.kind IN ('Q', 'S')""")
+def guideline(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents as blocks, some of them headings, read by the section parser."""
+    return segments.guideline_sections(_blocks(spark, sf), "doc_id", "page", "i", "text")
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    what, i, line = (F.col("doc_id") * 31 + F.col("i") * 17) % 11, F.col("i"), F.col("line")
+    text = (
+        F.when(what == 0, F.when(F.col("doc_id") % 2 == 0, "Questions:").otherwise("questions"))
+        .when(what == 1, F.concat(F.lit("Statements (imaging "), i % 3, F.lit(")")))
+        .when(what == 2, F.concat(F.lit("Discussion "), line))
+        .when((what == 3) & (i > 24), F.concat(F.lit("Ready to submit "), line))
+        .when((what == 4) & (F.col("doc_id") % 3 == 0), F.concat(F.lit("References "), line))
+        .when((what == 3) | (what == 4), line)
+        .otherwise(F.concat(i, F.lit(". "), line))
+    )
+    return rows.select("doc_id", "i", F.floor(i / 2).cast("int").alias("page"), text.alias("text"))
+
+
 @query("t8_recommendations", """SELECT p_partkey, 'Recommendation ' || p_size || '.1 Use ' || p_name || ' (early) [QoE: High]' || chr(10) || 'Recommendation ' || p_size || '.2 Avoid ' || p_type AS spans FROM part""")
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of a guideline's text, broken lines and spaced brackets repaired, cut after the evidence or at a stop, once each."""
