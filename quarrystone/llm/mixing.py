@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, word_count
+from .common import Scratch, beside, word_count
 
 
 def water_fill(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -98,8 +98,23 @@ def _solve(sizes: DataFrame, targets: DataFrame, scratch: Scratch, tilt: float,
         state = scratch.keep(state, f"state-{k}")
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
-            break
-    return state
+            return state
+    raise RuntimeError(f"the rates did not settle in {most_rounds} rounds")
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (a written table with its writer's partition as ``piece``) with ``copy``: 0, or from 1 on the number of a row among those of equal id and text. No group is gathered: a piece numbers its own and starts after the pieces before."""
+    pieces = rows.groupBy("id", "text_hash", "piece").agg(F.count(F.lit(1)).alias("here"))
+    whole = pieces.groupBy("id", "text_hash").agg(F.sum("here").alias("n")).where("n > 1").select(F.col("id").alias("same_id"), F.col("text_hash").alias("same_hash"))
+    again = scratch.keep(whole, "repeated")
+    equal = F.col("id").eqNullSafe(F.col("same_id")) & (F.col("text_hash") == F.col("same_hash"))
+    of_piece = Window.partitionBy("id", "text_hash", "piece")
+    starts = pieces.join(beside(again), equal, "left_semi").withColumn("before", F.coalesce(F.sum("here").over(Window.partitionBy("id", "text_hash").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.select(F.col("id").alias("same_id"), F.col("text_hash").alias("same_hash"), F.col("piece").alias("same_piece"), "before")
+    repeated = rows.join(beside(again), equal, "left_semi").withColumn("copy", F.row_number().over(of_piece.orderBy("size")))
+    repeated = repeated.join(starts, equal & (F.col("piece") == F.col("same_piece"))).select(*rows.columns, (F.col("copy") + F.col("before")).alias("copy"))
+    once = rows.join(beside(again), equal, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    return once.unionByName(repeated).drop("piece")
 
 
 def _thresholds(rated: DataFrame, state: DataFrame, scratch: Scratch, bins: int, rounds: int) -> DataFrame:
@@ -132,27 +147,30 @@ def _one_more_step(out: DataFrame, scratch: Scratch, cap: int) -> DataFrame:
     near = out.where("frac > 0").join(gaps, F.col("source").eqNullSafe(F.col("of")))
     way = F.when((F.col("gap") > 0) & (F.col("copies") < F.least(F.col("floor") + 1, F.lit(cap))), 1).when((F.col("gap") < 0) & (F.col("copies") > F.col("floor")), -1)
     near = near.withColumn("way", way).where(F.col("way").isNotNull()).withColumn("left", F.abs(F.col("gap") - F.col("way") * F.col("size")))
-    best = near.where(F.col("left") < F.abs("gap")).groupBy("of").agg(F.min(F.struct("left", "u", "way")).alias("best"))
-    best = scratch.keep(best.select("of", F.col("best.u").alias("best_u"), F.col("best.way").alias("way")), "steps")
-    stepped = out.join(best, F.col("source").eqNullSafe(F.col("of")) & (F.col("u") == F.col("best_u")), "left")
+    best = near.where(F.col("left") < F.abs("gap")).groupBy("of").agg(F.min(F.struct("left", "u", "id", "text_hash", "copy", "way")).alias("best"))
+    best = scratch.keep(best.select("of", "best"), "steps")
+    same = F.col("source").eqNullSafe(F.col("of")) & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash")) & (F.col("copy") == F.col("best.copy"))
+    stepped = out.join(best, same, "left").withColumn("way", F.col("best.way"))
     return stepped.withColumn("copies", F.col("copies") + F.when(F.col("frac") > 0, F.coalesce("way", F.lit(0))).otherwise(0))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, tilt: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tolerance: float = 1e-7, bins: int = 1024, rounds: int = 3) -> DataFrame:
-    """(id, source, size, source_size, target, rate, copies, taken, text_hash) for each row of docs; text_hash is xxhash64 of the text."""
+    """(id, source, size, source_size, target, rate, copies, taken, text_hash, repeat) for each row of docs; text_hash is xxhash64 of the text, repeat numbers rows of equal id and text from 1 and is 0 for others."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")), "sizes")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+    rows = scratch.keep(rows.withColumn("piece", F.spark_partition_id()), "sizes")
     sizes = scratch.keep(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     state = _solve(sizes, scratch.keep(water_fill(sources, weights, share, cap), "targets"), scratch, tilt, cap, tolerance)
     x = F.pow(F.col("size") / F.col("mean"), F.lit(tilt))
     rate = F.when(F.col("size") > 0, F.least(F.exp(F.col("lam") * x), F.lit(float(cap)))).otherwise(0.0)
-    odds: Column = (F.pmod(F.xxhash64("id", "text_hash", F.lit("mix")), F.lit(1 << 48)) + 1) / F.lit(float(1 << 48))
-    rated = rows.withColumnRenamed("source", "of").join(state.select("source", "source_size", "target", "mean", "lam"), F.col("of").eqNullSafe(F.col("source"))).select("id", "text_hash", "source", "size", "source_size", "target", rate.alias("rate"), odds.alias("u"))
+    drawn = F.when(F.col("copy") == 0, F.xxhash64("id", "text_hash", F.lit("mix"))).otherwise(F.xxhash64("id", "text_hash", F.lit("mix"), "copy"))
+    odds: Column = (F.pmod(drawn, F.lit(1 << 48)) + 1) / F.lit(float(1 << 48))
+    rated = _numbered(rows, scratch).withColumnRenamed("source", "of").join(state.select("source", "source_size", "target", "mean", "lam"), F.col("of").eqNullSafe(F.col("source"))).select("id", "text_hash", "copy", "source", "size", "source_size", "target", rate.alias("rate"), odds.alias("u"))
     rated = rated.withColumn("floor", F.floor(F.col("rate") + 1e-9)).withColumn("frac", F.greatest(F.col("rate") - F.col("floor"), F.lit(0.0)))
     rated = scratch.keep(rated.withColumn("order_key", F.when(F.col("frac") > 0, F.least(F.col("u") / F.col("frac"), F.lit(63.0)))), "rates")
     theta = scratch.keep(_thresholds(rated, state, scratch, bins, rounds), "thetas").withColumnRenamed("source", "of")
     copies = F.col("floor") + F.when((F.col("frac") > 0) & (F.col("order_key") < F.col("theta")), 1).otherwise(0)
     out = rated.join(theta, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies.cast("int")).drop("of")
     out = _one_more_step(scratch.keep(out, "copies"), scratch, cap)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "text_hash")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "text_hash", F.col("copy").alias("repeat"))

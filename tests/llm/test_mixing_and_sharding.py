@@ -133,3 +133,19 @@ def test_shards_awkward(awkward, empty):
 def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(docs.limit(100), str(tmp_path / "s"), 4)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_sources_of_repeated_rows_meet_their_targets(spark, parts):
+    """Three sources of 10,000 words: one of different texts, one of ten, one of a single row a thousand times."""
+    rows = [(k, f"word{k} " * 10, "a") for k in range(1000)] + [(k % 10, f"w{k % 10} " * 10, "b") for k in range(1000)] + [(7, "x " * 10, "c")] * 1000 + [(None, None, "c")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    out = mix(df).collect()
+    assert len(out) == 3050
+    for source in "abc":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5 and all(r.taken <= 2 * r.size for r in own)
+    again = mix(df.repartition(3)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id, r.source, r.copies)
+    assert sorted(map(key, out), key=str) == sorted(map(key, again), key=str)
+    assert sorted(r.repeat for r in out if r.source == "c" and r.size) == list(range(1, 1001))
