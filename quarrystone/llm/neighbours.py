@@ -21,6 +21,10 @@
 Defined cases: vectors that are null, empty, zero, hold null or non-finite values, or
 differ in length from most take no part; ties go to the smaller id; fewer than k
 candidates give fewer rows; an empty table gives an empty result; null ids take no part.
+Rows equal in id and vector are one row, as a query and as a candidate. Different vectors
+under one id are rows of their own, each a candidate of the other; ``query_row`` tells
+such queries apart. Rows are numbered in the order of their ids, so ties by number are
+ties by id.
 """
 
 from __future__ import annotations
@@ -244,14 +248,17 @@ def _bins(counts: np.ndarray, block_rows: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = 8192, branch: int = 8, cell_rows: int = 256, leaf_rows: int = 64, calibration: int = 256, block_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every query row. is_query is a condition on the id column."""
+    """(query_id, rank, vec_id, score, query_row): the k nearest found of every query row. is_query is a condition on the id column."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("name"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = rows.groupBy("name", "v").agg(F.max("q").alias("q")).withColumn("_h", F.xxhash64("v"))
+    rows = scratch.keep(rows.repartitionByRange("name", "_h").sortWithinPartitions("name", "_h").drop("_h").withColumn("id", F.monotonically_increasing_id()), "rows")
+    names = rows.select("id", "name")
     shapes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).orderBy(F.desc("n"), "d").first()
     if shapes is None or not shapes.q:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == shapes.d)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
+    rows = rows.where(F.size("v") == shapes.d).select("id", "v", "q")
     fitted = fit(rows, shapes.n, sample_rows, branch, cell_rows, leaf_rows)
     tree = spark.sparkContext.broadcast(fitted)
     placed = scratch.keep(_assigned(rows, fitted), "placed")
@@ -322,4 +329,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
     keys = ["bin", "block", "turn"]
     asked, held = asked.select("id", "v", "leaves", *keys[:2], F.col("turn").cast("int").alias("turn")), held.select("id", "v", "leaf", *keys[:2], F.col("turn").cast("int").alias("turn"))
-    return _best(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, _OUT), k).select("query_id", "rank", "vec_id", "score")
+    best = _best(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, _OUT), k)
+    best = best.join(names.withColumnsRenamed({"id": "query_id", "name": "_query"}), "query_id").join(names.withColumnsRenamed({"id": "vec_id", "name": "_found"}), "vec_id")
+    return best.select(F.col("_query").alias("query_id"), "rank", F.col("_found").alias("vec_id"), "score", F.col("query_id").alias("query_row"))

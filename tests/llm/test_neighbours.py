@@ -69,3 +69,19 @@ def test_leaves_grow_with_the_rows(spark):
     x = np.array([v for _, v in rows])
     assert np.bincount(many.assign(x), minlength=many.leaves).sum() == len(x)
     assert sorted(many.visits(x[0])) == list(range(many.leaves))
+
+
+def test_repeated_query_rows_and_two_vectors_under_one_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.standard_normal(3).tolist()) for k in range(60)]
+    rows += [rows[10], rows[10], rows[20], (30, [9.0, 9.0, 9.0]), (30, [9.0, 9.0, 9.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = search(df, F.col("vec_id") % 10 == 0, recall=1.0).collect()
+    distinct = list({(i, tuple(v)) for i, v in rows})
+    want = []
+    for i, v in distinct:
+        if i % 10 == 0:
+            far = sorted((np.sqrt(((np.array(v) - np.array(w)) ** 2).sum()), j) for j, w in distinct if (j, w) != (i, v))
+            want += [(i, n, j, round(d, 9)) for n, (d, j) in enumerate(far[:10], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+    assert len({r.query_row for r in got if r.query_id == 30}) == 3
