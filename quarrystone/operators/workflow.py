@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from quarrystone.functions import projection as P
 from quarrystone.functions import text as X
 
+from quarrystone.scratch import written
+
 from . import records, retrieval
-from .model import Client, model_map
+from .model import Client, model_map, prompt_key
 
 MakeClient = Callable[[], Client]
 #: The ratings of a factor and their steps.
@@ -39,13 +41,23 @@ def setting(config: dict[str, Any], path: str, given: Any = None, default: Any =
 
 
 def retrieval_items(text: Column, method: str = "hybrid") -> Column:
-    """The list of results in a reply of several shapes, as array<variant>: under the method's name, with _results, under a fallback, a bare list, or one record; null otherwise."""
-    method = (method or "hybrid").strip().lower()
-    names = [method, f"{method}_results", *(["results", "retrieval_results"] if method != "hybrid" else ["results", "retrieval_results"])]
+    """The list of results in a reply, as array<variant>; null where there is none.
+
+    An object's first key of method, method_results, hybrid and hybrid_results (where the method is hybrid or blank), results and retrieval_results
+    that is there decides, whatever its value: one that holds no list gives null, a null one counts as not there. Without any, an object with
+    a record, question or answer is the only result. A bare list is the results.
+    """
+    method = "hybrid" if method is None or method == "" else method.strip().lower()
+    own = [method, f"{method}_results"] if method else []
+    common = ["results", "retrieval_results"] if method not in ("", "hybrid") else ["hybrid", "hybrid_results", "results", "retrieval_results"]
     v = F.try_parse_json(text)
-    lists = [F.try_variant_get(v, f"$['{n}']", "array<variant>") for n in dict.fromkeys(names)]
-    one = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("record.question_id", "record.question", "question", "answer")])
-    return F.coalesce(*lists, F.try_variant_get(v, "$", "array<variant>"), F.when(one.isNotNull(), F.array(v)))
+    keys = F.json_object_keys(text)
+    alone = F.when(F.arrays_overlap(keys, F.array(*map(F.lit, ("record", "question", "answer")))), F.array(v))
+    found = F.when(keys.isNull(), F.try_variant_get(v, "$", "array<variant>")).otherwise(alone)
+    for name in reversed(list(dict.fromkeys(own + common))):
+        at = F.try_variant_get(v, f"$['{name}']", "variant")
+        found = F.when(F.array_contains(keys, name), F.when(F.is_variant_null(at), alone).otherwise(F.try_variant_get(at, "$", "array<variant>"))).otherwise(found)
+    return found
 
 
 def candidates(text: Column, method: str = "hybrid", most: int = 5) -> Column:
@@ -91,9 +103,9 @@ def decompose(questions: DataFrame, prompt: str, client: MakeClient, **options:
     return out.withColumn("pico", P.normalize_pico(F.coalesce(X.json_object(F.col("response")), F.lit("{}")))).drop("response")
 
 
-def enrich(kb: DataFrame, prompt: str, client: MakeClient, **options: Any) -> DataFrame:
-    """Records with frame (empty outcomes dropped) and synonyms; failed rows stay, with both empty and their error."""
-    out = model_map(kb, prompt, client, **options)
+def enrich(kb: DataFrame, prompt: str, client: MakeClient, ask: Callable[..., DataFrame] = model_map, **options: Any) -> DataFrame:
+    """Records with frame (empty outcomes dropped) and synonyms; failed rows stay, with both empty and their error. ask=model_batches sends several prompts a call."""
+    out = ask(kb, prompt, client, **options)
     reply = F.coalesce(X.json_object(F.col("response")), F.lit("{}"))
     synonyms = F.transform_values(P.outcome_map(F.try_parse_json(reply), "$.synonyms", False), lambda _, v: F.array_distinct(v))
     return out.withColumn("pico", P.normalize_pico(reply, keep_empty=False)).withColumn("synonyms", synonyms).drop("response")
@@ -134,6 +146,32 @@ def merge_answers(rows: DataFrame, keys: Sequence[str], answers: str, order: str
     return rows.groupBy(*keys).agg(F.aggregate(lists, F.array().cast("array<string>"), lambda acc, x: F.array_union(acc, x)).alias(answers))
 
 
+def retrieve_and_ask(papers: DataFrame, key: str, question: str, client: MakeClient, retrieve: Callable[[DataFrame], DataFrame], writer: MakeClient, rounds: int = 3, failure: str = FAILURE, **options: Any) -> DataFrame:
+    """(key, answers, round): questions answered from what is retrieved for them, in rounds; no answers and no round where all fail.
+
+    papers: (key, question), one row a key. In the first round the question is the query. A reply without the failure phrase is an answer, and a row with one is
+    closed; its answers are merged in the order of its queries, each once. Only open rows go on: writer is asked for new queries, one a
+    line, and each of them retrieves and asks anew, but for prompts that have had a reply in an earlier round. retrieve adds the column ``context`` to (key, n, query, question) and keeps the rows.
+    """
+    todo = written(papers.select(key, F.col(question).alias("question")), "todo")
+    asked, done, known = todo.select(key, F.lit(0).alias("n"), F.col("question").alias("query"), "question"), None, None
+    for number in range(1, rounds + 1):
+        prompts = retrieve(asked).withColumn("_prompt", F.concat(F.coalesce("context", F.lit("")), F.lit("\n"), "question"))
+        replies = written(model_map(prompts, "_prompt", client, cache=known, **options), "replies")
+        heard = replies.where("response IS NOT NULL").select(prompt_key("_prompt").alias("key"), "response")
+        known = heard if known is None else known.unionByName(heard)
+        good = replies.where(~F.contains(F.coalesce("response", F.lit(failure)), F.lit(failure))).select(key, "n", F.array("response").alias("answers"))
+        answers = written(merge_answers(good, [key], "answers", "n").withColumn("round", F.lit(number)), "answers")
+        done = answers if done is None else done.unionByName(answers)
+        todo = written(todo.join(answers, key, "left_anti"), "todo")
+        if number == rounds or todo.isEmpty():
+            break
+        lines = model_map(todo.withColumn("_prompt", F.concat(F.lit(f"{number}|"), "question")), "_prompt", writer, **options)
+        queries = F.filter(F.transform(F.split(F.coalesce("response", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        asked = lines.select(key, F.posexplode(F.array_distinct(queries)).alias("n", "query"), "question")
+    return done.unionByName(todo.select(key, F.array().cast("array<string>").alias("answers"), F.lit(None).cast("int").alias("round")))
+
+
 def grade_steps(rating: Column) -> Column:
     """0, -1 or -2 of a rating by name; null for anything else."""
     out = F.lit(None).cast("int")

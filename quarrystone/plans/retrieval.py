@@ -227,3 +227,20 @@ def best_match(spark: SparkSession, sf: str) -> DataFrame:
 def min_max_norms(spark: SparkSession, sf: str) -> DataFrame:
     found = R.dense_search(_vectors(spark, sf), _vector_queries(spark, sf), 10)
     return R.min_max(found).select("q", "idx", F.round("norm", 6).alias("norm"))
+
+
+@query("r10_by_paper", """WITH s AS (SELECT 'p' || label AS paper, vec_id AS idx, embedding::DOUBLE[] AS v FROM embeddings),
+a AS (SELECT DISTINCT 'p' || ((item_id + j) % 10) AS paper, item_id AS q, x.embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings x ON x.vec_id = item_id, range(3) r(j)),
+c AS (SELECT a.paper, q, idx, round(coalesce(list_dot_product(a.v, s.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(s.v, s.v)), 0), 0), 6) AS score FROM a JOIN s ON a.paper = s.paper)
+SELECT paper, q, idx, score, row_number() OVER (PARTITION BY paper, q ORDER BY score DESC, idx) AS rank FROM c QUALIFY rank <= 5""")
+def by_paper(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as papers: vectors are stored by paper, some first with wrong values, mended by an upsert, and searched inside the papers that a query names."""
+    from quarrystone.sources import vectors as V
+
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("p"), "label").alias("paper"), F.col("vec_id").alias("idx"), F.col("embedding").alias("v"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = V.save_by_paper(rows.where("idx % 4 <> 0").withColumn("v", F.when(F.col("idx") % 3 == 0, F.reverse("v")).otherwise(F.col("v"))), buckets)
+    store = V.upsert_by_paper(first, rows.where("idx % 4 = 0 OR idx % 3 = 0"), buckets)
+    asked = table(spark, sf, "benchmark").join(rows.withColumnRenamed("idx", "item_id"), "item_id").select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"), F.col("item_id").alias("q"), "v")
+    asked = asked.select(F.concat(F.lit("p"), ((F.col("q") + F.col("j")) % 10).cast("string")).alias("paper"), "q", "v")
+    return V.search_by_paper(store, asked)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import ids
 from quarrystone.functions import text as X
-from quarrystone.operators import segments
+from quarrystone.operators import records, segments
+from quarrystone.scratch import shared_folder
+from quarrystone.sources.paged import paged
 
 from .base import Queries, declare, table
 
@@ -274,3 +281,20 @@ def paper_uid(spark: SparkSession, sf: str) -> DataFrame:
 def keys(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_name")
     return table(spark, sf, "nation").select("n_nationkey", ids.comparator_postfix(n).alias("postfix"), ids.outcome_uid(n, F.lit("x"), F.col("n_regionkey").cast("string")).alias("outcome"), ids.pico_idx(n, F.lit("set"), F.lit("auto")).alias("pico"))
+
+
+@query("s6_paged_source", "SELECT doc_id, n_chars, source, c + (r - c) // 350 * 350 AS start FROM (SELECT *, r // 9900 * 9900 AS c FROM (SELECT *, row_number() OVER (ORDER BY doc_id, text, source) - 1 AS r FROM documents))")
+def paged_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages of a service (files in the shared folder, a page each), read through the paged source."""
+    docs = _docs(spark, sf)
+    placed = records.numbered(docs, F.col("doc_id"), F.col("text"), F.col("source")).select("doc_id", "n_chars", "source", (F.col("n") - 1).alias("r"))
+    chunk = F.expr("r div 9900 * 9900")
+    pages = placed.withColumn("start", chunk + F.floor((F.col("r") - chunk) / 350) * 350)
+    root = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    pages.repartition("start").withColumn("page", F.col("start")).drop("r").write.partitionBy("page").parquet(root)
+
+    def fetch(start: int, size: int) -> pa.Table:
+        files, path = pa.fs.FileSystem.from_uri(f"{root}/page={start}")
+        return ds.dataset(path, filesystem=files, format="parquet", partitioning=None).to_table().select(["doc_id", "n_chars", "source", "start"])
+
+    return paged(spark, fetch, docs.count(), pages.select("doc_id", "n_chars", "source", "start").schema)

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions.text import tokenize
 from quarrystone.operators import workflow as W
+from quarrystone.operators.model import model_batches
 
 from .base import Queries, declare, table
 
@@ -60,6 +62,23 @@ def enrich(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("s_suppkey", F.coalesce(F.size(F.try_element_at("synonyms", F.lit("x"))), F.lit(0)).alias("synonyms"), F.array_join(F.flatten(F.map_values("pico.O")), ",").alias("outcome"))
 
 
+class FrameBatches:
+    """Answers lists of prompts as FrameClient does one by one, but fails on a list with a key that ends in 3."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        if any(p.partition("|")[0].endswith("3") for p in prompts):
+            raise ValueError("refused")
+        return [FrameClient()(p) for p in prompts]
+
+
+@query("m2_batches", "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN 'refused' END AS error, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 10 = 3 THEN '' ELSE 'death' END AS outcome FROM supplier")
+def batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight prompts a call; a call that fails is split until only the bad rows have failed."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_suppkey", F.lit("|"), "s_name").alias("prompt"))
+    out = W.enrich(rows, "prompt", FrameBatches, model_batches, size=8)
+    return out.select("s_suppkey", "error", F.array_join(F.flatten(F.map_values("pico.O")), ",").alias("outcome"))
+
+
 @query("m3_route", "SELECT s_suppkey, 'no' AS decision, CASE WHEN s_suppkey % 5 = 0 THEN 'no JSON object' END AS error FROM supplier")
 def route(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_suppkey", F.lit("|"), "s_name").alias("prompt"))
@@ -81,6 +100,40 @@ def short_circuit(spark: SparkSession, sf: str) -> DataFrame:
     return W.extract_first(rows, ["a", "f"], AbstractClient).select("p_partkey", "answer")
 
 
+class ThirdClient:
+    """Answers with the number that the context begins with if three divides it."""
+
+    def __call__(self, prompt: str) -> str:
+        number = prompt.split("\n")[0]
+        return number if number and int(number) % 3 == 0 else W.FAILURE
+
+
+class WordWriter:
+    """Two words to look for after each round."""
+
+    def __call__(self, prompt: str) -> str:
+        return {"1": "und\n die\n", "2": "the\nque\n\nthe"}[prompt.partition("|")[0]]
+
+
+@query("m5_retrieve_and_ask", """WITH w AS (SELECT * FROM (VALUES (1, 0, 'that'), (2, 0, 'und'), (2, 1, 'die'), (3, 0, 'the'), (3, 1, 'que')) t(round, n, word)),
+t AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)?')) AS word FROM documents WHERE source IS NOT NULL),
+c AS (SELECT source, round, n, min(doc_id) AS doc_id FROM t JOIN w ON t.word = w.word GROUP BY source, round, n),
+g AS (SELECT source, round, min(n) AS n, doc_id FROM c WHERE doc_id % 3 = 0 GROUP BY source, round, doc_id),
+a AS (SELECT source, round, string_agg(doc_id::VARCHAR, ',' ORDER BY n) AS answers FROM g GROUP BY source, round QUALIFY row_number() OVER (PARTITION BY source ORDER BY round) = 1)
+SELECT s.source, coalesce(answers, '') AS answers, round FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s LEFT JOIN a ON s.source = a.source""")
+def retrieve_and_ask(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as papers: the first document with a query's word is the context; open ones look for other words in up to three rounds."""
+    docs = table(spark, sf, "documents").where("source IS NOT NULL").select("source", "doc_id", "text")
+    words = docs.select("source", "doc_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("query"))
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        first = words.join(asked.select("query").distinct(), "query", "left_semi").groupBy("source", "query").agg(F.min("doc_id").cast("string").alias("context"))
+        return asked.join(first, ["source", "query"], "left")
+
+    papers = docs.select("source", F.lit("that").alias("question")).distinct()
+    return W.retrieve_and_ask(papers, "source", "question", ThirdClient, retrieve, WordWriter).select("source", F.array_join("answers", ",").alias("answers"), "round")
+
+
 @query("m6_bias", "SELECT s_suppkey, count(*) AS questions, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN -1 WHEN 2 THEN -2 END AS steps FROM supplier, range(6) GROUP BY s_suppkey")
 def bias(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier").select("s_suppkey", "s_name")
