@@ -74,7 +74,7 @@ def upsert_by_paper(store: DataFrame, rows: DataFrame, buckets: int, paper: str
 def search_by_paper(store: DataFrame, queries: DataFrame, k: int = 5, paper: str = "paper", idx: str = "idx", vector: str = "v", q: str = "q") -> DataFrame:
     """(paper, q, idx, score, rank): the k most similar vectors, by cosine, of the query's own paper; ties to the lower idx.
 
-    queries: (paper, q, v). They go to the buckets of the store, which itself is neither shuffled nor sorted, one copy to each part of their paper;
+    queries: (paper, q, v). They go to the buckets of the store, which itself is not shuffled, one copy to each part of their paper;
     the best of a part leave it. A null vector, a zero one and one of another length than the query's has a similarity of 0.
     """
     parts = store.groupBy(paper).agg((F.max("part") + 1).alias("_parts"))
