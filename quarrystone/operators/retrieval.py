@@ -8,13 +8,16 @@ the shuffle, and every tie goes to the lower index.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.window import Window
 
 from quarrystone.functions.text import tokenize
@@ -69,19 +72,66 @@ def _term_tables(docs: DataFrame, queries: DataFrame, idx: str, text: str, q: st
     return split, asked
 
 
-def _scores(split: DataFrame, asked: DataFrame) -> DataFrame:
+def _weights(split: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, term, w, avgdl) of the query terms that documents hold."""
     totals = split.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_dl"))
     df = split.select(F.explode(F.array_distinct("_terms")).alias("term"))
     weights = term_weights(df, totals.select("n"))
-    small = asked.count() <= BROADCAST_ROWS
+    terms = asked.select("term").distinct()
+    held = weights.join(F.broadcast(terms) if _few(asked) else terms, "term", "left_semi")
+    return asked.join(held, "term").crossJoin(totals).select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), (F.col("all_dl") / F.col("n")).alias("avgdl"))  # totals is one row
+
+
+def _few(asked: DataFrame) -> bool:
+    return asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _scores(split: DataFrame, asked: DataFrame) -> DataFrame:
+    small = _few(asked)
 
     def near(side: DataFrame) -> DataFrame:
         return F.broadcast(side) if small else side
 
-    weighed = asked.join(weights.join(near(asked.select("term").distinct()), "term", "left_semi"), "term").crossJoin(totals).select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), (F.col("all_dl") / F.col("n")).alias("avgdl"))
     words = split.select("idx", "dl", F.explode("_terms").alias("term"))
     post = words.join(near(asked.select("term").distinct()), "term", "left_semi").groupBy("idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return weigh(post.join(near(weighed), "term"))
+    return weigh(post.join(near(_weights(split, asked)), "term"))
+
+
+def _best_of_blocks(split: DataFrame, weights: pa.Table, k: int) -> DataFrame:
+    """(q, idx, score): the k best documents for each query in each Arrow batch of documents. A batch's terms are counted where they are; nothing but its best leaves it.
+
+    weights: a bounded table (q, term, w, avgdl), sent to every worker.
+    """
+    terms = weights["term"].combine_chunks().unique()
+    of_term = pc.index_in(weights["term"], terms).to_numpy()
+    order = np.argsort(of_term, kind="stable")
+    names = weights["q"].combine_chunks().unique()
+    asked_by = pc.index_in(weights["q"], names).to_numpy()[order]
+    starts = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+    shared = split.sparkSession.sparkContext.broadcast((terms, names, starts, asked_by, weights["w"].to_numpy()[order], weights["avgdl"][0].as_py()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, names, starts, asked_by, w, avgdl = shared.value
+        for b in batches:
+            n, lists = len(b), b.column("_terms")
+            doc = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy())
+            term = pc.fill_null(pc.index_in(lists.flatten(), terms), -1).to_numpy()
+            held, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
+            doc, term = held // len(terms), held % len(terms)
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * b.column("dl").to_numpy()[doc] / avgdl))
+            many = starts[term + 1] - starts[term]
+            at = np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            pairs, same = np.unique(asked_by[at] * n + np.repeat(doc, many), return_inverse=True)
+            score = np.bincount(same, np.repeat(part, many) * w[at], len(pairs))
+            score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+            q, doc = pairs // n, pairs % n
+            place = np.argsort(pc.sort_indices(b.column("idx")).to_numpy())  # of each document in the order of idx
+            best = np.lexsort((place[doc], -score, q))
+            rank = np.arange(len(best)) - np.searchsorted(q[best], q[best])
+            best = best[rank < k]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q[best])), b.column("idx").take(pa.array(doc[best])), pa.array(score[best])], ["q", "idx", "score"])
+
+    return split.mapInArrow(run, T.StructType([T.StructField("q", from_arrow_type(weights.schema.field("q").type)), T.StructField("idx", split.schema["idx"].dataType), T.StructField("score", T.DoubleType())]))
 
 
 def weigh(met: DataFrame) -> DataFrame:
@@ -91,13 +141,24 @@ def weigh(met: DataFrame) -> DataFrame:
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question", **tokens: Column) -> DataFrame:
-    """(q, idx, score, rank): the k best documents; where fewer match, those of score 0 with the lowest indices follow."""
-    split, asked = _term_tables(docs, queries, idx, text, q, question, **tokens)
+    """(q, idx, score, rank): the k best documents; where fewer match, those of score 0 with the lowest indices follow.
+
+    Terms are known by hashes of 64 bits. Where the query terms are counted to be few, batches of documents are scored where they lie and send their k best of each query, so the only shuffle above the
+    texts is that of these. Else scores are sums over postings, joined and grouped.
+    """
+    def hashed(terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.xxhash64(t))
+
+    own = hashed(tokens.get("tokens", tokenize(F.col(text)))), hashed(tokens.get("question_tokens", tokenize(F.col(question))))
+    split, asked = _term_tables(docs, queries, idx, text, q, question, *own)
     lowest = written(split.orderBy("idx").limit(k), "lowest")
     # Which of the few lowest documents match is read from their own terms, so scoring stands in the plan once.
     matched = lowest.select("idx", F.explode(F.array_distinct("_terms")).alias("term")).join(asked.select("q", "term"), "term").select("q", "idx").distinct()
     fill = queries.select(F.col(q).alias("q")).crossJoin(lowest.select("idx")).join(matched, ["q", "idx"], "left_anti").select("q", "idx", F.lit(0.0).alias("score"))
-    return top_k(_scores(split, asked).unionByName(fill), k)
+    if not _few(asked):
+        return top_k(_scores(split, asked).unionByName(fill), k)
+    weights = _weights(split, asked).toArrow()
+    return top_k((_best_of_blocks(split, weights, k) if len(weights) else _scores(split, asked)).unionByName(fill), k)
 
 
 def _scores_of(kind: str, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
