@@ -104,3 +104,30 @@ def match_uploads(uploads: DataFrame, missing: DataFrame, by: str = "task", uplo
     first = held.unionByName(exact.select(*columns)).groupBy(by, upload).agg(F.min_by("_path", "_ordinal").alias("_found"))
     only = wanted.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_sole")).where("_n = 1")
     return asked.select(by, upload).join(first, [by, upload], "left").join(only, by, "left").select(by, upload, F.coalesce("_found", "_sole").alias(path))
+
+
+def refresh_manifest(missing: DataFrame, existing: DataFrame, files: DataFrame, by: str = "task", ordinal: str = "ordinal", path: str = "path") -> DataFrame:
+    """(by, ordinal, path, status): a manifest of papers after a look at what files there are now.
+
+    Papers that existed stay; missing ones whose file is there join them, the first of each path and none whose path exists already; the others stay missing.
+    """
+    there = files.select(F.col(path).alias("_file")).distinct()
+    found = missing.join(there, F.col(path) == F.col("_file"), "left_semi")
+    first = found.groupBy(by, path).agg(F.min(ordinal).alias(ordinal)).join(existing.select(by, path), [by, path], "left_anti")
+    still = missing.join(there, F.col(path) == F.col("_file"), "left_anti")
+    columns = [by, ordinal, path]
+    now = existing.select(*columns).unionByName(first.select(*columns)).withColumn("status", F.lit("existing"))
+    return now.unionByName(still.select(*columns).withColumn("status", F.lit("missing")))
+
+
+def manifest_counts(manifest: DataFrame, by: str = "task") -> DataFrame:
+    """(by, existing, missing, total) of refresh_manifest's rows."""
+    return manifest.groupBy(by).agg(F.count_if(F.col("status") == "existing").alias("existing"), F.count_if(F.col("status") == "missing").alias("missing"), F.count(F.lit(1)).alias("total"))
+
+
+def split_rejects(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all rules, rejected rows with the names of the rules they break as ``violations``)."""
+    fine = F.lit(True)
+    for ok in rules.values():
+        fine = fine & F.coalesce(ok, F.lit(False))
+    return rows.where(fine), violations(rows, rules)

@@ -156,9 +156,9 @@ def pooled_interval(rows: DataFrame, experiment: str, cell: Sequence[str], value
     return interval(drawn.groupBy(experiment, "replicate").agg(value.alias("value")), "value", level)
 
 
-def label_vectors(counts: DataFrame, true_positive: str = "tp", predicted: str = "p", found: str = "pp", total: str = "n") -> DataFrame:
-    """Rows (truth, guess) with the given totals: tp, positives, predicted positives, all. Impossible totals raise when run."""
+def label_vectors(counts: DataFrame, true_positive: str = "tp", predicted: str = "p", found: str = "pp", total: str = "n", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (keep, truth, guess) with the given totals: tp, positives, predicted positives, all. Impossible totals raise when run."""
     tp, p, pp, n = (F.col(c) for c in (true_positive, predicted, found, total))
     fine = F.assert_true((n - p - pp + tp >= 0) & (tp <= p) & (tp <= pp), F.lit("the totals leave a negative cell"))
     cells = F.array(*[F.struct(F.lit(t).alias("truth"), F.lit(g).alias("guess"), c.cast("int").alias("c")) for t, g, c in ((1, 1, tp), (1, 0, p - tp), (0, 1, pp - tp), (0, 0, n - p - pp + tp))])
-    return counts.where(fine.isNull()).select(F.inline(cells)).where("c > 0").select("truth", "guess", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("i")).drop("i")
+    return counts.where(fine.isNull()).select(*keep, F.inline(cells)).where("c > 0").select(*keep, "truth", "guess", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("i")).drop("i")

@@ -24,8 +24,8 @@ def group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a4_a9_unions", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT v)), ',') AS v FROM (SELECT o_custkey, unnest([o_orderstatus, o_orderpriority]) AS v FROM orders) GROUP BY o_custkey")
 def unions(spark: SparkSession, sf: str) -> DataFrame:
-    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.array("o_orderstatus", "o_orderpriority")).alias("ls"))
-    return lists.select("o_custkey", F.array_join(F.sort_array(F.array_distinct(F.flatten("ls"))), ",").alias("v"))
+    values = table(spark, sf, "orders").select("o_custkey", F.explode(F.array("o_orderstatus", "o_orderpriority")).alias("v"))
+    return values.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("v")), ",").alias("v"))
 
 
 @query("a10_ordered_union", "SELECT conv_id, array_to_string(list_transform(list_sort(list(struct_pack(t := t, role := role))), lambda x: x.role), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
@@ -43,8 +43,7 @@ def last_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a17_a18_profile", "SELECT o_custkey, count(*) AS study_number, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
 def profile(spark: SparkSession, sf: str) -> DataFrame:
-    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("l"))
-    return lists.select("o_custkey", F.size("l").cast("long").alias("study_number"), F.round(F.aggregate("l", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("o_totalprice").alias("study_number"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("f13_assessed", "SELECT s_nationkey, sum(CASE WHEN s_suppkey % 3 = 0 THEN 102 ELSE 2 END)::BIGINT AS score FROM supplier GROUP BY s_nationkey HAVING score >= 100")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions import nested as N
 from quarrystone.functions import projection as P
 from quarrystone.functions import text as X
 
@@ -122,6 +123,24 @@ def arithmetic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (a + b).alias("added"), (a - b).alias("subtracted"), (a * b).alias("multiplied"))
 
 
+@query("p19_nested", """SELECT vec_id, '{"id":' || vec_id || ',"kept":[1,2],"in":{"deep":[["x"]],"none":null}}' AS v FROM embeddings""")
+def drop_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that hold their embedding at three depths."""
+    v = F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("long"), F.array(F.lit(1), F.lit(2)).alias("kept"), F.struct(F.array(F.array(F.lit("x")), F.col("embedding").cast("array<string>")).alias("deep"), F.lit(None).cast("int").alias("none"), F.col("embedding").alias("more")).alias("in"))
+    return table(spark, sf, "embeddings").select("vec_id", N.drop_long_lists_nested(F.to_json(v, {"ignoreNullFields": "false"}), 64).alias("v"))
+
+
+_CUT = "CASE WHEN length(text) > 40 THEN rtrim(substr(text, 1, 40), ' ' || chr(10)) || '...[truncated]' ELSE text END"
+
+
+@query("p6_p10_nested", f"SELECT item_id, item_id || ' ' || trim({_CUT}, ' ' || chr(10)) || ' x' AS v FROM benchmark UNION ALL SELECT doc_id, doc_id || ' ' || trim({_CUT}, ' ' || chr(10)) || ' x' FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
+def nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts inside lists inside objects are cut, and then all of a record becomes one text."""
+    rows = table(spark, sf, "benchmark").select("item_id", "text").unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text").where(F.trim(F.translate("text", "\n", " ")) != ""))
+    v = F.to_json(F.struct(F.col("item_id"), F.struct(F.array(F.lit(""), F.col("text")).alias("b"), F.lit("x").alias("c")).alias("a")))
+    return rows.select("item_id", N.nested_text(N.truncate_nested(v, 40)).alias("v"))
+
+
 @query("p19_drop_long_lists", "SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN 7 - vec_id % 3 END AS kept FROM embeddings")
 def drop_long(spark: SparkSession, sf: str) -> DataFrame:
     """Lists of 7, 6 and 5 values, at the bound and below it."""

@@ -28,9 +28,11 @@ def searchable(spark: SparkSession, sf: str) -> DataFrame:
     return R.searchable(_records(spark, sf), "paper", "abstract", "types", ["Review"], "pos").select("paper", "pos")
 
 
-@query("f2_dropna", "SELECT count(*) AS n FROM lineitem WHERE l_linenumber % 4 <> 0")
+@query("f2_dropna", "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL")
 def dropna(spark: SparkSession, sf: str) -> DataFrame:
-    return _records(spark, sf).dropna(subset=["paper", "abstract"]).agg(F.count(F.lit(1)).alias("n"))
+    """Documents with a label and a language."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rows.dropna(subset=["quality", "lang"]).select("doc_id", "quality")
 
 
 _RUNS = "SELECT doc_id, run, CASE WHEN (doc_id * 7 + run * 3) % 5 < 2 THEN 'Included' ELSE 'Excluded' END AS verdict FROM documents, range(3) t(run)"
@@ -78,10 +80,15 @@ def skip(spark: SparkSession, sf: str) -> DataFrame:
     return judge.select("doc_id", F.lit("to judge").alias("verdict")).unionByName(rest.select("doc_id", F.lit("Excluded").alias("verdict")))
 
 
-@query("f9_rejects", "SELECT count(*) FILTER (WHERE length(trim(text)) > 50) AS good, count(*) FILTER (WHERE length(trim(text)) <= 50) AS rejected FROM documents")
+_RULES = "list_filter([CASE WHEN length(trim(text)) <= 50 THEN 'length' END, CASE WHEN source NOT LIKE 'src%' OR source IS NULL THEN 'source' END, CASE WHEN n_chars <> length(text) THEN 'count' END], lambda x: x IS NOT NULL)"
+
+
+@query("f9_rejects", f"SELECT doc_id, array_to_string({_RULES}, ',') AS broken FROM documents")
 def rejects(spark: SparkSession, sf: str) -> DataFrame:
-    good = F.length(F.trim("text")) > 50
-    return table(spark, sf, "documents").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("rejected"))
+    """Good documents, and the rejected ones with the rules that they break."""
+    rules = {"length": F.length(F.trim("text")) > 50, "source": F.col("source").startswith("src"), "count": F.col("n_chars") == F.length("text")}
+    good, bad = R.split_rejects(table(spark, sf, "documents"), rules)
+    return good.select("doc_id", F.lit("").alias("broken")).unionByName(bad.select("doc_id", F.array_join("violations", ",").alias("broken")))
 
 
 @query("f12_violations", "SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 200 THEN 'long enough' END, CASE WHEN lang <> 'en' THEN 'english' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents WHERE length(text) < 200 OR lang <> 'en'")
@@ -177,6 +184,21 @@ def refresh(spark: SparkSession, sf: str) -> DataFrame:
     return both.dropDuplicates(["source", "lang"]).groupBy("source").agg(F.count(F.lit(1)).alias("existing"))
 
 
+_WANTED = "SELECT c_nationkey AS task, c_custkey AS ordinal, 'pdf/' || (c_custkey % 60) AS path FROM customer"
+_HELD = "SELECT s_nationkey AS task, s_suppkey AS ordinal, 'pdf/' || s_suppkey AS path FROM supplier WHERE s_suppkey % 2 = 0"
+
+
+@query("j11_manifest", f"""WITH m AS ({_WANTED}), e AS ({_HELD}), f AS (SELECT DISTINCT 'pdf/' || o_custkey AS path FROM orders WHERE o_custkey % 4 <> 1)
+SELECT *, 'existing' AS status FROM e UNION ALL SELECT task, min(ordinal), path, 'existing' FROM m WHERE path IN (SELECT path FROM f) AND NOT EXISTS (SELECT 1 FROM e WHERE e.task = m.task AND e.path = m.path) GROUP BY task, path
+UNION ALL SELECT *, 'missing' FROM m WHERE path NOT IN (SELECT path FROM f)""")
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as missing papers, suppliers as existing ones of a nation's manifest, refreshed by the files that orders name."""
+    missing = table(spark, sf, "customer").select(F.col("c_nationkey").alias("task"), F.col("c_custkey").alias("ordinal"), F.concat(F.lit("pdf/"), F.col("c_custkey") % 60).alias("path"))
+    held = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("task"), F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("pdf/"), "s_suppkey").alias("path"))
+    files = table(spark, sf, "orders").where("o_custkey % 4 <> 1").select(F.concat(F.lit("pdf/"), "o_custkey").alias("path"))
+    return R.refresh_manifest(missing, held, files)
+
+
 @query("j12_unassessed", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def unassessed(spark: SparkSession, sf: str) -> DataFrame:
     done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))

@@ -80,10 +80,12 @@ def bootstrap_kappa(spark: SparkSession, sf: str) -> DataFrame:
     return S.interval(S.kappa(drawn, "quality", "toxic", by=["replicate"], copies="copies"), "kappa")
 
 
-@query("u8_label_vectors", "SELECT truth, guess, n FROM (VALUES (1, 1, 5), (1, 0, 3), (0, 1, 2), (0, 0, 10)) t(truth, guess, n)")
+@query("u8_label_vectors", "SELECT source, quality AS truth, toxic AS guess, count(*) AS n FROM labels JOIN documents ON labels.doc_id = documents.doc_id GROUP BY source, quality, toxic")
 def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    totals = spark.createDataFrame([(5, 8, 7, 20)], "tp int, p int, pp int, n int")
-    return S.label_vectors(totals).groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))
+    """Each source's totals as rows of 0/1 labels again, which have the counts that the totals were taken from."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    totals = rows.groupBy("source").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("tp"), F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("toxic") == 1).alias("pp"), F.count(F.lit(1)).alias("n"))
+    return S.label_vectors(totals, keep=["source"]).groupBy("source", "truth", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("u7_bootstrap_sums", "SELECT source, replicate, n FROM (SELECT source, count(*) AS n FROM labels JOIN documents ON labels.doc_id = documents.doc_id WHERE source IS NOT NULL GROUP BY source), range(1, 51) r(replicate)")
