@@ -187,6 +187,51 @@ def bias_prompts(papers: DataFrame, questions: dict[str, str], title: str) -> Da
     return rows.select(*papers.columns, "_q.domain", F.concat(F.col(title), F.lit("\n"), F.col("_q.question")).alias("prompt"))
 
 
+def _gathered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], line: Column) -> DataFrame:
+    """(keys, _lines, failed): a group's lines in order; rows without a reply have none and count as failed. A group's texts are held at once, as one prompt has to hold them."""
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("response").isNotNull(), F.struct(*order, line.alias("_line"))))), lambda x: x["_line"])
+    return rows.groupBy(*keys).agg(F.array_join(lines, "\n").alias("_lines"), F.count_if(F.col("response").isNull()).alias("failed"))
+
+
+def bias_rating(papers: DataFrame, key: str, paper: str, title: str, questions: dict[str, str], client: MakeClient, judge: MakeClient, lead: str = "Rate the risk of bias.", ratings: Sequence[str] = ("Not serious", "Serious", "Very serious"), **options: Any) -> DataFrame:
+    """(key, rating, steps, failed): the risk of bias of each key's papers together.
+
+    Every paper is asked all questions of a form. The answers, by paper and question, go into one prompt a key, whose reply names a rating in an
+    option tag; any other reply is no rating. steps is what the rating takes away, failed counts questions without an answer.
+    """
+    asked = bias_prompts(papers, questions, title)
+    replies = model_map(asked, "prompt", client, **options).withColumn("_place", F.array_position(F.array(*map(F.lit, questions)), F.col("domain")))
+    said = _gathered(replies, [key], [paper, "_place"], F.concat(F.col(paper).cast("string"), F.lit(" "), "domain", F.lit(": "), "response"))
+    out = model_map(said.withColumn("_prompt", F.concat(F.lit(lead + "\n"), "_lines")), "_prompt", judge, **options)
+    rating = X.option(F.col("response"), ratings)
+    return out.select(key, rating.alias("rating"), grade_steps(rating).alias("steps"), "failed")
+
+
+PARTICIPANTS = "How many participants are in the group of {group} that was assessed for {outcome}?"
+
+
+def participants(pairs: DataFrame, key: str, paper: str, title: str, group: str, outcome: str, retrieve: Callable[[DataFrame], DataFrame], client: MakeClient, summary: MakeClient, rules: str = "", question: str = PARTICIPANTS, **options: Any) -> DataFrame:
+    """(key, studies, participants, by_paper, failed, error): the participants of a group over all papers of an outcome.
+
+    pairs: a row for each key and paper, with the paper's title and the names of group and outcome. retrieve adds ``context``, what the paper says to ``question``.
+    Each pair is asked alone; the answers of a key, by paper, with the number of studies and further rules, go into one prompt, whose JSON reply holds
+    the sum (participants) and a map of papers to numbers (by_paper). Numbers may be texts. A reply that is no such JSON leaves both null, with an error.
+    """
+    before, between, after = question.replace("{outcome}", "{group}").split("{group}")
+    text = F.concat(F.lit(before), F.col(group), F.lit(between), F.col(outcome), F.lit(after))
+    asked = retrieve(pairs.withColumn("question", text)).withColumn("_prompt", F.concat(F.coalesce("context", F.lit("")), F.lit("\nBased on the given content, "), "question"))
+    replies = model_map(asked, "_prompt", client, **options).drop("error")
+    studies = replies.groupBy(key).agg(F.count_distinct(paper).alias("studies"))
+    said = _gathered(replies, [key], [paper], F.concat(F.col(paper).cast("string"), F.lit(" ("), F.col(title), F.lit("): "), "response")).join(studies, key)
+    prompts = said.withColumn("_prompt", F.concat_ws("\n", F.concat(F.lit("Studies: "), "studies"), F.lit(rules or None), "_lines"))
+    out = model_map(prompts, "_prompt", summary, **options)
+    v = F.try_parse_json(X.json_object(F.col("response")))
+    numbers = F.transform_values(F.try_variant_get(v, "$.by_paper", "map<string,string>"), lambda _, n: F.trim(n).try_cast("bigint"))
+    total = F.trim(F.try_variant_get(v, "$.participants", "string")).try_cast("bigint")
+    error = F.when(total.isNull(), F.coalesce("error", F.lit("no number of participants")))
+    return out.select(key, "studies", total.alias("participants"), numbers.alias("by_paper"), "failed", error.alias("error"))
+
+
 def cell_questions(rows: DataFrame, kind: str = "kind") -> DataFrame:
     """A row for each table cell to extract: six for dichotomous and time-to-event data, four for continuous data, none for others. Columns intervention, comparator and outcome name the groups."""
     i, c, o = F.col("intervention"), F.col("comparator"), F.col("outcome")

@@ -142,6 +142,58 @@ def bias(spark: SparkSession, sf: str) -> DataFrame:
     return asked.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("questions")).withColumn("steps", W.grade_steps(rating))
 
 
+class YesClient:
+    """Yes to questions with an even length of the prompt; refuses papers whose title ends in 7."""
+
+    def __call__(self, prompt: str) -> str:
+        if prompt.split("\n")[0].endswith("7"):
+            raise ValueError("refused")
+        return "yes" if len(prompt) % 2 == 0 else "no"
+
+
+class YesJudge:
+    """A rating by the number of answers that are yes."""
+
+    def __call__(self, prompt: str) -> str:
+        return f"<option>{('Not serious', 'Serious', 'Very serious', 'Unclear')[prompt.count(': yes') % 4]}</option>"
+
+
+@query("m6_rating", """WITH a AS (SELECT s_nationkey, s_name LIKE '%7' AS refused, (length(s_name) + 12) % 2 = 0 AS yes FROM supplier, range(6)),
+g AS (SELECT s_nationkey, count(*) FILTER (WHERE refused) AS failed, (count(*) FILTER (WHERE yes AND NOT refused)) % 4 AS y FROM a GROUP BY s_nationkey)
+SELECT s_nationkey, CASE y WHEN 0 THEN 'Not serious' WHEN 1 THEN 'Serious' WHEN 2 THEN 'Very serious' END AS rating, CASE y WHEN 0 THEN 0 WHEN 1 THEN -1 WHEN 2 THEN -2 END AS steps, failed FROM g""")
+def rating(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as papers of a nation, six questions each, one rating a nation."""
+    rows = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    return W.bias_rating(rows, "s_nationkey", "s_suppkey", "s_name", {f"d{k}": f"question {k}?" for k in range(6)}, YesClient, YesJudge)
+
+
+class CountClient:
+    """The number that the context begins with; fails without one."""
+
+    def __call__(self, prompt: str) -> str:
+        return str(int(prompt.split("\n")[0]))
+
+
+class SumClient:
+    """Sums the numbers of the lines, each after its paper; prose instead of JSON where a rule or the sum forbids it."""
+
+    def __call__(self, prompt: str) -> str:
+        numbers = {line.split(" (")[0]: line.rsplit(": ", 1)[1] for line in prompt.split("\n") if "): " in line}
+        total = sum(map(int, numbers.values()))
+        return "There are many." if total % 9 == 0 else "```json\n" + json.dumps({"participants": str(total), "by_paper": numbers}) + "\n```"
+
+
+@query("m9_participants", """WITH p AS (SELECT c_nationkey, c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+g AS (SELECT c_nationkey, count(*) AS studies, count(*) FILTER (WHERE n = 0) AS failed, coalesce(sum(n), 0)::BIGINT AS total, count(*) FILTER (WHERE n > 0) AS papers FROM p GROUP BY c_nationkey)
+SELECT c_nationkey, studies, CASE WHEN total % 9 <> 0 THEN total END AS participants, CASE WHEN total % 9 <> 0 THEN papers ELSE -1 END AS papers, failed, CASE WHEN total % 9 = 0 THEN 'no number of participants' END AS error FROM g""")
+def participants(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as papers of a nation's outcome, their orders as what they say; the numbers are extracted paper by paper and summed."""
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("string").alias("context"))
+    pairs = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", F.lit("drug").alias("group"), F.lit("pain").alias("outcome"))
+    out = W.participants(pairs, "c_nationkey", "c_custkey", "c_name", "group", "outcome", lambda df: df.join(orders, "c_custkey", "left"), CountClient, SumClient, "Count every patient once.", retries=1)
+    return out.select("c_nationkey", "studies", "participants", F.coalesce(F.size("by_paper"), F.lit(-1)).cast("long").alias("papers"), "failed", "error")
+
+
 @query("m7_m8_cells", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 6 END AS cells FROM nation WHERE n_regionkey < 3")
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("n_regionkey") == 0, "Dichotomous Data").when(F.col("n_regionkey") == 1, "Continuous Data").when(F.col("n_regionkey") == 2, "Time-to-event Data").otherwise("Count Data")
