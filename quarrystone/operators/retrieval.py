@@ -9,6 +9,7 @@ the shuffle, and every tie goes to the lower index.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -303,8 +304,8 @@ def pair_similarity(ta: Column, tb: Column) -> Column:
     return F.when((F.size(ta) > 0) | (F.size(tb) > 0), F.when(norms > 0, shared / norms).otherwise(0.0))
 
 
-def prefix_terms(terms: Column, least: float) -> Column:
-    """The first of a text's distinct terms, longest first, of which two texts more similar than least share one.
+def prefix_terms(terms: Column, ordered: Column, least: float) -> Column:
+    """The first of a text's distinct terms, in the order given, of which two texts more similar than least share one, if both sides use one order.
 
     If a pair's similarity is above least, the squared counts of the terms that it does not share are below a
     share r / (1 + r) of all, r = (1 - least ** 2) / (least ** 2 * w), w the square of an unshared term's weight. So
@@ -312,7 +313,6 @@ def prefix_terms(terms: Column, least: float) -> Column:
     """
     apart = (1 + log(1.5)) ** 2
     r = (1 - least**2) / (least**2 * apart)
-    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(terms), lambda t: F.struct((0 - F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
     squares = F.transform(ordered, lambda t: F.pow(F.size(F.filter(terms, lambda y: y == t)), F.lit(2)))
     whole = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
 
@@ -322,15 +322,31 @@ def prefix_terms(terms: Column, least: float) -> Column:
     return F.filter(ordered, lambda t, i: before(i) < whole * (r / (1 + r)) + 1e-9)
 
 
+def _prefixes(texts: Sequence[DataFrame], least: float) -> list[DataFrame]:
+    """For tables of distinct texts, (_text, _terms, _prefix): terms that are rare in all texts come first, so few texts meet at one."""
+    split = [written(t.select("_text", text_terms(F.col("_text")).alias("_terms")).where(F.size("_terms") > 0), "terms") for t in texts]
+    each = [t.select("_text", F.explode(F.array_distinct("_terms")).alias("_term")) for t in split]
+    held = written(reduce(DataFrame.unionByName, each).groupBy("_term").agg(F.count(F.lit(1)).alias("_n")), "held")
+    out = []
+    for t, e in zip(split, each, strict=True):
+        order = e.join(held, "_term").groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("_n", "_term"))).alias("_order"))
+        ordered = t.join(order, "_text").withColumn("_order", F.transform("_order", lambda x: x["_term"]))
+        out.append(written(ordered.select("_text", "_terms", prefix_terms(F.col("_terms"), F.col("_order"), least).alias("_prefix")), "prefixes"))
+    return out
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float = 0.9) -> DataFrame:
     """Pairs of similarity strictly above least (0 < least < 1), exactly: candidates come from an equi-join on prefix_terms, at 0.9 one or two of a short text.
 
-    A pair is kept at the first term that both prefixes hold, so no distinct over whole rows is needed.
+    Distinct texts are compared, once each, and at the first term that both prefixes hold; copies meet their text's pairs last.
     """
-    a = left.withColumn("_ta", text_terms(F.col(left_text))).withColumn("_pa", prefix_terms(F.col("_ta"), least)).withColumn("_term", F.explode("_pa"))
-    b = right.withColumn("_tb", text_terms(F.col(right_text))).withColumn("_pb", prefix_terms(F.col("_tb"), least)).withColumn("_term", F.explode("_pb"))
+    a, b = _prefixes([left.select(F.col(left_text).alias("_text")).distinct(), right.select(F.col(right_text).alias("_text")).distinct()], least)
+    a = a.select(F.col("_text").alias("_text_a"), F.col("_terms").alias("_ta"), F.col("_prefix").alias("_pa"), F.explode("_prefix").alias("_term"))
+    b = b.select(F.col("_text").alias("_text_b"), F.col("_terms").alias("_tb"), F.col("_prefix").alias("_pb"), F.explode("_prefix").alias("_term"))
     candidates = a.join(b, "_term").where(F.col("_term") == F.get(F.array_intersect("_pa", "_pb"), F.lit(0)))
-    return candidates.withColumn("similarity", F.round(pair_similarity(F.col("_ta"), F.col("_tb")), 6)).where(F.col("similarity") > least).drop("_ta", "_tb", "_pa", "_pb", "_term")
+    pairs = candidates.select("_text_a", "_text_b", F.round(pair_similarity(F.col("_ta"), F.col("_tb")), 6).alias("similarity")).where(F.col("similarity") > least)
+    met = left.join(pairs, F.col(left_text) == F.col("_text_a")).join(right, F.col("_text_b") == F.col(right_text))
+    return met.select(*[left[c] for c in left.columns], *[right[c] for c in right.columns], "similarity")
 
 
 def best_match(left: DataFrame, right: DataFrame, left_text: str, right_text: str, order: str, least: float = 0.9) -> DataFrame:
