@@ -240,7 +240,7 @@ def holding(docs: DataFrame, passages: DataFrame, idx: str = "idx", text: str =
     """(q, idx) of every document whose text holds the passage, character by character.
 
     The words of a passage but for its first and last are words of such a text, in the same order: the two join on the
-    first three of them, and what they join is compared whole. Passages of fewer than five words are joined by windows of characters; an empty one is in no text.
+    first three of them, and what they join is compared whole. Passages of fewer than five words are joined by windows of characters; an empty one is in every text.
     """
     split = r"[\x20\x09-\x0D]+"
     texts = docs.select(F.col(idx).alias("idx"), F.col(text).alias("text"))
@@ -253,7 +253,9 @@ def holding(docs: DataFrame, passages: DataFrame, idx: str = "idx", text: str =
     few = asked.where(F.size("words") < 5).select("q", "passage")
     if few.isEmpty():
         return found.distinct()
-    return found.union(substring_join(texts, few, "text", "passage").select("q", "idx")).distinct()
+    anywhere = few.where("passage = ''").agg(F.collect_list("q").alias("qs"))  # one row
+    everywhere = texts.where("text IS NOT NULL").crossJoin(anywhere).select(F.explode("qs").alias("q"), "idx")
+    return found.union(substring_join(texts, few, "text", "passage").select("q", "idx")).union(everywhere).distinct()
 
 
 def min_max(scores: DataFrame, constant: str = "one", by: str = "q") -> DataFrame:
