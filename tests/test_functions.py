@@ -246,7 +246,7 @@ def test_pooled_interval_is_that_of_all_replicates(spark):
 
     rows = spark.createDataFrame([(e, k, int((k + e) % 3 > 0)) for e in range(3) for k in range(20 + 10 * e)], "e int, k int, x int")
     value = F.sum(F.col("x") * F.col("copies")) / F.sum("copies")
-    low, high = statistics.pooled_interval(rows, "e", ["k"], value, 50).first()
-    drawn = statistics.replicated(rows, ["e", "k"], 50).toPandas()
+    low, high = statistics.pooled_interval(rows, "e", ["k", "x"], value, 50).first()
+    drawn = statistics.resampled(rows, ["k", "x"], ["e"], 50).toPandas()
     means = [np.average(g.x, weights=g.copies) for _, g in drawn.groupby(["e", "replicate"])]
     assert len(means) == 150 and [low, high] == pytest.approx(np.percentile(means, [2.5, 97.5]), abs=1e-6)

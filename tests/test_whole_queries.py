@@ -45,7 +45,7 @@ def test_screening_prompts_hold_texts(spark, sf, monkeypatch):
 def test_kappa_has_2000_replicates(spark, sf, monkeypatch):
     from quarrystone.plans import statistics
 
-    counts, drawn = [], statistics.S.replicated
-    monkeypatch.setattr(statistics.S, "replicated", lambda rows, keys, n: counts.append(n) or drawn(rows, keys, n))
+    counts, drawn = [], statistics.S.resampled
+    monkeypatch.setattr(statistics.S, "resampled", lambda rows, cell, replicates: counts.append(replicates) or drawn(rows, cell, replicates=replicates))
     statistics.bootstrap_kappa(spark, sf)
     assert counts == [2000]
