@@ -51,7 +51,7 @@ def test_oracles(spark, sf, name):
 
 
 def test_every_query_is_registered():
-    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
 
 
 def file_ids(texts):
