@@ -131,3 +131,31 @@ def split_rejects(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame,
     for ok in rules.values():
         fine = fine & F.coalesce(ok, F.lit(False))
     return rows.where(fine), violations(rows, rules)
+
+
+def screening_summary(rows: DataFrame, by: str, order: str, verdict: str, sample: dict[str, Column], most: int = 3, included: str = "Included", excluded: str = "Excluded") -> DataFrame:
+    """(by, total_screened, total_included, total_excluded, sample_included): the counts of each group, and its first included rows as structs of the given columns."""
+    told = rows.withColumn("_verdict", F.trim(F.coalesce(verdict, F.lit(""))))
+    counts = told.groupBy(by).agg(F.count(F.lit(1)).alias("total_screened"), F.count_if(F.col("_verdict") == included).alias("total_included"), F.count_if(F.col("_verdict") == excluded).alias("total_excluded"))
+    first = told.where(F.col("_verdict") == included).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= most)
+    one = F.struct(F.col("_n"), F.struct(*[c.alias(k) for k, c in sample.items()]).alias("row"))
+    shown = first.groupBy(F.col(by).alias("_by")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["row"]).alias("sample_included"))
+    out = counts.join(shown, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return out.withColumn("sample_included", F.coalesce("sample_included", F.filter(F.array(F.lit(None).cast(out.schema["sample_included"].dataType.elementType)), lambda x: F.lit(False))))
+
+
+def input_postfixes(comparisons: DataFrame, files: DataFrame, done: DataFrame, candidates: Sequence[str], by: str = "task", comparator: str = "comparator", postfix: str = "postfix") -> DataFrame:
+    """(by, comparator, postfix): for every comparison that is not done, the first of its candidate postfixes, by the order of the columns given, of which there are files; null if of none.
+
+    A task with a single comparison also takes, after its own candidates, the plain name (an empty postfix) and then any postfix that has files, the first in order. Null candidates are passed over.
+    """
+    open_ = comparisons.join(done.select(by, comparator), [by, comparator], "left_anti")
+    alone = comparisons.groupBy(by).agg((F.count(F.lit(1)) == 1).alias("_alone"))
+    there = files.select(by, F.coalesce(postfix, F.lit("")).alias("_there")).distinct()
+    own = open_.select(by, comparator, F.posexplode(F.array(*candidates)).alias("_place", "_there")).where("_there IS NOT NULL")
+    single = open_.join(alone.where("_alone"), by).select(by, comparator)
+    plain = single.select(by, comparator, F.lit(len(candidates)).alias("_place"), F.lit("").alias("_there"))
+    found = own.unionByName(plain).join(there, [by, "_there"]).select(by, comparator, "_place", "_there")
+    found = found.unionByName(single.join(there, by).select(by, comparator, F.lit(len(candidates) + 1).alias("_place"), "_there"))
+    first = found.groupBy(by, comparator).agg(F.min(F.struct("_place", "_there"))["_there"].alias(postfix))
+    return open_.select(by, comparator).join(first, [by, comparator], "left")

@@ -58,6 +58,20 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
     return _runs(spark, sf).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.round(F.avg("run"), 6).alias("mean_run"))
 
 
+@query("a6_summaries", f"""WITH r AS (SELECT source, doc_id * 3 + run AS place, doc_id, verdict, coalesce(lang, '') || '-' || run AS published, substr(text, 1, 200) AS reason FROM ({_RUNS}) v JOIN documents d USING (doc_id)),
+i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) AS n FROM r WHERE verdict = 'Included')
+SELECT source, count(*) AS total_screened, count(*) FILTER (WHERE verdict = 'Included') AS total_included, count(*) FILTER (WHERE verdict = 'Excluded') AS total_excluded,
+  (SELECT coalesce(string_agg(doc_id || ' ' || split_part(published, '-', 1) || ' ' || length(reason), ';' ORDER BY n), '') FROM i WHERE i.source IS NOT DISTINCT FROM r.source AND n <= 3) AS sample FROM r GROUP BY source""")
+def summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source's screening in counts, with its first three included rows."""
+    rows = _runs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    rows = rows.withColumn("place", F.col("doc_id") * 3 + F.col("run")).withColumn("published", F.concat(F.coalesce("lang", F.lit("")), F.lit("-"), "run"))
+    sample = {"pmid": F.col("doc_id").cast("string"), "year": F.split("published", "-")[0], "reason": F.substring("text", 1, 200)}
+    out = R.screening_summary(rows, "source", "place", "verdict", sample)
+    lines = F.transform("sample_included", lambda x: F.concat_ws(" ", x["pmid"], x["year"], F.length(x["reason"]).cast("string")))
+    return out.select("source", "total_screened", "total_included", "total_excluded", F.array_join(lines, ";").alias("sample"))
+
+
 @query("a7_routing_counts", "SELECT count(*) FILTER (WHERE toxic = 1) AS yes, count(*) FILTER (WHERE toxic = 0) AS no FROM labels")
 def routing(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").agg(F.count_if(F.col("toxic") == 1).alias("yes"), F.count_if(F.col("toxic") == 0).alias("no"))
@@ -205,6 +219,23 @@ def unassessed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
 
 
+@query("j12_input_postfix", """WITH c AS (SELECT c_nationkey AS task, c_custkey AS comparator, CASE WHEN c_custkey % 3 = 0 THEN '_x' || c_custkey % 7 END AS explicit, '_m' || c_custkey % 5 AS mapped FROM customer WHERE c_custkey % 4 <> 0 OR c_nationkey > 5),
+f AS (SELECT DISTINCT s_nationkey AS task, CASE s_suppkey % 3 WHEN 0 THEN '_x' || s_suppkey % 7 WHEN 1 THEN '_m' || s_suppkey % 5 ELSE '' END AS postfix FROM supplier),
+d AS (SELECT DISTINCT c_nationkey AS task, o_custkey AS comparator FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'),
+n AS (SELECT task FROM c GROUP BY task HAVING count(*) = 1),
+w AS (SELECT task, comparator, 0 AS place, explicit AS postfix FROM c UNION ALL SELECT task, comparator, 1, mapped FROM c UNION ALL SELECT task, comparator, 2, '' FROM c WHERE task IN (SELECT task FROM n)
+  UNION ALL SELECT c.task, comparator, 3, postfix FROM c JOIN f ON c.task = f.task WHERE c.task IN (SELECT task FROM n)),
+b AS (SELECT w.task, comparator, min(struct_pack(place := place, postfix := w.postfix)).postfix AS postfix FROM w JOIN f ON w.task = f.task AND w.postfix = f.postfix GROUP BY w.task, comparator)
+SELECT c.task, c.comparator, b.postfix FROM c LEFT JOIN b ON c.task = b.task AND c.comparator = b.comparator WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.task = c.task AND d.comparator = c.comparator)""")
+def input_postfix(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as comparisons of a nation that have no finished order, with the first of two postfixes of which a supplier has files."""
+    key, s = F.col("c_custkey"), F.col("s_suppkey")
+    comparisons = table(spark, sf, "customer").where("c_custkey % 4 <> 0 OR c_nationkey > 5").select(F.col("c_nationkey").alias("task"), key.alias("comparator"), F.when(key % 3 == 0, F.concat(F.lit("_x"), key % 7)).alias("explicit"), F.concat(F.lit("_m"), key % 5).alias("mapped"))
+    files = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("task"), F.when(s % 3 == 0, F.concat(F.lit("_x"), s % 7)).when(s % 3 == 1, F.concat(F.lit("_m"), s % 5)).alias("postfix"))
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").join(table(spark, sf, "customer"), F.col("o_custkey") == key).select(F.col("c_nationkey").alias("task"), key.alias("comparator"))
+    return R.input_postfixes(comparisons, files, done, ["explicit", "mapped"])
+
+
 @query("j13_not_included", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45)")
 def not_included(spark: SparkSession, sf: str) -> DataFrame:
     used = table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))

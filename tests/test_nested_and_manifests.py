@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarrystone.functions import nested as N
-from quarrystone.operators.records import manifest_counts, refresh_manifest, split_rejects
+from quarrystone.operators.records import input_postfixes, manifest_counts, refresh_manifest, screening_summary, split_rejects
 
 
 def test_nested_values(spark):
@@ -33,3 +33,19 @@ def test_manifests(spark):
 def test_rejects(spark):
     good, bad = split_rejects(spark.createDataFrame([(1, 5), (2, None), (3, 50)], "k int, v int"), {"some": F.col("v") > 0, "few": F.col("v") < 9})
     assert [r.k for r in good.collect()] == [1] and {(r.k, *r.violations) for r in bad.collect()} == {(2, "some", "few"), (3, "few")}
+
+
+def test_postfixes_in_order_of_priority(spark):
+    comparisons = [("t", 1, "_a", "_b"), ("t", 2, None, "_b"), ("t", 3, "_z", None), ("u", 1, "_z", None), ("v", 1, None, None), ("w", 1, None, "_q"), ("t", 9, "_a", None)]
+    c = spark.createDataFrame(comparisons, "task string, comparator int, explicit string, mapped string")
+    files = spark.createDataFrame([("t", "_b"), ("t", "_a"), ("u", None), ("u", "_c"), ("v", "_k"), ("v", "_j")], "task string, postfix string")
+    done = spark.createDataFrame([("t", 9)], "task string, comparator int")
+    got = {(r.task, r.comparator): r.postfix for r in input_postfixes(c, files, done, ["explicit", "mapped"]).collect()}
+    assert got == {("t", 1): "_a", ("t", 2): "_b", ("t", 3): None, ("u", 1): "", ("v", 1): "_j", ("w", 1): None}
+
+
+def test_summaries(spark):
+    rows = [("a", n, v) for n, v in enumerate(["Included", " Included ", "Excluded", None, "Included", "Included"])] + [(None, 9, "Excluded")]
+    df = spark.createDataFrame(rows, "g string, n int, v string")
+    got = {r.g: (r.total_screened, r.total_included, r.total_excluded, [x.n for x in r.sample_included]) for r in screening_summary(df, "g", "n", "v", {"n": F.col("n")}).collect()}
+    assert got == {"a": (6, 4, 1, [0, 1, 4]), None: (1, 0, 1, [])}
