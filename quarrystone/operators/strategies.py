@@ -1,10 +1,11 @@
 """Boolean search strategies: numbered lines of words, phrases, truncated and neighbouring words, and references to earlier lines.
 
-A positional index is a bucketed table of (idx, field, term, at), sorted by term in each
-bucket. Patterns become ranges of terms, so the scan skips row groups, and are joined with the
-few terms that match. All that a document holds of any pattern is in one bucket, so lines are
-evaluated as columns of one row a document, without a shuffle: AND, OR and NOT of lines are
-the sets' intersection, union and difference. A line that others refer to is computed once.
+A positional index is a table of (idx, field, term, at), sorted by term in each file. It is
+made where the texts lie, without a shuffle. Patterns become ranges of terms, so the scan skips
+row groups, and are joined with the few terms that match. Only those postings are brought
+together by document (not even they, if the index is bucketed), and lines are evaluated as
+columns of one row a document: AND, OR and NOT of lines are the sets' intersection, union and
+difference. A line that others refer to is computed once.
 
 What is read: ``and``, ``or``, ``not`` from left to right; ``adjN`` (at most N words on, either
 way; ``adj`` is ``adj1``) between words, phrases and ``or`` of those; "phrases", and bare
@@ -16,14 +17,16 @@ phrase in the field of the tag ``sh`` (narrower headings need a thesaurus and ar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import TOKEN, tokenize
-from quarrystone.scratch import bucketed
+from quarrystone.scratch import bucketed, written
 
 #: Lines that may be evaluated in one call; a strategy is written by people.
 MOST_LINES = 10_000
@@ -33,12 +36,37 @@ PASS = 200
 MOST_RANGES = 300
 
 
-def positional_index(docs: DataFrame, idx: str, fields: Mapping[str, str], buckets: int, table: str | None = None) -> DataFrame:
-    """(idx, field, term, at): the places, from 0, of every term in the given columns by field name. Ids should be unique; null texts have no terms."""
-    texts = docs.select(F.col(idx).alias("idx"), *[F.col(c).alias(f"_{f}") for f, c in fields.items()]).repartition(buckets, "idx")
-    parts = texts.select("idx", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("text")) for f in fields])))
-    terms = parts.select("idx", "field", F.posexplode(tokenize(F.col("text"))).alias("at", "term"))
-    return bucketed(terms.groupBy("idx", "field", "term").agg(F.sort_array(F.collect_list("at")).alias("at")), "positions", buckets, ["idx"], ["term", "field"], table)
+def _places(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of documents' terms, a list a field, as rows of (idx, field, term, at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for field in fields:
+                many = b.column(field).value_lengths().fill_null(0).to_numpy()
+                terms = b.column(field).flatten().dictionary_encode()
+                doc = np.repeat(np.arange(len(b)), many)
+                place = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+                code = terms.indices.to_numpy()
+                order = np.lexsort((code, doc))  # stable, so places stay in order
+                doc, code = doc[order], code[order]
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))) if len(doc) else np.zeros(0, np.int64)
+                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(place[order]))
+                yield pa.RecordBatch.from_arrays([b.column("idx").take(pa.array(doc[first])), pa.array([field] * len(first), pa.string()), terms.dictionary.take(pa.array(code[first])), at], ["idx", "field", "term", "at"])
+
+    return run
+
+
+def positional_index(docs: DataFrame, idx: str, fields: Mapping[str, str], buckets: int | None = None, table: str | None = None) -> DataFrame:
+    """(idx, field, term, at): the places, from 0, of every term in the given columns by field name. Ids should be unique; null texts have no terms.
+
+    With a number of buckets it is bucketed by document, which shuffles it once and spares each search the shuffle of what it finds.
+    """
+    terms = docs.select(F.col(idx).alias("idx"), *[tokenize(F.col(c)).alias(f) for f, c in fields.items()])
+    kind = terms.schema["idx"].dataType.simpleString()
+    placed = terms.mapInArrow(_places(list(fields)), f"idx {kind}, field string, term string, at array<int>")
+    if buckets:
+        return bucketed(placed, "positions", buckets, ["idx"], ["term", "field"], table)
+    return written(placed.sortWithinPartitions("term", "field"), "positions")
 
 
 # --- reading a line ----------------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ _TOK = f"tok AS (SELECT doc_id AS idx, coalesce({_TOKENS.format('text')}, '') AS
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return S.positional_index(docs, "doc_id", _FIELDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return S.positional_index(docs, "doc_id", _FIELDS)
 
 
 def _sql(lines: dict[tuple[str, int], str]) -> str:

@@ -59,6 +59,8 @@ def test_random_texts_and_lines(spark):
     got = S.evaluate(index, [("s", n, x) for n, x in enumerate(lines)], ["t"])
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     found = {}
+    loose = S.evaluate(S.positional_index(df.repartition(3), "k", {"t": "t"}), [("s", n, x) for n, x in enumerate(lines)], ["t"])
+    assert sorted(map(tuple, loose.collect())) == sorted(map(tuple, got.collect()))
     for r in got.collect():
         found.setdefault(r.number, set()).add(r.idx)
     for n, line in enumerate(lines):
