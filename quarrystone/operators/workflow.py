@@ -7,6 +7,7 @@ abstract) runs before one is called, as a filter or an anti-join above the opera
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -254,6 +255,57 @@ def variants(questions: DataFrame, question: str, prompt: str, client: MakeClien
     return out.withColumn("variant", F.when(good, F.trim("response"))).withColumn("error", F.when(~F.coalesce(good, F.lit(False)), F.coalesce("error", F.lit("no new wording")))).drop("response")
 
 
+def single_change_error(old: Column, new: Column, component: Column, place: Column) -> Column:
+    """Null if exactly the one element of a normalised frame has changed, else what is wrong. component: P, I or C; place: which comparator, from 0.
+
+    A changed comparator takes its outcomes, unchanged, to its new name. Changes of case and white space are none.
+    """
+
+    def outcomes(x: Column) -> Column:
+        return F.array_sort(F.map_entries(x["O"]))
+
+    def at(x: Column, key: Column) -> Column:
+        return F.try_element_at(x["O"], key)
+
+    def text(name: str, others: Sequence[str]) -> Column:
+        same = X.normalize_spaces(old[name]) == X.normalize_spaces(new[name])
+        moved = reduce(lambda a, b: a | b, [~old[k].eqNullSafe(new[k]) for k in others])
+        return F.when(same, f"{name} is not changed").when(moved, f"only {name} may change").when(outcomes(old) != outcomes(new), "O may not change")
+
+    places = F.sequence(F.lit(0), F.size(old["C"]) - 1)
+    differ = F.filter(places, lambda k: X.normalize_spaces(F.get(old["C"], k)) != X.normalize_spaces(F.get(new["C"], k)))
+    kept = F.forall(places, lambda k: at(new, F.when(k == place, F.get(new["C"], k)).otherwise(F.get(old["C"], k))).eqNullSafe(at(old, F.get(old["C"], k))))
+    comparator = (
+        F.when(~old["P"].eqNullSafe(new["P"]) | ~old["I"].eqNullSafe(new["I"]), "only C may change")
+        .when((F.size(old["C"]) != F.size(new["C"])) | (F.size(old["C"]) == 0), "the number of comparators may not change")
+        .when(~differ.eqNullSafe(F.array(place)), "exactly one comparator has to change")
+        .when(F.array_sort(F.array_distinct(new["C"])) != F.array_sort(F.map_keys(new["O"])), "outcomes have to be those of the comparators")
+        .when(~kept, "a comparator's outcomes may not change")
+    )
+    return F.when(component == "P", text("P", ["I", "C"])).when(component == "I", text("I", ["P", "C"])).when(component == "C", comparator).otherwise("no such element")
+
+
+def perturb(questions: DataFrame, key: str, pico: str, prompt: str, client: MakeClient, retry: int = 2, component: str = "component", place: str = "place", **options: Any) -> DataFrame:
+    """(key, question, pico, error): questions reworded so that exactly the element named by component and place changes, as a model writes them.
+
+    A reply is a JSON object with question and pico. One that changes anything else, or nothing, fails; only failed rows are asked again, up to retry times, and keep their last error.
+    """
+    todo, done = written(questions.select(key, F.col(pico).alias("_old"), F.col(prompt).alias("_asked"), F.col(component).alias("_component"), F.col(place).alias("_at")), "todo"), None
+    for attempt in range(retry + 1):
+        out = model_map(todo.withColumn("_prompt", F.concat(F.lit(f"{attempt}|"), "_asked")), "_prompt", client, **options)
+        reply = X.json_object(F.col("response"))
+        out = out.withColumn("pico", P.normalize_pico(F.coalesce(reply, F.lit("{}")))).withColumn("question", F.trim(F.try_variant_get(F.try_parse_json(reply), "$.question", "string")))
+        wrong = F.when(reply.isNull(), F.coalesce("error", F.lit("no JSON object"))).when(F.coalesce("question", F.lit("")) == "", "no question").otherwise(single_change_error(F.col("_old"), F.col("pico"), F.col("_component"), F.col("_at")))
+        out = written(out.withColumn("error", wrong), "perturbed")
+        last = attempt == retry
+        part = (out if last else out.where("error IS NULL")).select(key, F.when(F.col("error").isNull(), F.col("question")).alias("question"), F.when(F.col("error").isNull(), F.col("pico")).alias("pico"), "error")
+        done = part if done is None else done.unionByName(part)
+        todo = out.where("error IS NOT NULL").select(*todo.columns)
+        if last or todo.isEmpty():
+            break
+    return done
+
+
 def recommend(evidence: DataFrame, key: str, order: str, text: str, prompt: str, client: MakeClient, **options: Any) -> DataFrame:
     """(key, response, error): the interpretations of a key's outcomes, in order, put into one prompt and answered."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions.projection import normalize_pico
 from quarrystone.functions.text import tokenize
 from quarrystone.operators import workflow as W
 from quarrystone.operators.model import model_batches
@@ -201,6 +202,28 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return W.cell_questions(rows).groupBy("n_nationkey").agg(F.count_distinct("cell").alias("cells"))
 
 
+class Perturber:
+    """Changes the intervention as asked; every third key only at the second attempt, every fifth changes the population too, every seventh never writes JSON."""
+
+    def __call__(self, prompt: str) -> str:
+        attempt, key, name = prompt.split("|")
+        if int(key) % 7 == 0:
+            return "Sorry."
+        if int(key) % 3 == 0 and attempt == "0":
+            name, new = name, name.upper() + "  "
+        else:
+            new = f"new {name}"
+        return json.dumps({"question": f"What about {new}?", "pico": {"P": "children" if int(key) % 5 == 0 else "adults", "I": new, "C": ["none"], "O": {"none": ["death"]}}})
+
+
+@query("m12_perturbed", "SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 THEN 'What about new ' || s_name || '?' END AS question, CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 THEN 'new ' || s_name END AS intervention, CASE WHEN s_suppkey % 7 = 0 THEN 'no JSON object' WHEN s_suppkey % 5 = 0 THEN 'only I may change' END AS error FROM supplier")
+def perturbed(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions about suppliers whose intervention, and nothing else, is to change."""
+    frame = F.concat(F.lit('{"P": "adults", "I": "'), "s_name", F.lit('", "C": ["none"], "O": {"none": ["death"]}}'))
+    rows = table(spark, sf, "supplier").select("s_suppkey", normalize_pico(frame).alias("pico"), F.concat("s_suppkey", F.lit("|"), "s_name").alias("prompt"), F.lit("I").alias("component"), F.lit(None).cast("int").alias("place"))
+    return W.perturb(rows, "s_suppkey", "pico", "prompt", Perturber, 1).select("s_suppkey", "question", F.col("pico.I").alias("intervention"), "error")
+
+
 @query("m10_recommend", "SELECT s_nationkey, -(length(string_agg(s_name, chr(10) ORDER BY s_suppkey)) + 5)::BIGINT AS answer FROM supplier GROUP BY s_nationkey")
 def recommend(spark: SparkSession, sf: str) -> DataFrame:
     out = W.recommend(table(spark, sf, "supplier"), "s_nationkey", "s_suppkey", "s_name", "Sum: ", LengthClient)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,20 @@ def test_pages_are_read_once_and_retried_alone(spark, tmp_path):
 def test_shapes_of_replies(spark, reply, method, n):
     got = spark.createDataFrame([(reply,)], "t string").select(W.retrieval_items(F.col("t"), method).alias("x")).select(F.when(F.col("x").isNotNull(), F.size("x"))).first()[0]
     assert got == n
+
+
+OLD = {"P": "adults", "I": "drug", "C": ["none", "other"], "O": {"none": ["death"], "other": ["pain", "cost"]}}
+
+
+@pytest.mark.parametrize(("component", "place", "change", "error"), [
+    ("P", None, {"P": "children"}, None), ("P", None, {"P": " Adults "}, "P is not changed"), ("P", None, {"P": "x", "I": "y"}, "only P may change"), ("P", None, {"P": "x", "O": {"none": ["death"]}}, "O may not change"), ("I", None, {"I": "x"}, None),
+    ("C", 1, {"C": ["none", "new"], "O": {"none": ["death"], "new": ["pain", "cost"]}}, None), ("C", 0, {"C": ["none", "new"], "O": {"none": ["death"], "new": ["pain", "cost"]}}, "exactly one comparator has to change"),
+    ("C", 1, {"C": ["none", "new"]}, "outcomes have to be those of the comparators"), ("C", 1, {"C": ["none", "new"], "O": {"none": ["death"], "new": ["pain"]}}, "a comparator's outcomes may not change"),
+    ("C", 1, {"C": ["none"]}, "the number of comparators may not change"), ("C", 0, {"P": "x"}, "only C may change"), ("Q", None, {}, "no such element"),
+])
+def test_exactly_one_element_changes(spark, component, place, change, error):
+    from quarrystone.functions.projection import normalize_pico
+
+    df = spark.createDataFrame([(json.dumps(OLD), json.dumps(OLD | change), component, place)], "a string, b string, c string, p int")
+    got = df.select(W.single_change_error(normalize_pico(F.col("a")), normalize_pico(F.col("b")), F.col("c"), F.col("p")).alias("e")).first().e
+    assert got == error
