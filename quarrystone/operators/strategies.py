@@ -37,10 +37,15 @@ MOST_RANGES = 300
 
 
 def _places(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of documents' terms, a list a field, as rows of (idx, field, term, at)."""
+    """Batches of documents' terms, a list a field, as rows of (idx, field, term, at); documents are taken together while they have about a million terms."""
+
+    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(sum(b.column(f).value_lengths().fill_null(0).to_numpy() for f in fields))
+        starts = [*np.flatnonzero(np.diff(ends >> 20, prepend=-1)).tolist(), len(b)]
+        return (b.slice(at, end - at) for at, end in zip(starts, starts[1:], strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch)):
             for field in fields:
                 many = b.column(field).value_lengths().fill_null(0).to_numpy()
                 terms = b.column(field).flatten().dictionary_encode()
