@@ -218,22 +218,23 @@ def substring_join(texts: DataFrame, keys: DataFrame, text: str, key: str, on: S
     """Pairs of rows of texts and keys, equal in ``on``, whose text holds the key, character by character; keys that are null or empty are in none.
 
     A key is looked up by its first characters, at most ``anchor``: every window of that length in a text joins them by a hash, and what has met is
-    compared whole. Windows of one text are taken once, and leave it only for the lengths that keys have; few keys are broadcast,
-    so that no window is shuffled. Columns other than ``on`` should differ in name.
+    compared whole. Only windows of the lengths that keys have are made; few keys are broadcast, so that no window is shuffled, and
+    with more keys each window of a text is taken once. Columns other than ``on`` should differ in name.
     """
-    asked = keys.where(F.length(key) > 0).withColumn("_n", F.least(F.length(key), F.lit(anchor)))
-    asked = asked.withColumn("_w", F.xxhash64("_n", F.left(F.col(key), F.col("_n"))))
+    asked = keys.where(F.length(key) > 0).withColumn("_n", F.least(F.length(key), F.lit(anchor))).withColumn("_k", F.monotonically_increasing_id())
+    asked = written(asked.withColumn("_w", F.xxhash64("_n", F.left(F.col(key), F.col("_n")))), "keys")
     lengths = [r[0] for r in asked.select("_n").distinct().collect()]  # at most anchor of them
     each = written(texts.withColumn("_t", F.monotonically_increasing_id()), "texts")
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def windows(n: int) -> Column:
-        return F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))), lambda w: F.xxhash64(F.lit(n), w))
+        found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(found if small else F.array_distinct(found), lambda w: F.xxhash64(F.lit(n), w))
 
     held = F.concat(*[windows(n) for n in lengths]) if lengths else F.array().cast("array<bigint>")
     met = each.select("_t", *on, F.explode(held).alias("_w"))
-    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = met.join(F.broadcast(asked) if small else asked, [*on, "_w"]).drop("_w", "_n", *on)
-    return pairs.join(each, "_t").where(F.contains(text, key)).drop("_t")
+    pairs = met.join(F.broadcast(asked) if small else asked, [*on, "_w"]).drop("_w", "_n", *on).dropDuplicates(["_t", "_k"])
+    return pairs.join(each, "_t").where(F.contains(text, key)).drop("_t", "_k")
 
 
 def holding(docs: DataFrame, passages: DataFrame, idx: str = "idx", text: str = "text", q: str = "q", passage: str = "question") -> DataFrame:
