@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrystone.operators import evidence as E
 from quarrystone.operators import records as R
 
-from .base import Queries, declare, table
+from .base import Queries, declare, placed, table
 
 queries: Queries = {}
 query = declare(queries)
@@ -38,7 +38,10 @@ def ordered_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a16_last_wins", "SELECT l_orderkey, arg_max(l_partkey, l_extendedprice) AS part FROM lineitem GROUP BY l_orderkey")
 def last_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_partkey", "l_extendedprice").alias("part"))
+    """Of equal prices the part stored first counts; a line without a part does not. Prices come first, so that all that is aggregated are numbers."""
+    lines = placed(spark, sf, "lineitem").withColumn("_place", F.when(F.col("l_partkey").isNotNull(), F.col("_place")))
+    prices = lines.groupBy("l_orderkey", "l_extendedprice").agg(F.min_by("l_partkey", "_place").alias("part"))
+    return prices.groupBy("l_orderkey").agg(F.max_by("part", F.when(F.col("part").isNotNull(), F.col("l_extendedprice"))).alias("part"))
 
 
 @query("a17_a18_profile", "SELECT o_custkey, count(*) AS study_number, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
