@@ -31,12 +31,12 @@ def numbered(rows: DataFrame, *order: Column, name: str = "n") -> DataFrame:
     return dealt.join(starts, "_range").withColumn(name, place).select(*rows.columns, name)
 
 
-def searchable(records: DataFrame, index: str, abstract: str, types: str, invalid: Sequence[str], order: str) -> DataFrame:
+def searchable(records: DataFrame, index: str, abstract: str, types: str, invalid: Sequence[str], *order: str) -> DataFrame:
     """Records with an abstract (it may be empty), the first of each index, without an invalid publication type.
 
     The order counts: a first copy of an invalid type takes its later copies with it.
     """
-    first = first_rows(records.where(F.col(abstract).isNotNull()), [index], [order])
+    first = first_rows(records.where(F.col(abstract).isNotNull()), [index], order)
     bad = F.array(*[F.lit(t) for t in invalid]).cast("array<string>")
     return first.where(~F.coalesce(F.arrays_overlap(F.coalesce(F.col(types), F.array().cast("array<string>")), bad), F.lit(False)))
 

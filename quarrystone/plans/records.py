@@ -9,7 +9,7 @@ from quarrystone.operators import evidence as E
 from quarrystone.operators import records as R
 from quarrystone.operators import sampling as S
 
-from .base import Queries, declare, table
+from .base import Queries, declare, placed, table
 
 queries: Queries = {}
 query = declare(queries)
@@ -20,12 +20,12 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     types = F.when(F.col("l_returnflag") == "R", F.array(F.lit("Review"), F.lit("Journal"))).when(F.col("l_returnflag") == "A", F.array(F.lit("Journal")))
     abstract = F.when(F.col("l_linenumber") % 4 != 0, F.when(F.col("l_linenumber") % 4 == 1, "").otherwise("text"))
     order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("paper"), order.alias("pos"), abstract.alias("abstract"), types.alias("types"))
+    return placed(spark, sf, "lineitem").select(F.col("l_partkey").alias("paper"), order.alias("pos"), "_place", abstract.alias("abstract"), types.alias("types"))
 
 
 @query("f1_searchable", "SELECT paper, pos FROM (SELECT l_partkey AS paper, l_orderkey * 10 + l_linenumber AS pos, l_returnflag, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_linenumber % 4 <> 0) WHERE n = 1 AND l_returnflag <> 'R'")
 def searchable(spark: SparkSession, sf: str) -> DataFrame:
-    return R.searchable(_records(spark, sf), "paper", "abstract", "types", ["Review"], "pos").select("paper", "pos")
+    return R.searchable(_records(spark, sf), "paper", "abstract", "types", ["Review"], "pos", "_place").select("paper", "pos")
 
 
 @query("f2_dropna", "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL")
@@ -335,8 +335,10 @@ def split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("u6_all_positives", "SELECT quality, CASE WHEN quality = 0 THEN (SELECT count(*) FROM labels WHERE quality = 0) ELSE greatest(80 - (SELECT count(*) FROM labels WHERE quality = 0), 0) END AS n FROM (SELECT DISTINCT quality FROM labels)")
 def positives(spark: SparkSession, sf: str) -> DataFrame:
-    """All of the rare class and others up to 80."""
-    return S.with_all_positives(table(spark, sf, "labels"), "doc_id", F.col("quality") == 0, 80).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    """All of the rare class and others up to 80; a class of which none is drawn has a row as well."""
+    labels = table(spark, sf, "labels")
+    drawn = S.with_all_positives(labels, "doc_id", F.col("quality") == 0, 80).select("quality", F.lit(1).alias("n"))
+    return drawn.unionByName(labels.select("quality", F.lit(0).alias("n"))).groupBy("quality").agg(F.sum("n").alias("n"))
 
 
 @query("u9_choice")

@@ -1,4 +1,4 @@
-"""Ties that an order leaves open go to the row stored first, as in SQL; classes without a drawn row are there."""
+"""Ties that an order leaves open go to the row stored first; classes without a drawn row are there."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def tied(spark, tmp_path):
     """Lines in two files, the larger one second: every order and every paper has ties, within a file and across files, that differ in part and flag."""
     def lines(start, stop):
         return spark.range(start, stop, 1, 1).selectExpr(
-            "id % 40 AS l_orderkey", "IF(id % 17 = 0, NULL, id) AS l_partkey", "CAST(1 AS INT) AS l_linenumber",
+            "id % 40 AS l_orderkey", "IF(id % 17 = 0, NULL, id % 200 * 10 + id % 2) AS l_partkey", "CAST(1 AS INT) AS l_linenumber",
             "CASE WHEN id % 40 = 7 THEN NULL WHEN id % 40 = 8 THEN double('NaN') ELSE double(id div 80 % 3) END AS l_extendedprice", "IF(id % 3 = 0, 'R', 'N') AS l_returnflag")
 
     folder = tmp_path / "lineitem.parquet"
@@ -27,3 +27,17 @@ def test_last_wins_of_equal_prices(spark, tied):
     con = connect(tied)
     con.execute("SET threads = 1")
     assert_same(QUERIES["a16_last_wins"](spark, tied).toPandas(), con.execute(ORACLE_SQL["a16_last_wins"]).df())
+
+
+def test_searchable_of_equal_places(spark, tied):
+    """SQL leaves open which of equal places comes first (DuckDB's pick changes with its threads), so the rows are those of SQL with the stored order as last key."""
+    want = connect(tied).execute(f"""SELECT paper, pos FROM (SELECT l_partkey AS paper, l_orderkey * 10 + l_linenumber AS pos, l_returnflag, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber, filename, file_row_number) AS n
+        FROM read_parquet('{tied}/lineitem.parquet/*.parquet', filename = true, file_row_number = true) WHERE l_linenumber % 4 <> 0) WHERE n = 1 AND l_returnflag <> 'R'""").df()
+    assert_same(QUERIES["f1_searchable"](spark, tied).toPandas(), want)
+
+
+def test_all_positives_has_each_class(spark, tmp_path):
+    """With 80 positives or more no other row is drawn, and the class is there with none."""
+    spark.range(500).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["u6_all_positives"](spark, str(tmp_path))
+    assert_same(got.toPandas(), connect(str(tmp_path)).execute(ORACLE_SQL["u6_all_positives"]).df())
