@@ -257,6 +257,8 @@ _START = r"\bRecommendation\s+\d+(?:\.\d+){1,2}\.?\s+"
 _STOPS = (r"\bStatement\s+\d+(?:\.\d+){1,2}", r"\bComment:", r"\bQ\.\d+\.\d+:")
 # The words by which a span of the second kind recommends something.
 _RECOMMENDS = r"(?i)\b(recommend(?:ed|s|ing)?|suggest(?:ed|s|ing)?|advised|preferred|should be considered|cannot suggest)\b"
+# A block that begins so begins a span of keyword_sections in the joined text as well: no cleaning joins it to what stands before it.
+_OPENS = r"^[1-7]\.\d+ +[A-Z]"
 _EVIDENCE = r"\[[^\]]*(?:QoE|Strength of recommendation)[^\]]*\]"
 
 
@@ -289,7 +291,15 @@ def keyword_sections(text: Column, first: int = 900) -> Column:
 
 
 def page_recommendations(blocks: DataFrame, by: str, page: str, order: str, text: str, last_page: int = 19) -> DataFrame:
-    """(by, number, text) of keyword_sections over the blocks of a document's first pages, in order, joined by a space."""
+    """(by, number, text) of keyword_sections over the blocks of a document's first pages, in order, joined by a space.
+
+    A block that begins with a heading ends the span before it, so the blocks are joined only up to the next such block, and the
+    first span of a number is found by an aggregation: nothing holds a document whole, and no span is compared with all others.
+    """
+    kept = blocks.where(F.col(page) <= last_page).select(by, order, text)
+    opens = F.coalesce(F.col(text).rlike(_OPENS), F.lit(False)).cast("int")
+    run = F.sum(opens).over(Window.partitionBy(by).orderBy(order, text).rowsBetween(Window.unboundedPreceding, 0))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
-    bodies = blocks.where(F.col(page) <= last_page).groupBy(by).agg(body.alias("_body")).withColumn("_body", clean_text(F.col("_body")))
-    return bodies.select(by, F.explode(keyword_sections(F.col("_body"))).alias("number", "text"))
+    bodies = kept.withColumn("_run", run).groupBy(by, "_run").agg(body.alias("_body")).withColumn("_body", clean_text(F.col("_body")))
+    spans = bodies.select(by, "_run", F.explode(keyword_sections(F.col("_body"))).alias("number", "_span"))
+    return spans.groupBy(by, "number").agg(F.min_by("_span", "_run").alias("text"))

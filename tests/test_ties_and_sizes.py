@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 from compare import assert_same, connect
+from pyspark.sql import functions as F
 
+from quarrystone.operators import segments
 from quarrystone.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -41,3 +43,31 @@ def test_all_positives_has_each_class(spark, tmp_path):
     spark.range(500).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality").write.parquet(str(tmp_path / "labels.parquet"))
     got = QUERIES["u6_all_positives"](spark, str(tmp_path))
     assert_same(got.toPandas(), connect(str(tmp_path)).execute(ORACLE_SQL["u6_all_positives"]).df())
+
+
+def test_page_recommendations_over_blocks(spark):
+    """Spans go over blocks, headings within one and broken between two: the rows are those of the whole text."""
+    said = ["lead 9.9 Not", "1.2 Use of a ( b ) we recom-", "mend c #QoE low# tail", None, "x 2.1 We suggest d 1.2 Again advised", "1.2 We recommend e", "(", "3.4 Preferred is &lt;f&gt; SoR Discussion g", "we recommend 4.1", "Use SoR advised", "8.1 Use SoR", "5.1 None SoR", "6.1  Two (SoR advised"]
+    rows = [(by, n // 3, n, t) for by in (1, None) for n, t in enumerate(said)]
+    blocks = spark.createDataFrame(rows, "by long, page long, n long, text string")
+    whole = spark.createDataFrame([(" ".join(t for t in said if t is not None),)], "body string")
+    want = whole.select(segments.clean_text(F.col("body")).alias("body")).select(F.explode(segments.keyword_sections(F.col("body"))).alias("number", "text")).collect()
+    got = segments.page_recommendations(blocks, "by", "page", "n", "text").collect()
+    assert sorted(r.number for r in want) == ["1.2", "2.1", "3.4", "4.1", "6.1"]
+    for by in (1, None):
+        assert {(r.number, r.text) for r in got if r.by == by} == {(r.number, r.text) for r in want}
+
+
+def test_page_recommendations_hold_no_document_whole(spark):
+    rows = spark.range(20_000).selectExpr("id % 1 AS by", "id % 9 AS page", "id AS n", "concat('1.', id, ' We recommend ', id, ' #QoE low#') AS text")
+    assert segments.page_recommendations(rows, "by", "page", "n", "text").toPandas().number.nunique() == 20_000
+
+
+def test_first_entry_meets_a_text_once(spark, tmp_path):
+    """The plan joins one row a text, not every entry of it."""
+    spark.range(3000).selectExpr("id AS c_custkey", "CAST(id % 2 AS INT) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(3000).selectExpr("id AS s_suppkey", "CAST(id % 3 AS INT) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = QUERIES["j8_first_by_trimmed_text"](spark, str(tmp_path))
+    assert_same(got.toPandas(), connect(str(tmp_path)).execute(ORACLE_SQL["j8_first_by_trimmed_text"]).df())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
