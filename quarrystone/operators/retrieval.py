@@ -60,15 +60,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, idx: str = "idx", text: str
     return _scores(*_term_tables(docs, queries, idx, text, q, question, tokens, question_tokens))
 
 
-def split_terms(docs: DataFrame, idx: str, terms: Column) -> DataFrame:
-    """(idx, dl, _terms), written: the length is computed below an explode of the terms, not again for every word."""
-    return written(docs.select(F.col(idx).alias("idx"), terms.alias("_terms")).select("idx", F.size("_terms").alias("dl"), "_terms"), "terms")
+def split_terms(docs: DataFrame, idx: str, terms: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """(idx, dl, _terms, carry), written: the length is computed below an explode of the terms, not again for every word."""
+    return written(docs.select(F.col(idx).alias("idx"), terms.alias("_terms"), *carry).select("idx", F.size("_terms").alias("dl"), "_terms", *carry), "terms")
 
 
-def _term_tables(docs: DataFrame, queries: DataFrame, idx: str, text: str, q: str, question: str, tokens: Column | None = None, question_tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(idx, dl, _terms) and (q, term, qtf), both written."""
+def _term_tables(docs: DataFrame, queries: DataFrame, idx: str, text: str, q: str, question: str, tokens: Column | None = None, question_tokens: Column | None = None, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(idx, dl, _terms, carry) and (q, term, qtf), both written."""
     terms = tokenize(F.col(text)) if tokens is None else tokens
-    split = split_terms(docs, idx, terms)
+    split = split_terms(docs, idx, terms, carry)
     asked = written(postings(queries, q, question, question_tokens).withColumnsRenamed({"idx": "q", "tf": "qtf"}), "asked")
     return split, asked
 
@@ -98,10 +98,25 @@ def _scores(split: DataFrame, asked: DataFrame) -> DataFrame:
     return weigh(post.join(near(_weights(split, asked)), "term"))
 
 
-def _best_of_blocks(split: DataFrame, weights: pa.Table, k: int) -> DataFrame:
-    """(q, idx, score): the k best documents for each query in each Arrow batch of documents. A batch's terms are counted where they are; nothing but its best leaves it.
+#: A batch of documents is scored in parts of about so many terms: a worker's memory follows from it, not from the rows of a batch.
+PART_TERMS = 1 << 18
 
-    weights: a bounded table (q, term, w, avgdl), sent to every worker.
+
+def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of rows that hold about PART_TERMS terms."""
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART_TERMS, "right")))
+        yield start, stop
+        start = stop
+
+
+def _best_of_blocks(split: DataFrame, weights: pa.Table, k: int, within: str | None = None) -> DataFrame:
+    """(q, idx, score): the k best documents for each query in each part of an Arrow batch of documents. A part's terms are counted where they are; nothing but its best leaves it.
+
+    weights: a bounded table (q, term, w, avgdl), sent to every worker. With the name of a column of split, the k best documents of
+    positive score for each query and value of it, which is a column of the result as well.
     """
     terms = weights["term"].combine_chunks().unique()
     of_term = pc.index_in(weights["term"], terms).to_numpy()
@@ -110,29 +125,38 @@ def _best_of_blocks(split: DataFrame, weights: pa.Table, k: int) -> DataFrame:
     asked_by = pc.index_in(weights["q"], names).to_numpy()[order]
     starts = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
     shared = split.sparkSession.sparkContext.broadcast((terms, names, starts, asked_by, weights["w"].to_numpy()[order], weights["avgdl"][0].as_py()))
+    carried = [within] if within else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, names, starts, asked_by, w, avgdl = shared.value
-        for b in batches:
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in _parts(whole.column("_terms").value_lengths().fill_null(0).to_numpy())):
             n, lists = len(b), b.column("_terms")
             doc = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy())
             term = pc.fill_null(pc.index_in(lists.flatten(), terms), -1).to_numpy()
             held, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
             doc, term = held // len(terms), held % len(terms)
-            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * b.column("dl").to_numpy()[doc] / avgdl))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * b.column("dl").fill_null(0).to_numpy()[doc] / avgdl))
             many = starts[term + 1] - starts[term]
             at = np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
             pairs, same = np.unique(asked_by[at] * n + np.repeat(doc, many), return_inverse=True)
             score = np.bincount(same, np.repeat(part, many) * w[at], len(pairs))
             score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+            if within:
+                pairs, score = pairs[score > 0], score[score > 0]
             q, doc = pairs // n, pairs % n
+            group = q
+            if within:
+                kinds = b.column(within).dictionary_encode(null_encoding="encode")
+                group = q * len(kinds.dictionary) + kinds.indices.to_numpy()[doc]
             place = np.argsort(pc.sort_indices(b.column("idx")).to_numpy())  # of each document in the order of idx
-            best = np.lexsort((place[doc], -score, q))
-            rank = np.arange(len(best)) - np.searchsorted(q[best], q[best])
+            best = np.lexsort((place[doc], -score, group))
+            rank = np.arange(len(best)) - np.searchsorted(group[best], group[best])
             best = best[rank < k]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q[best])), b.column("idx").take(pa.array(doc[best])), pa.array(score[best])], ["q", "idx", "score"])
+            own = pa.array(doc[best])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q[best])), *[b.column(c).take(own) for c in carried], b.column("idx").take(own), pa.array(score[best])], ["q", *carried, "idx", "score"])
 
-    return split.mapInArrow(run, T.StructType([T.StructField("q", from_arrow_type(weights.schema.field("q").type)), T.StructField("idx", split.schema["idx"].dataType), T.StructField("score", T.DoubleType())]))
+    fields = [T.StructField("q", from_arrow_type(weights.schema.field("q").type)), *[T.StructField(c, split.schema[c].dataType) for c in (*carried, "idx")], T.StructField("score", T.DoubleType())]
+    return split.mapInArrow(run, T.StructType(fields))
 
 
 def weigh(met: DataFrame) -> DataFrame:
@@ -141,16 +165,17 @@ def weigh(met: DataFrame) -> DataFrame:
     return met.groupBy("q", "idx").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def _hashed(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.xxhash64(t))
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question", **tokens: Column) -> DataFrame:
     """(q, idx, score, rank): the k best documents; where fewer match, those of score 0 with the lowest indices follow.
 
     Terms are known by hashes of 64 bits. Where the query terms are counted to be few, batches of documents are scored where they lie and send their k best of each query, so the only shuffle above the
     texts is that of these. Else scores are sums over postings, joined and grouped.
     """
-    def hashed(terms: Column) -> Column:
-        return F.transform(terms, lambda t: F.xxhash64(t))
-
-    own = hashed(tokens.get("tokens", tokenize(F.col(text)))), hashed(tokens.get("question_tokens", tokenize(F.col(question))))
+    own = _hashed(tokens.get("tokens", tokenize(F.col(text)))), _hashed(tokens.get("question_tokens", tokenize(F.col(question))))
     split, asked = _term_tables(docs, queries, idx, text, q, question, *own)
     lowest = written(split.orderBy("idx").limit(k), "lowest")
     # Which of the few lowest documents match is read from their own terms, so scoring stands in the plan once.
@@ -162,6 +187,19 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, idx: str = "idx
     return top_k((_best_of_blocks(split, weights, k) if len(weights) else _scores(split, asked)).unionByName(fill), k)
 
 
+def bm25_search_within(docs: DataFrame, queries: DataFrame, within: str, k: int = 5, idx: str = "idx", text: str = "text", q: str = "q", question: str = "question") -> DataFrame:
+    """(q, within, idx, score, rank): the k best documents of positive score for each query and value of a column of docs, found as in bm25_search."""
+    split, asked = _term_tables(docs, queries, idx, text, q, question, _hashed(tokenize(F.col(text))), _hashed(tokenize(F.col(question))), [within])
+    found = None
+    if _few(asked):
+        weights = _weights(split, asked).toArrow()
+        found = _best_of_blocks(split, weights, k, within) if len(weights) else None
+    if found is None:
+        found = _scores(split, asked).where("score > 0").join(split.select("idx", within), "idx").select("q", within, "idx", "score")
+    rank = F.row_number().over(Window.partitionBy("q", within).orderBy(F.desc("score"), "idx"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _scores_of(kind: str, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """A row of scores for each vector asked: larger is nearer, distances count negative; a zero vector has a cosine of 0. Rounded to six places, halves away from 0."""
     if kind in ("cosine", "dot"):

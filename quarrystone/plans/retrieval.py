@@ -169,11 +169,8 @@ def whole_per_source_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _per_source(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    found = R.bm25_scores(_docs(spark, sf), asked).where("score > 0").join(table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "source"), "idx")
-    rank = F.row_number().over(Window.partitionBy("q", "source").orderBy(F.desc("score"), "idx"))
-    return found.withColumn("rank", rank).where("rank <= 2").select("q", "source", "idx", "score", "rank")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text", "source")
+    return R.bm25_search_within(docs, asked, "source", 2).select("q", "source", "idx", "score", "rank")
 
 
 @query("a5_ir_metrics", f"""WITH {_bm25(_TOKENS)}, t AS ({_TOP.format('scored', 5)}),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from compare import assert_same, connect
 from pyspark.sql import functions as F
 
-from quarrystone.operators import segments
+from quarrystone.operators import retrieval, segments
 from quarrystone.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -71,3 +72,22 @@ def test_first_entry_meets_a_text_once(spark, tmp_path):
     assert_same(got.toPandas(), connect(str(tmp_path)).execute(ORACLE_SQL["j8_first_by_trimmed_text"]).df())
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_best_of_each_source_in_parts(spark, tmp_path, monkeypatch, few):
+    """Batches are scored in parts of a few terms, sources may be null, and with many query terms the joined way gives the same rows."""
+    monkeypatch.setattr(retrieval, "PART_TERMS", 5)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 500_000 if few else 0)
+    docs = "id AS doc_id, IF(id % 9 = 0, NULL, concat_ws(' ', 'a', repeat('b ', int(id % 5)), 'c', concat('d', id % 7), repeat('e ', int(id % 11)))) AS text, get(array('x', 'y', 'z'), int(id % 4)) AS source"
+    spark.sql(f"SELECT {docs} FROM range(200)").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.sql("SELECT id AS item_id, concat('b d', id, ' e e zz') AS text FROM range(9)").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = connect(str(tmp_path))
+    for name in ("r10_per_source_topk", "bm25_topk"):
+        assert_same(QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL[name]).df())
+
+
+def test_parts_hold_about_as_many_terms(monkeypatch):
+    monkeypatch.setattr(retrieval, "PART_TERMS", 5)
+    assert list(retrieval._parts(np.array([1, 4, 9, 0, 0, 5, 1]))) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert list(retrieval._parts(np.array([], int))) == []
