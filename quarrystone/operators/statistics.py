@@ -145,9 +145,31 @@ def resampled(rows: DataFrame, cell: Sequence[str], by: Sequence[str] = (), repl
 
 
 def interval(values: DataFrame, value: str, level: float = 0.95) -> DataFrame:
-    """One row (low, high): exact percentiles with linear interpolation, ignoring nulls."""
+    """One row (low, high): exact percentiles with linear interpolation, ignoring nulls.
+
+    Distinct values with their counts are dealt by ranges and written, so that the place of a value is a running count within its range
+    after the counts of the ranges before it: only one count a range comes together, and the four values that stand at the places asked for.
+    """
     tail = (1 - level) / 2
-    return values.agg(F.round(F.percentile(value, tail), 6).alias("low"), F.round(F.percentile(value, 1 - tail), 6).alias("high"))
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = written(counts.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()), "values")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.sum("_c").alias("_rows")).select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(starts, "_range").select("_v", (F.sum("_c").over(within) + F.col("_start")).alias("_upto"))
+    last = dealt.agg((F.sum("_c") - 1).alias("_last"))  # one row
+
+    def standing(place: Column) -> Column:
+        """The value at a place from 0."""
+        return F.min(F.when(F.col("_upto") > place, F.col("_v")))
+
+    def at(share: float) -> Column:
+        place = F.col("_last") * F.lit(share)
+        low, high = F.floor(place), F.ceil(place)
+        return F.struct(standing(low).alias("a"), standing(high).alias("b"), F.max(place - low).alias("part"))
+
+    found = placed.crossJoin(last).agg(at(tail).alias("low"), at(1 - tail).alias("high"))
+    return found.select(*[F.round(F.when(F.col(f"{c}.part") == 0, F.col(f"{c}.a")).otherwise((1 - F.col(f"{c}.part")) * F.col(f"{c}.a") + F.col(f"{c}.part") * F.col(f"{c}.b")), 6).alias(c) for c in ("low", "high")])
 
 
 def pooled_interval(rows: DataFrame, experiment: str, cell: Sequence[str], value: Column, replicates: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:

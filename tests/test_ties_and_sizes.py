@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import html
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from compare import assert_same, connect
 from pyspark.sql import functions as F
 
-from quarrystone.operators import retrieval, segments
+from quarrystone.functions import text
+from quarrystone.operators import retrieval, segments, statistics, workflow
 from quarrystone.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -91,3 +96,47 @@ def test_parts_hold_about_as_many_terms(monkeypatch):
     monkeypatch.setattr(retrieval, "PART_TERMS", 5)
     assert list(retrieval._parts(np.array([1, 4, 9, 0, 0, 5, 1]))) == [(0, 2), (2, 3), (3, 6), (6, 7)]
     assert list(retrieval._parts(np.array([], int))) == []
+
+
+def test_documents_become_objects_a_few_at_a_time(spark):
+    batch = pa.RecordBatch.from_pydict({"i": list(range(500)), "t": ["A b. " * 30] * 500})
+    assert [len(b) for b in segments._some(iter([batch, batch.slice(0, 3)]))] == [64] * 7 + [52, 3]
+    rows = spark.range(300).selectExpr("IF(id % 7 = 0, NULL, id) AS i", "IF(id % 5 = 0, NULL, repeat('ab. cd ', int(id))) AS t")
+    got = segments.recursive_chunks(rows.where("i IS NOT NULL"), "i", "t", 100, 0).groupBy("i").agg(F.sum(F.length("piece")).alias("n"))
+    assert {(r.i, r.n) for r in got.collect()} == {(i, 7 * i) for i in range(1, 300) if i % 7 and i % 5}
+
+
+def test_an_encoder_sees_a_few_texts_at_a_time(spark):
+    class ShortCalls:
+        """An encoder that refuses long calls."""
+
+        def __call__(self, texts):
+            if len(texts) > 256:
+                raise ValueError("too many texts")
+            return [[3.0 * len(t), 4.0 * len(t)] for t in texts]
+
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "IF(id % 10 = 0, NULL, 'x') AS text")
+    got = workflow.embed(rows, "text", ShortCalls, 2).collect()
+    assert len(got) == 1000 and all([round(x, 4) for x in r.embedding] == ([0.6, 0.8] if r.text else [0, 0]) for r in got)
+
+
+def test_only_texts_with_an_ampersand_pass_through_python(spark, monkeypatch):
+    @F.pandas_udf("string")
+    def strict(t: pd.Series) -> pd.Series:
+        assert t.dropna().str.contains("&").all()
+        return t.map(html.unescape, na_action="ignore")
+
+    monkeypatch.setattr(text, "unescape_html", strict)
+    rows = spark.createDataFrame([("a &lt; b",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in rows.select(text.clean_text(F.col("t"))).collect()] == ["a < b", "plain", ""]
+
+
+def test_an_interval_holds_no_value_table_whole(spark):
+    values = spark.range(1001).selectExpr("IF(id % 10 = 3, NULL, int(id * id % 389)) AS v")
+    got = statistics.interval(values, "v")
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    known = [r.v for r in values.collect() if r.v is not None]
+    for part in (known, known[:1], []):
+        some = spark.createDataFrame([(v,) for v in part] + [(None,)], "v int")
+        want = [round(float(x), 6) for x in np.percentile(part, [2.5, 97.5])] if part else [None, None]
+        assert list(statistics.interval(some, "v").first()) == want
