@@ -49,11 +49,16 @@ def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def _unescaped(text: Column) -> Column:
+    """unescape_html, which only texts with an ampersand need: the others do not pass through Python."""
+    return F.coalesce(unescape_html(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
 def clean_text(text: Column, unescape: bool = True) -> Column:
     """Repairs recognised text: entities, line breaks, hyphenated breaks, space around punctuation, joined words. The order matters."""
     c = F.coalesce(text, F.lit(""))
     if unescape:
-        c = unescape_html(c)
+        c = _unescaped(c)
     c = F.translate(c, "\r\n", "  ")
     c = F.regexp_replace(c, r"(?U)(?<=[A-Za-z])-\s+(?=[a-z])", "")
     c = F.regexp_replace(c, r"(?U)\s+([,.;:)\]])", "$1")
@@ -79,7 +84,7 @@ def split_numbered(text: Column, unescape: bool = True) -> Column:
 
 def split_questions(text: Column, unescape: bool = True) -> Column:
     """Parts that begin at a question word, cleaned, that end with a question mark. Entities are repaired in the whole text before it is split."""
-    text = unescape_html(F.coalesce(text, F.lit(""))) if unescape else text
+    text = _unescaped(F.coalesce(text, F.lit(""))) if unescape else text
     parts = F.split(text, rf"(?=(?:{'|'.join(QUESTION_WORDS)})\b)")
     return F.filter(F.transform(parts, lambda x: clean_text(x, unescape=False)), lambda x: x.endswith("?"))
 
