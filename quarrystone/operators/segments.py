@@ -6,6 +6,7 @@ import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,6 +132,15 @@ def windows(rows: DataFrame, idx: str, text: str, size: int, overlap: int) -> Da
     return out.select(idx, "chunk", F.substr(F.col(text), (F.col("chunk") * step + 1).cast("int"), F.lit(size)).alias("piece"))
 
 
+#: Documents that are Python objects at a time; the rest of a batch stays as it came.
+AT_ONCE = 64
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of AT_ONCE rows."""
+    return (b.slice(at, AT_ONCE) for b in batches for at in range(0, len(b), AT_ONCE))
+
+
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -174,14 +184,13 @@ def recursive_chunks(rows: DataFrame, idx: str, text: str, size: int = 2000, ove
     again = size // 5 if overlap is None else overlap
     schema = T.StructType([T.StructField(idx, kind), T.StructField("chunk", T.LongType()), T.StructField("start", T.LongType()), T.StructField("piece", T.StringType())])
 
-    def cut(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            out = [(i, k, at, p) for i, t in zip(batch[idx], batch[text], strict=True) for k, (at, p) in enumerate(_pieces(t or "", size, again, separators))]
-            yield pd.DataFrame(out, columns=[idx, "chunk", "start", "piece"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _some(batches):
+            out = [(i, k, at, p) for i, t in enumerate(part.column(1).to_pylist()) for k, (at, p) in enumerate(_pieces(t or "", size, again, separators))]
+            own, chunk, start = (pa.array([o[c] for o in out], pa.int64()) for c in range(3))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(own), chunk, start, pa.array([o[3] for o in out], pa.string())], [idx, "chunk", "start", "piece"])
 
-    return rows.select(idx, text).mapInPandas(cut, schema)
+    return rows.select(idx, text).mapInArrow(cut, schema)
 
 
 def pack_lines(rows: DataFrame, idx: str, text: str, most: int = 500) -> DataFrame:
@@ -234,15 +243,13 @@ def chunk_by_title(elements: DataFrame, by: str, order: str, is_title: Column, t
     rows = kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "_title", "_text"))), lambda x: F.struct(x["_title"], x["_text"])).alias("_elements"))
     schema = T.StructType([T.StructField(by, elements.schema[by].dataType), T.StructField("chunk", T.LongType()), T.StructField("piece", T.StringType())])
 
-    def cut(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            pairs = zip(batch[by], batch["_elements"], strict=True)
-            out = [(i, k, p) for i, es in pairs for k, p in enumerate(_title_chunks([tuple(e.values()) for e in es], most))]
-            yield pd.DataFrame(out, columns=[by, "chunk", "piece"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _some(batches):
+            out = [(i, k, p) for i, es in enumerate(part.column(1).to_pylist()) for k, p in enumerate(_title_chunks([tuple(e.values()) for e in es], most))]
+            own, chunk = (pa.array([o[c] for o in out], pa.int64()) for c in range(2))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(own), chunk, pa.array([o[2] for o in out], pa.string())], [by, "chunk", "piece"])
 
-    return rows.mapInPandas(cut, schema)
+    return rows.mapInArrow(cut, schema)
 
 
 def numbered_context(rows: DataFrame, by: Sequence[str], rank: str, text: str, empty: str = "No documents.") -> DataFrame:
