@@ -11,6 +11,7 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,20 +72,24 @@ def candidates(text: Column, method: str = "hybrid", most: int = 5) -> Column:
     return F.transform(items, lambda x, k: F.struct((k + 1).alias("rank"), F.try_variant_get(x, "$.index", "string").try_cast("int").alias("index"), F.try_variant_get(x, "$.score", "string").try_cast("double").alias("score"), field(x, "question_id").alias("question_id")))
 
 
+#: Texts that an encoder sees at a time; other columns and the rest of a batch stay as they came.
+ENCODED = 256
+
+
 def embed(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], dimension: int, out: str = "embedding") -> DataFrame:
-    """rows with a vector of length 1 of the given dimension; an encoder is made once a partition and sees Arrow batches."""
+    """rows with a vector of length 1 of the given dimension; an encoder is made once a partition and sees ENCODED texts at a time."""
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
-            vectors = encode(batch[text].fillna("").tolist())
+        for b in (whole.slice(at, ENCODED) for whole in batches for at in range(0, len(whole), ENCODED)):
+            vectors = encode([t or "" for t in b.column(text).to_pylist()])
             if any(len(v) != dimension for v in vectors):
                 raise ValueError(f"the encoder gave vectors of another dimension than {dimension}")
             unit = [[x / size for x in v] if (size := sum(x * x for x in v) ** 0.5) else v for v in vectors]
-            yield batch.assign(**{out: unit})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit, pa.list_(pa.float32()))], [*b.schema.names, out])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def examples(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
