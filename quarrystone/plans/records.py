@@ -144,7 +144,9 @@ def _outer(docs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 @query("j3_override_last", "SELECT o_orderkey, coalesce(l, o_orderpriority) AS o_orderpriority FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_shipdate::DATE::VARCHAR, l_extendedprice) AS l FROM lineitem WHERE l_quantity > 30 GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
 def override_last(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").cast("string").alias("o_orderpriority"), "l_extendedprice")
+    """Of equal prices the line stored first counts."""
+    lines = placed(spark, sf, "lineitem").where("l_quantity > 30 AND l_shipdate IS NOT NULL").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").cast("string").alias("_day"), "l_extendedprice", "_place")
+    known = lines.groupBy("o_orderkey", "l_extendedprice").agg(F.min_by("_day", "_place").alias("o_orderpriority"))
     return R.override(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), known, "o_orderkey", ["o_orderpriority"], "l_extendedprice")
 
 

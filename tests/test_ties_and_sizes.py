@@ -140,3 +140,12 @@ def test_an_interval_holds_no_value_table_whole(spark):
         some = spark.createDataFrame([(v,) for v in part] + [(None,)], "v int")
         want = [round(float(x), 6) for x in np.percentile(part, [2.5, 97.5])] if part else [None, None]
         assert list(statistics.interval(some, "v").first()) == want
+
+
+def test_override_by_equal_prices(spark, tmp_path):
+    spark.sql("SELECT id AS o_orderkey, 'p' AS o_orderpriority FROM range(50)").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = "SELECT id % 40 AS l_orderkey, double(id div 80 % 3) AS l_extendedprice, 31.0D AS l_quantity, timestamp_seconds(id * 86400) AS l_shipdate FROM range(0, 3000, 1, 1)"
+    spark.sql(lines).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = connect(str(tmp_path))
+    con.execute("SET threads = 1")
+    assert_same(QUERIES["j3_override_last"](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL["j3_override_last"]).df())
