@@ -52,7 +52,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity of 0.8 or more) one row stays.
 
-    It is the one with the least id, null last, and of several texts under that id the one with the least hash.
+    Candidates come from the grid of SimHash fingerprints, and from minima of shingles where that does not reach.
+    The row that stays is the one with the least id, null last, and of several texts under that id the one with the least hash.
     Components are of texts, not ids: rows that share an id, or have none, stay if they are no near copies. Of rows
     with the same id and text any one stays.
     """

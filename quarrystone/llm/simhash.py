@@ -40,27 +40,35 @@ from .components import components
 SEGMENTS = 32
 
 
-def simhash(text: bytes | None, shingle: int = 3) -> int:
-    """The signed 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes | None, shingle: int = 3) -> np.ndarray:
+    """The 64-bit hashes of a UTF-8 text's word shingles, repeats included; none without a word."""
     words = text.lower().split() if text else []  # bytes: ASCII only, as asked
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([digest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of shingle hashes: a bit is 1 if set in over half of them; zero of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def simhash(text: bytes | None, shingle: int = 3) -> int:
+    """The signed 64-bit fingerprint of a UTF-8 text."""
+    return fingerprint(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp long) for each row."""
 

@@ -7,7 +7,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from quarrystone.llm.near_copies import BANDS, ROWS, _across, _like_another, _permutations, least_agreement, minima, near_copies, shingles, similarity
+from quarrystone.llm.common import Scratch
+from quarrystone.llm.near_copies import BANDS, ROWS, _across, _like_another, _permutations, grid_pairs, least_agreement, minima, near_copies, shingles, similarity
 from quarrystone.llm.simhash import simhash
 
 
@@ -115,3 +116,15 @@ def test_one_row_a_component_whatever_the_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted((tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=key) == sorted(want, key=key)
+
+
+def test_grid_pairs_against_all_pairs_of_fingerprints(spark):
+    """The pipeline's candidates begin with the numbered SimHash grid: its links join what fingerprints within 2 bits join."""
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(30)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), n)) for f in fps[:20] for n in (0, 1, 2, 3)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = grid_pairs(spark.createDataFrame(list(enumerate(signed)), "node long, fp long"), Scratch(spark, "test-grid")).collect()
+    near = {(b, a) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    own = {n: n for n in range(len(fps))}
+    assert got and all(r.u > r.v for r in got) and joined(own, {(r.u, r.v) for r in got}, own) == joined(own, near, own)
