@@ -41,12 +41,34 @@ def postings(docs: DataFrame, idx: str, text: str, tokens: Column | None = None)
 
 def term_weights(post: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, idf): negative weights are raised to a quarter of the mean."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(totals)  # totals is one row
-    raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return weights_of(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+
+
+def weights_of(held: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, idf) from (term, df)."""
+    raw = held.crossJoin(totals).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # totals is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_counts(docs: DataFrame, idx: str, text: str) -> DataFrame:
+    """(term, df, tf), written: the documents that hold a term, and how often they do. Rows of one idx are one document.
+
+    Terms are counted where the texts lie, so a row for each term and task is shuffled, none for each document and term.
+    """
+    split = split_terms(docs, idx, tokenize(F.col(text)))
+    again = written(split.groupBy("idx").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("idx").alias("_idx")), "repeated")
+    terms, once = split.select("idx", F.explode("_terms").alias("term")), split
+    if not again.isEmpty():
+        same = F.col("idx").eqNullSafe(F.col("_idx"))
+        once = split.join(again, same, "left_anti")
+    held = once.select(F.explode(F.array_distinct("_terms")).alias("term"))
+    if once is not split:
+        held = held.union(terms.join(again, same, "left_semi").distinct().select("term"))
+    counts = terms.select("term", F.lit(0).alias("d"), F.lit(1).alias("t")).union(held.select("term", F.lit(1), F.lit(0)))
+    return written(counts.groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("tf")), "term-counts")
+
+
 #: A table of query terms of at most so many rows is broadcast to the postings; a larger one is joined as the planner sees fit.
 BROADCAST_ROWS = 500_000
 

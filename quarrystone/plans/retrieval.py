@@ -64,9 +64,9 @@ dense AS (SELECT q, vec_id AS idx, round(list_dot_product(qv::DOUBLE[], embeddin
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, round(any_value(idf), 6) AS idf FROM post JOIN idf USING (term) GROUP BY term""")
 def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    post = R.postings(docs, "idx", "text")
-    weights = R.term_weights(post, docs.agg(F.count(F.lit(1)).alias("n")))
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).join(weights, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+    counts = R.term_counts(docs, "idx", "text")
+    weights = R.weights_of(counts, docs.agg(F.count(F.lit(1)).alias("n")))
+    return counts.join(weights, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {_bm25(_TOKENS)} {_TOP.format('scored', 5)}")

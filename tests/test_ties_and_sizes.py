@@ -149,3 +149,30 @@ def test_override_by_equal_prices(spark, tmp_path):
     con = connect(str(tmp_path))
     con.execute("SET threads = 1")
     assert_same(QUERIES["j3_override_last"](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL["j3_override_last"]).df())
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan have written, after it ran."""
+    def walk(node):
+        kids, name = node.children(), node.nodeName()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        return own + sum(walk(k) for k in [kids.apply(i) for i in range(kids.size())] + inner)
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_bm25_index_of_repeated_ids(spark, tmp_path):
+    """Rows of one id, or of none, are one document, as in SQL."""
+    rows = [(1, "a b b"), (1, "b c"), (2, "a"), (None, "a c"), (None, "c"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = QUERIES["r1_bm25_index"](spark, str(tmp_path))
+    assert_same(got.toPandas(), connect(str(tmp_path)).execute(ORACLE_SQL["r1_bm25_index"]).df())
+
+
+def test_bm25_index_shuffles_no_row_for_each_posting(spark, tmp_path):
+    spark.range(0, 3000, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 49), x -> 'w' || (id * 7 + x) % 90)) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["r1_bm25_index"](spark, str(tmp_path))
+    assert got.count() == 90 and shuffled_rows(got) < 3000
