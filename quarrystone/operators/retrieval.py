@@ -181,6 +181,39 @@ def _best_of_blocks(split: DataFrame, weights: pa.Table, k: int, within: str | N
     return split.mapInArrow(run, T.StructType(fields))
 
 
+def posting_blocks(docs: DataFrame, idx: str, terms: Column) -> DataFrame:
+    """(term, idx, dl, tf), the last three arrays of one length, written: the postings of a term in a part of an Arrow batch of documents, made where the texts lie. Of a null term, the lengths of all documents of the part."""
+    rows = docs.select(F.col(idx).alias("idx"), terms.alias("_terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in _parts(whole.column("_terms").value_lengths().fill_null(0).to_numpy())):
+            lists = b.column("_terms")
+            dl = lists.value_lengths().fill_null(0).to_numpy()
+            names = lists.flatten().dictionary_encode()
+            held, tf = np.unique(names.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(b) + np.repeat(np.arange(len(b)), dl), return_counts=True)
+            doc = np.concatenate((held % len(b), np.arange(len(b))))
+            starts = np.append(np.searchsorted(held // len(b), np.arange(len(names.dictionary) + 1)), len(doc)).astype(np.int32)
+            columns = b.column("idx").take(pa.array(doc)), pa.array(dl[doc], pa.int32()), pa.array(np.concatenate((tf, dl)), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([names.dictionary, pa.nulls(1, names.dictionary.type)]), *[pa.ListArray.from_arrays(starts, c) for c in columns]], ["term", "idx", "dl", "tf"])
+
+    return written(rows.mapInArrow(run, f"term string, idx array<{rows.schema['idx'].dataType.simpleString()}>, dl array<int>, tf array<long>"), "blocks")
+
+
+def best_of_postings(post: DataFrame, asked: DataFrame, weights: DataFrame, k: int) -> DataFrame | None:
+    """(q, idx, score): for each query the k best documents of each part of them, and more, from postings (idx, dl, term, tf), the query terms (q, term, qtf) and (q, term, w, avgdl), or None if these are many.
+
+    The postings of query terms come together by document, 64-bit hashes for terms, and are scored as in bm25_search: no row for each query and document is shuffled.
+    """
+    if not _few(asked):
+        return None
+    weights = weights.withColumn("term", F.xxhash64("term")).toArrow()
+    if not len(weights):
+        return None
+    held = post.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").select("idx", "dl", F.xxhash64("term").alias("term"), F.col("tf").cast("int").alias("tf"))
+    terms = F.flatten(F.collect_list(F.array_repeat("term", F.col("tf")))).alias("_terms")
+    return _best_of_blocks(held.repartition("idx", "dl").groupBy("idx", "dl").agg(terms), weights, k)
+
+
 def weigh(met: DataFrame) -> DataFrame:
     """(q, idx, score) from postings (idx, dl, term, tf) joined with their weights (q, term, w, avgdl)."""
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -52,15 +52,17 @@ def create_collection(df: DataFrame, path: str, recreate: bool = False) -> None:
 def save_bm25(docs: DataFrame, path: str, idx: str, text: str, mode: str = "errorifexists") -> None:
     """An index of four tables: postings by term with the lengths of their documents, all lengths, term weights, totals.
 
-    Texts are tokenised once. Postings are range-partitioned and sorted by term, so that a filter on terms reads few row groups.
+    Texts are tokenised once, and postings are shuffled as arrays, one for each term and part of a batch of documents. They are range-partitioned and sorted by term, so that a filter on terms reads few row groups.
     """
-    split = retrieval.split_terms(docs, idx, tokenize(F.coalesce(F.col(text), F.lit(""))))
-    post = split.select("idx", "dl", F.explode("_terms").alias("term")).groupBy("idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    post.repartitionByRange("term").sortWithinPartitions("term", "idx").write.mode(mode).parquet(f"{path}/postings")
-    split.select("idx", "dl").write.mode(mode).parquet(f"{path}/lengths")
-    totals = split.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_dl"))
+    blocks = retrieval.posting_blocks(docs, idx, tokenize(F.coalesce(F.col(text), F.lit(""))))
+    ranged = blocks.where("term IS NOT NULL").repartitionByRange("term").sortWithinPartitions("term", F.get("idx", F.lit(0)))
+    ranged.select("term", F.inline(F.arrays_zip("idx", "dl", "tf"))).select("idx", "dl", "term", "tf").write.mode(mode).parquet(f"{path}/postings")
+    lengths = blocks.where("term IS NULL").select(F.inline(F.arrays_zip("idx", "dl")))
+    lengths.write.mode(mode).parquet(f"{path}/lengths")
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all_dl"))
     totals.write.mode(mode).parquet(f"{path}/totals")
-    retrieval.term_weights(docs.sparkSession.read.parquet(f"{path}/postings"), totals.select("n")).write.mode(mode).parquet(f"{path}/weights")
+    held = blocks.where("term IS NOT NULL").groupBy("term").agg(F.sum(F.size("idx")).alias("df"))
+    retrieval.weights_of(written(held, "held"), totals.select("n")).write.mode(mode).parquet(f"{path}/weights")
 
 
 def bm25_terms(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame:
@@ -82,7 +84,9 @@ def search_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int = 5,
     if len(some) <= pushed:
         post, weights = (t.where(F.col("term").isin(some)) for t in (post, weights))
     weighed = asked.join(weights, "term").crossJoin(totals).select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), (F.col("all_dl") / F.col("n")).alias("avgdl"))  # totals is one row
-    scores = retrieval.weigh(post.join(weighed, "term"))
+    scores = retrieval.best_of_postings(post, asked, weighed, k)
+    if scores is None:
+        scores = retrieval.weigh(post.join(weighed, "term"))
     lowest = written(lengths.orderBy("idx").limit(k).select("idx"), "lowest")
     fill = queries.select(F.col(q).alias("q")).distinct().crossJoin(lowest)  # k rows a query
     matched = post.join(F.broadcast(lowest), "idx", "left_semi").join(asked.select("q", "term"), "term").select("q", "idx").distinct()

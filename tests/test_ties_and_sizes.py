@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import text
 from quarrystone.operators import retrieval, segments, statistics, workflow
 from quarrystone.plans.registry import ORACLE_SQL, QUERIES
+from quarrystone.sources import sinks
 
 
 @pytest.fixture()
@@ -176,3 +177,12 @@ def test_bm25_index_shuffles_no_row_for_each_posting(spark, tmp_path):
     spark.range(0, 3000, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 49), x -> 'w' || (id * 7 + x) % 90)) AS text").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["r1_bm25_index"](spark, str(tmp_path))
     assert got.count() == 90 and shuffled_rows(got) < 3000
+
+
+def test_saved_bm25_shuffles_no_row_for_each_question_and_document(spark, tmp_path):
+    docs = spark.range(0, 2000, 1, 4).selectExpr("id AS idx", "concat_ws(' ', transform(sequence(0, 9), x -> 'w' || (id * 7 + x * x) % 30)) AS text")
+    asked = spark.range(40).selectExpr("id AS q", "concat('w', id % 30, ' w', (id + 1) % 30, ' w', (id + 2) % 30, ' w', (id + 3) % 30, ' w', (id + 4) % 30) AS question")
+    sinks.save_bm25(docs, str(tmp_path / "i"), "idx", "text")
+    got = sinks.search_bm25(spark, str(tmp_path / "i"), asked)
+    assert got.count() == 200 and shuffled_rows(got) < 30_000
+    assert_same(got.select("q", "idx", "score", "rank").toPandas(), retrieval.bm25_search(docs, asked).select("q", "idx", "score", "rank").toPandas())
