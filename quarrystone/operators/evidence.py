@@ -164,7 +164,8 @@ def post_order(nodes: DataFrame, node: str = "node", parent: str = "parent", ord
         if tour.where("next IS NOT NULL").isEmpty():
             break
         then = tour.select(F.col("step").alias("next"), F.col("next").alias("later"), F.col("ups").alias("more"))
-        tour = written(tour.join(then, "next", "left").select("step", F.col("later").alias("next"), (F.col("ups") + F.coalesce("more", F.lit(0))).alias("ups")), "tour")
+        on = tour.where("next IS NOT NULL").join(then, "next").select("step", F.col("later").alias("next"), (F.col("ups") + F.col("more")).alias("ups"))
+        tour = written(on.unionByName(tour.where("next IS NULL")), "tour")  # steps that are done are not joined: with a null key they would all meet in one task
     else:
         raise ValueError("the parents form a ring")
     ups = tour.where("step % 2 = 1").select(F.expr("step div 2").alias("n"), (F.lit(total + 1) - F.col("ups")).alias("position"))

@@ -6,7 +6,9 @@ import random
 
 import pytest
 
+from quarrystone.operators import evidence
 from quarrystone.operators.evidence import cascade, post_order
+from quarrystone.scratch import written
 
 NODES = "node long, parent long, place long"
 
@@ -64,3 +66,18 @@ def test_cascades(spark):
         want.append((e, n, k, v, real, *state.values(), done))
     got = cascade(spark.createDataFrame(rows, "entity long, seq long, key string, value string"), stages).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_done_steps_of_the_tour_are_not_joined(spark, monkeypatch):
+    """With a null pointer they would all be dealt to one task."""
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(evidence, "written", seen)
+    rows = [(k, None if k % 9 == 0 else k - 1, k) for k in range(60)]
+    assert {r.node: r.position for r in post_order(spark.createDataFrame(rows, NODES)).collect()} == plain_order(rows)
+    joins = [p for name, p in plans if name == "tour"][1:]
+    assert joins and all("Join Inner" in p and "LeftOuter" not in p for p in joins)
