@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.scratch import written
+from quarrystone.scratch import written_in_turn
 
 
 class Client(Protocol):
@@ -43,6 +43,10 @@ _ENDS = (KeyboardInterrupt, SystemExit, GeneratorExit)
 Call = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
+#: A task is given about so many bytes of prompts; beyond that the prompts are asked in several jobs, one after another, so that the cap on clients stands.
+TASK_BYTES = 1 << 28
+
+
 def _answered(rows: DataFrame, prompt: str, call: Call, cache: DataFrame | None, concurrency: int) -> DataFrame:
     """rows with response and error: each distinct prompt outside the cache goes through call once, and the answers are written before this returns."""
     keyed = rows.withColumn("_key", prompt_key(prompt))
@@ -50,7 +54,13 @@ def _answered(rows: DataFrame, prompt: str, call: Call, cache: DataFrame | None,
     if cache is not None:
         known = cache.select(F.col("key").alias("_key"), "response", F.lit(None).cast("string").alias("error"))
         asked = asked.join(known, "_key", "left_anti")
-    answers = written(asked.repartition(concurrency, "_key").mapInPandas(call, "_key string, response string, error string"), "answers")
+    size = rows.agg(F.sum(F.octet_length(prompt))).first()[0] or 0  # repeats and cached prompts included, so a bound
+    turns = [asked]
+    if size > concurrency * TASK_BYTES:
+        n = -(-size // (concurrency * TASK_BYTES))
+        asked = written_in_turn([asked.withColumn("_turn", F.pmod(F.xxhash64("_key"), F.lit(n)))], "asked", ["_turn"])
+        turns = [asked.where(F.col("_turn") == k).drop("_turn") for k in range(n)]
+    answers = written_in_turn([t.repartition(concurrency, "_key").mapInPandas(call, "_key string, response string, error string") for t in turns], "answers")
     if cache is not None:
         answers = answers.unionByName(known.dropDuplicates(["_key"]))
     return keyed.join(answers, "_key", "left").drop("_key")

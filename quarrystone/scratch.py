@@ -22,12 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: computed once, whatever reads it, with real sizes for the planner. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
+    return written_in_turn([df], name)
+
+
+def written_in_turn(dfs: Sequence[DataFrame], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """written() of the rows of all dfs, which have one schema; each is done before the next one begins. Values of ``by`` have folders of their own, so that a filter on them reads no other rows."""
+    spark = dfs[0].sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for df in dfs:
+        df.write.mode("append").partitionBy(*by).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(dfs[0].schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, by: Sequence[str], sort: Sequence[str], table: str | None = None) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quarrystone.operators import model
 from quarrystone.operators import workflow as W
 from quarrystone.operators.model import model_batches, model_map
 from quarrystone.sources import vectors as V
@@ -162,3 +164,24 @@ def test_exactly_one_element_changes(spark, component, place, change, error):
     df = spark.createDataFrame([(json.dumps(OLD), json.dumps(OLD | change), component, place)], "a string, b string, c string, p int")
     got = df.select(W.single_change_error(normalize_pico(F.col("a")), normalize_pico(F.col("b")), F.col("c"), F.col("p")).alias("e")).first().e
     assert got == error
+
+
+def test_prompts_beyond_a_tasks_bytes_are_asked_in_turns(spark, tmp_path, monkeypatch):
+    """The cap on clients stands, and no task is given all prompts of its share of the cap."""
+    folder = str(tmp_path)
+
+    class Told:
+        def __init__(self):
+            self.path = f"{folder}/{uuid.uuid4().hex}"
+
+        def __call__(self, prompt):
+            with open(self.path, "a") as f:
+                f.write(prompt + "\n")
+            return prompt[::-1]
+
+    monkeypatch.setattr(model, "TASK_BYTES", 2000, raising=False)
+    rows = spark.range(400).selectExpr("id", "concat('p', id, repeat('x', 40)) AS p")
+    got = model.model_map(rows, "p", Told, concurrency=2).collect()
+    assert len(got) == 400 and all(r.response == r.p[::-1] and r.error is None for r in got)
+    sizes = [p.stat().st_size for p in tmp_path.iterdir()]
+    assert sum(sizes) == sum(len(r.p) + 1 for r in got) and max(sizes) < 4000
