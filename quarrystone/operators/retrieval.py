@@ -303,31 +303,106 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, kind: str =
     return top_k(met.applyInArrow(meet, types), k)
 
 
-#: Windows of at most so many characters are looked up when one text is looked for in another.
+#: A text is looked for in another by at most so many of its first bytes, which fit a 64-bit integer.
 ANCHOR = 8
+#: Windows are looked up in a table of 2 ** FLAG_BITS bits (2 MB), of which those of keys are set.
+FLAG_BITS = 24
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts with eight more behind them, and where each text begins; at last where the last one ends."""
+    whole = texts.cast(pa.large_binary())
+    at = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, 8 * whole.offset)
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return np.concatenate((data, np.zeros(8, np.uint8))), at - at[0]
+
+
+def _windows(data: np.ndarray, n: int | np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Hashes of the n bytes that begin at each place of data, or at those given, but for the last eight places."""
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    return (np.ndarray(len(data) - 8, "<u8", data, strides=(1,))[at] & masks[n]) * _MIX
+
+
+def _first_window(key: Column, anchor: int) -> Column:
+    @F.arrow_udf(T.LongType())
+    def run(keys: pa.Array) -> pa.Array:
+        data, at = _bytes_of(keys)
+        data = np.append(data, np.uint8(0))  # an empty key can stand last
+        return pa.array(_windows(data, np.minimum(np.diff(at), anchor), at[:-1]).view(np.int64))
+
+    return run(key)
+
+
+def _flags(windows: DataFrame) -> np.ndarray:
+    """2 ** FLAG_BITS bits in bytes: those at the first bits of each _w are set."""
+    place = F.shiftrightunsigned("_w", 64 - FLAG_BITS) + 1
+    flags = np.zeros((1 << FLAG_BITS - 15, 4096), np.uint8)
+    for part, bits in windows.groupBy(F.bitmap_bucket_number(place)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place))).collect():  # at most 512 parts of 4 KB
+        flags[part - 1] = np.frombuffer(bits, np.uint8)
+    return flags.ravel()
+
+
+def _flagged(flags: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Places of the windows whose bit is set."""
+    place = windows >> np.uint64(64 - FLAG_BITS)
+    return np.flatnonzero(flags[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _windows_met(texts: DataFrame, text: str, asked: DataFrame, key: str, carry: Sequence[str]) -> DataFrame:
+    """(carry, _w): the distinct windows of each text that are in asked (key, _n, _w), and a few more; found in parts of an Arrow batch of texts, where these lie.
+
+    Places where no key's shortest window begins are left at once, the others are tried with each length.
+    """
+    lengths = [r[0] for r in asked.select("_n").distinct().collect()]  # at most ANCHOR of them
+    shortest = min(lengths, default=ANCHOR)
+    begin = asked.select(_first_window(F.col(key), shortest).alias("_w"))
+    shared = texts.sparkSession.sparkContext.broadcast((_flags(begin), _flags(asked)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, whole_windows = shared.value
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in _parts(pc.binary_length(whole.column(text)).fill_null(0).to_numpy())):
+            data, at = _bytes_of(b.column(text))
+            row, held = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for start in range(0, len(data) - 8, PART_TERMS):
+                part = data[start : start + PART_TERMS + 8]
+                begun = _flagged(begin, _windows(part, shortest))
+                of = np.searchsorted(at, start + begun, "right") - 1
+                left = at[of + 1] - start - begun
+                for n in lengths:
+                    w = _windows(part, n, begun)
+                    hit = _flagged(whole_windows, w)
+                    hit = hit[left[hit] >= n]
+                    row.append(of[hit])
+                    held.append(w[hit])
+            rows, windows = np.concatenate(row), np.concatenate(held)
+            order = np.lexsort((windows, rows))
+            rows, windows = rows[order], windows[order]
+            first = np.append(True, (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1]))[: len(rows)]
+            own, starts = np.unique(rows[first], return_index=True)
+            lists = pa.ListArray.from_arrays(np.append(starts, first.sum()).astype(np.int32), pa.array(windows[first].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(own)) for c in carry], lists], [*carry, "_ws"])
+
+    met = texts.mapInArrow(run, T.StructType([*[texts.schema[c] for c in carry], T.StructField("_ws", T.ArrayType(T.LongType()))]))
+    return met.select(*carry, F.explode("_ws").alias("_w"))
 
 
 def substring_join(texts: DataFrame, keys: DataFrame, text: str, key: str, on: Sequence[str] = (), anchor: int = ANCHOR) -> DataFrame:
     """Pairs of rows of texts and keys, equal in ``on``, whose text holds the key, character by character; keys that are null or empty are in none.
 
-    A key is looked up by its first characters, at most ``anchor``: every window of that length in a text joins them by a hash, and what has met is
-    compared whole. Only windows of the lengths that keys have are made; few keys are broadcast, so that no window is shuffled, and
-    with more keys each window of a text is taken once. Columns other than ``on`` should differ in name.
+    A key is looked up by its first bytes, at most ``anchor`` (and 8): every window of that length in a text is tried in a table of bits where the text lies, those
+    found join the keys by a hash, and what has met is compared whole. Only windows of the lengths that keys have are made. Few keys are broadcast, so that
+    nothing is shuffled; with more, only the windows found are, without their text. Columns other than ``on`` should differ in name.
     """
-    asked = keys.where(F.length(key) > 0).withColumn("_n", F.least(F.length(key), F.lit(anchor))).withColumn("_k", F.monotonically_increasing_id())
-    asked = written(asked.withColumn("_w", F.xxhash64("_n", F.left(F.col(key), F.col("_n")))), "keys")
-    lengths = [r[0] for r in asked.select("_n").distinct().collect()]  # at most anchor of them
+    anchor = min(anchor, ANCHOR)
+    asked = keys.where(F.length(key) > 0).withColumn("_n", F.least(F.octet_length(key), F.lit(anchor)))
+    asked = written(asked.withColumn("_w", _first_window(F.col(key), anchor)), "keys")
+    if _few(asked):
+        met = _windows_met(texts, text, asked, key, texts.columns).join(F.broadcast(asked), [*on, "_w"])
+        return met.where(F.contains(text, key)).drop("_n", "_w")
     each = written(texts.withColumn("_t", F.monotonically_increasing_id()), "texts")
-    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-    def windows(n: int) -> Column:
-        found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        return F.transform(found if small else F.array_distinct(found), lambda w: F.xxhash64(F.lit(n), w))
-
-    held = F.concat(*[windows(n) for n in lengths]) if lengths else F.array().cast("array<bigint>")
-    met = each.select("_t", *on, F.explode(held).alias("_w"))
-    pairs = met.join(F.broadcast(asked) if small else asked, [*on, "_w"]).drop("_w", "_n", *on).dropDuplicates(["_t", "_k"])
-    return pairs.join(each, "_t").where(F.contains(text, key)).drop("_t", "_k")
+    pairs = _windows_met(each.select("_t", *on, text), text, asked, key, ["_t", *on]).join(asked, [*on, "_w"]).drop("_w", "_n", *on)
+    return pairs.join(each, "_t").where(F.contains(text, key)).drop("_t")
 
 
 def holding(docs: DataFrame, passages: DataFrame, idx: str = "idx", text: str = "text", q: str = "q", passage: str = "question") -> DataFrame:
